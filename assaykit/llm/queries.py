@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, line_dedup
-from assaykit.llm.common import table
+from assaykit.llm import chat_format, decontaminate, imatch, line_dedup, packing
+from assaykit.llm.common import stored, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,38 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_bpe() -> str:
+    """The public tokenizer that the packing query takes, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), size=4096, end_id=1)
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return done.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one id and one text count once."""
+    docs = table(spark, sf_dir, "documents")
+    lex = imatch.lexicon(docs, "text", least_share=1 / 2000, most_share=0.2)
+    edited = imatch.half_replaced(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    done = stored(imatch.fingerprints(edited, {"text": "fingerprint", "edited": "edited_fingerprint"}, lex), "imatch")
+    following = done.select(F.col("__id").alias("n_id"), F.col("__text_hash").alias("n_hash"), F.col("fingerprint").alias("next_fingerprint"))
+    joined = done.join(following, F.col("__next_id").eqNullSafe(F.col("n_id")) & (F.col("__next_hash") == F.col("n_hash")))
+    return joined.select(
+        F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
     return done.select(
@@ -47,7 +74,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op8_imatch": op8_imatch,
     "op9_decontaminate": op9_decontaminate,
 }
 
