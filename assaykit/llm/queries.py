@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, imatch, line_dedup, packing
+from assaykit.llm import chat_format, decontaminate, imatch, line_dedup, packing, quality
 from assaykit.llm.common import stored, table
 
 
@@ -72,12 +72,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out_fold(doc_id: str, folds: int):
+    """True where crc32 of the id as text leaves no remainder."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out_fold("doc_id", 5))
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels))
+    return scored.select("doc_id", held_out_fold("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
     "op8_imatch": op8_imatch,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
