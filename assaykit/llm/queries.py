@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, imatch, line_dedup, packing, quality
+from assaykit.llm import chat_format, decontaminate, imatch, line_dedup, packing, quality, substring_dedup
 from assaykit.llm.common import stored, table
 
 
@@ -49,6 +49,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), span=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one id and one text count once."""
     docs = table(spark, sf_dir, "documents")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_imatch": op8_imatch,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
@@ -119,6 +125,15 @@ marked AS (SELECT doc_id, line, pos, coalesce(doc_id <> keeper, false) AS gone F
 SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS s
+          FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM spots GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM spots JOIN again USING (s)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda p: NOT list_contains(ps, p)), lambda p: w[p + 1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
     "op9_decontaminate": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
