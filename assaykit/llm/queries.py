@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, imatch, line_dedup, packing, quality, substring_dedup
+from assaykit.llm import chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, quality, substring_dedup
 from assaykit.llm.common import stored, table
 
 
@@ -54,6 +54,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return done.select(F.col("__id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one id and one text count once."""
     docs = table(spark, sf_dir, "documents")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_imatch": op8_imatch,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
