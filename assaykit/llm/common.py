@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is far faster than ``translate`` and equal to it when no other capital occurs."""
     ascii_only = F.octet_length(c) == F.char_length(c)
-    other_capital = c.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]")
+    other_capital = c.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}&&[^A-Z]]")
     return F.when(ascii_only | ~other_capital, F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 

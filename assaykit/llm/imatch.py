@@ -28,7 +28,7 @@ def lexicon(docs: DataFrame, text: str, *, least_share: float, most_share: float
     """``h``: the hash of each term whose document frequency is in the band; every document counts."""
     n = docs.count()
     seen = docs.select(F.explode(terms(F.col(text))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    return seen.where((F.col("df") >= max(2, least_share * n)) & (F.col("df") <= max(2, most_share * n))).select("h")
+    return stored(seen.where((F.col("df") >= max(2, least_share * n)) & (F.col("df") <= max(2, most_share * n))).select("h"), "lexicon")
 
 
 def _level(n_terms: Column) -> Column:
@@ -74,7 +74,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(texts: DataFrame, text_cols: dict[str, str], lex: DataFrame, *, broadcast_rows: int = 2_000_000) -> DataFrame:
     """``texts`` plus one fingerprint column for each of ``text_cols`` (text column: new column).
 
-    Rows must be told apart by ``__id`` and ``__text_hash`` (``row_keys``); text columns are dropped. Null is an empty
+    Whole repeats of a row give one row. Rows must be told apart by ``__id`` and ``__text_hash`` (``row_keys``); text columns are dropped. Null is an empty
     text; a text without terms of the band has an empty fingerprint, equal for all such texts of its level.
     """
     named = list(text_cols.values())
@@ -113,16 +113,16 @@ def half_replaced(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """Whole texts with an edited form beside them, to measure fingerprints by.
 
     __id, __text_hash, __next_id, __next_hash, text, edited: the last floor(n/2) of n code points are replaced by the
-    first as many (or all) of the next document, by ascending id and then text hash; null text is empty; whole
-    repeats of a row give one row.
+    first as many (or all) of the next document, by ascending id and then text hash; null text is empty. Repeated
+    rows stay (``fingerprints`` makes one row of them). The texts are shuffled once, by key, for both joins.
     """
-    base = docs.select(*[c.alias(k) for k, c in row_keys(doc_id, text).items()], F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["__id", "__text_hash"])
+    base = docs.select(*[c.alias(k) for k, c in row_keys(doc_id, text).items()], F.coalesce(F.col(text), F.lit("")).alias("text"))
     after = next_rows(base)
-    sized = base.select("__id", "__text_hash", F.floor(F.char_length("text") / 2).cast("int").alias("half"))
+    sized = base.select("__id", "__text_hash", F.floor(F.char_length("text") / 2).cast("int").alias("half")).distinct()
     want = stored(after.join(sized, same_row(after, sized)).select(after["*"], "half"), "next")
     start = base.select(F.col("__id").alias("b_id"), F.col("__text_hash").alias("b_hash"), F.col("text").alias("b_text"))
     taken = start.join(want.hint("shuffle_hash"), start["b_id"].eqNullSafe(want["__next_id"]) & (start["b_hash"] == want["__next_hash"]))
-    taken = taken.select("__id", "__text_hash", "__next_id", "__next_hash", "half", F.substring(F.col("b_text"), F.lit(1), F.col("half")).alias("head"))
+    taken = taken.select("__id", "__text_hash", "__next_id", "__next_hash", "half", F.substring(F.col("b_text"), F.lit(1), F.col("half")).alias("head")).dropDuplicates(["__id", "__text_hash"])
     both = base.join(taken, same_row(base, taken)).drop(taken["__id"], taken["__text_hash"])
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.col("half"))
     return both.withColumn("edited", F.concat(kept, F.col("head"))).drop("half", "head")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, quality, substring_dedup
+from assaykit.llm import chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, quality, substring_dedup, warc_revisits
 from assaykit.llm.common import stored, table
 
 
@@ -54,6 +54,30 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl's records from ``pages``: each page as a full response at time 10 * page_id, and each but every fourth
+    also as a revisit three pages later, by another spelling of its URL; every fifth revisit has a foreign entity tag,
+    every seventh none, and every eleventh page's response none either."""
+    i = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.left(F.md5(F.col("html")), F.lit(12)), F.lit('"'))
+    modified = F.concat(F.lit("day "), (i % 400).cast("string"))
+    no_tag = F.create_map(F.lit("Last-Modified"), modified, F.lit("Content-Type"), F.lit("text/html"))
+    full = F.when(i % 11 == 0, no_tag).otherwise(F.map_concat(no_tag, F.create_map(F.lit("ETag"), tag, F.lit("Date"), (i * 10).cast("string"))))
+    again = F.create_map(F.lit("date"), (i * 10 + 35).cast("string"), F.lit("last-modified"), modified, F.lit("content-length"), F.lit("0"))
+    revisit = F.when(i % 7 == 0, again).otherwise(F.map_concat(again, F.create_map(F.lit("etag"), F.when(i % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag)))))
+    responses = pages.select((i * 2).alias("record_id"), "url", (i * 10).alias("captured_at"), F.lit(200).alias("status"), full.alias("headers"), F.sha2("html", 256).alias("payload"))
+    other = F.concat(F.regexp_replace("url", "^https?://", "HTTP://"), F.lit("#again"))
+    revisits = pages.where(i % 4 != 0).select((i * 2 + 1).alias("record_id"), other.alias("url"), (i * 10 + 35).alias("captured_at"), F.lit(304).alias("status"), revisit.alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return responses.unionByName(revisits)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies are represented by their digests."""
+    done = warc_revisits.resolve_revisits(captures(table(spark, sf_dir, "pages")), payload="payload")
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return done.select("record_id", "canonical_url", "outcome", "resolved_id", F.array_join(lines, "\n").alias("headers"), F.col("payload").alias("payload_sha256"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
     return done.select(F.col("__id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -99,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_imatch": op8_imatch,
     "op9_decontaminate": op9_decontaminate,
@@ -140,6 +165,38 @@ gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range
 SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
        sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda p: NOT list_contains(ps, p)), lambda p: w[p + 1]) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op6_warc_revisits": r"""
+WITH named AS (
+  SELECT page_id AS i, sha256(html) AS body, chr(34) || substr(md5(html), 1, 12) || chr(34) AS tag, 'day ' || CAST(page_id % 400 AS VARCHAR) AS modified,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
+), parts AS (
+  SELECT *, split_part(bare, '?', 1) AS place, regexp_extract(bare, '\?(.*)$', 1) AS query FROM named
+), canon AS (
+  SELECT i, body, tag, modified,
+         regexp_replace(lower(split_part(place, '/', 1)), '^www\.|:(80|443)$', '', 'g')
+         || regexp_replace(regexp_extract(place, '^[^/]*(/.*)$', 1), '/+$', '')
+         || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'),
+              lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)', 'i'))), '&'), ''), '') AS u
+  FROM parts
+), responses AS (
+  SELECT i * 2 AS id, u, i * 10 AS t, body, CASE WHEN i % 11 <> 0 THEN tag END AS tag, modified FROM canon
+), revisits AS (
+  SELECT i * 2 + 1 AS id, u, i * 10 + 35 AS t, CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 = 0 THEN chr(34) || 'other' || chr(34) ELSE 'W/' || tag END AS tag, modified FROM canon WHERE i % 4 <> 0
+), earlier AS (
+  SELECT v.id, v.u, v.t, v.tag, v.modified, r.id AS rid, r.body, r.tag AS rtag, r.modified AS rmodified,
+         row_number() OVER (PARTITION BY v.id ORDER BY r.t DESC, r.id DESC) AS n
+  FROM revisits v LEFT JOIN responses r ON v.u = r.u AND r.t < v.t
+), judged AS (
+  SELECT *, CASE WHEN rid IS NULL THEN 'no_earlier_response'
+                 WHEN replace(tag, 'W/', '') = rtag THEN 'resolved' WHEN replace(tag, 'W/', '') <> rtag THEN 'etag_mismatch'
+                 WHEN modified = rmodified THEN 'resolved' WHEN modified <> rmodified THEN 'last_modified_mismatch' ELSE 'no_validator' END AS outcome
+  FROM earlier WHERE n = 1)
+SELECT id AS record_id, u AS canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN rid END AS resolved_id,
+       CASE WHEN outcome = 'resolved'
+            THEN 'content-type: text/html' || chr(10) || 'date: ' || CAST(t AS VARCHAR) || coalesce(chr(10) || 'etag: ' || coalesce(tag, rtag), '') || chr(10) || 'last-modified: ' || modified
+            ELSE 'content-length: 0' || chr(10) || 'date: ' || CAST(t AS VARCHAR) || coalesce(chr(10) || 'etag: ' || tag, '') || chr(10) || 'last-modified: ' || modified END AS headers,
+       CASE WHEN outcome = 'resolved' THEN body END AS payload_sha256
+FROM judged""",
     "op9_decontaminate": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
