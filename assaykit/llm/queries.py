@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, quality, substring_dedup, warc_revisits
+from assaykit.llm import chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, pitman_yor, quality, substring_dedup, warc_revisits
 from assaykit.llm.common import stored, table
 
 
@@ -44,6 +44,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pitman_yor.perplexity_scores(table(spark, sf_dir, "documents"), ~held_out_fold("doc_id", 10))
+    return done.select("doc_id", (~F.col("in_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return done.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.sha2("text", 256).alias("kept_sha256"))
@@ -121,6 +126,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc_revisits": op6_warc_revisits,
