@@ -8,9 +8,9 @@ to its one-deletion neighbourhood (2, found within one difference), as long as t
 
 Nodes are distinct sets, so exact copies are one node. What is shuffled is (signature, node), combined before the
 shuffle to the smallest and largest node of a signature; only signatures of three or more rows are looked up again,
-by a broadcast of counted size or else a join. Candidates are compared in two rounds, so that a large group of near
-copies is not expanded into all its pairs: first each node with the smallest node of its signature; then, only in
-signatures whose nodes are not yet in one component, nodes of unlike components. Sizes and 256-bit parity sketches
+by a broadcast of counted size or else a join. Candidates are compared in rounds, so that a large group of near copies
+is not expanded into all its pairs: each node with the smallest node of its signature, then ``pivots`` times, in
+signatures whose nodes are not yet in one component, with one by chance, and last all nodes of unlike components. Sizes and 256-bit parity sketches
 (each differing n-gram flips one bit, so more odd bits than H refute a pair) are checked in the join's condition;
 every pair left is verified on the whole sets. No link between different components is lost.
 """
@@ -194,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, pivots: int = 3, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: __id, __text_hash (``row_keys``), n_shingles, component (smallest id reachable by links).
 
@@ -238,18 +238,28 @@ def near_duplicates(
 
     about = nodes.select("node", "n", "sketch")
     a, b = about.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x")), about.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
-    first = found.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(first.join(a, "a").join(b, "b").where(_may_link("x", "y", percent)).select("a", "b"), "pairs")
-    linked = verified(first, nodes, texts, n, percent, broadcast_rows)
-    parts = components(linked)
 
-    placed = found.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    open_sigs = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
+    def compared(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """Distinct pairs (a, b) of nodes that may link and were not compared before."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        return stored(pairs.join(a, "a").join(b, "b").where(_may_link("x", "y", percent)).select("a", "b"), "pairs")
+
+    tried = compared(found.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")), None)
+    linked = verified(tried, nodes, texts, n, percent, broadcast_rows)
+    for turn in range(pivots):
+        placed, open_sigs = _still_open(found, components(linked), turn)
+        pivoted = placed.join(open_sigs, "sig").where(F.col("component") != F.col("pivot.component"))
+        more = compared(pivoted.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")), tried)
+        tried = tried.unionByName(more)
+        linked = linked.unionByName(verified(more, nodes, texts, n, percent, broadcast_rows))
+
+    placed, open_sigs = _still_open(found, components(linked), 0)
     still = stored(placed.join(open_sigs, "sig").join(about, "node").select("sig", "node", "component", F.struct("n", "sketch").alias("x")), "open")
     left, right = still.alias("l"), still.select("sig", F.col("node").alias("b"), F.col("component").alias("other"), F.col("x").alias("y"))
-    second = left.join(right, (F.col("l.sig") == right["sig"]) & (F.col("l.component") < F.col("other")) & _may_link("x", "y", percent))
-    second = stored(second.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    linked = linked.unionByName(verified(second, nodes, texts, n, percent, broadcast_rows))
+    rest = left.join(right, (F.col("l.sig") == right["sig"]) & (F.col("l.component") < F.col("other")) & _may_link("x", "y", percent))
+    rest = stored(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    linked = linked.unionByName(verified(rest, nodes, texts, n, percent, broadcast_rows))
     whole = components(linked)
 
     named = nodes.select("node", "least").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -258,6 +268,14 @@ def near_duplicates(
     return rows.select("__id", "__text_hash", "n_shingles", "node").join(of_node, "node", "left").select("__id", "__text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("name")).alias("component"))
 
 
+def _still_open(members: DataFrame, parts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and the signatures whose nodes are not all in one, each with a node by chance as pivot."""
+    placed = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    chance = F.xxhash64("node", "sig", F.lit(turn))
+    seen = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(chance.alias("by"), "node", "component")).alias("pivot"))
+    return placed, seen.where("lo != hi").select("sig", "pivot")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs of nodes (a, b) whose whole sets link. Sets are made again, for the nodes concerned only."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("one.__id").alias("__id"), F.col("one.__text_hash").alias("__text_hash"))
@@ -270,7 +288,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perce
                 part = batch.slice(begin, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), _longs([shingles(t, n) for t in part.column(1).cast(pa.binary()).to_pylist()])], ["node", "s"])
 
-    sets = stored(of.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]), "wanted-sets")
+    sets = of.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])  # dealt by node as both joins need it
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     return stored(both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t")).alias("z")).where(F.col("i") * 100 >= percent * (F.col("z") - F.col("i"))).select("a", "b"), "verified")
