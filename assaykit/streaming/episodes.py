@@ -1,0 +1,80 @@
+"""Memory episodes: the ordered steps of each (trial, store) folded into a state of facts.
+
+Steps are a table: trial_id, store, step (order), action, subject, object, target (the step whose fact is meant). The same
+fold runs on batches, grouped by trial and store, and on streams, with the state kept by Spark between batches.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Actions, and which need a target.
+ACTIONS = ("remember", "assert", "approve", "reject", "wrong", "forget", "retract", "rebuild", "recall", "inspect", "generate", "assert_state")
+TARGETED = ("approve", "reject", "wrong", "forget", "retract")
+RESULT = "trial_id string, store string, step long, action string, status string, active long, candidates long"
+
+
+def empty_state() -> dict:
+    return {"facts": {}, "corrections": [], "failed": []}
+
+
+def apply_step(state: dict, step: int, action: str, subject: str | None, object_: str | None, target: int | None) -> str:
+    """Changes the state; returns ok, skipped (its target failed or is unknown) or refused (not allowed for the target)."""
+    facts = state["facts"]
+    if action not in ACTIONS:
+        state["failed"].append(step)
+        return "refused"
+    if action in TARGETED:
+        if str(target) not in facts or target in state["failed"]:
+            state["failed"].append(step)
+            return "skipped"
+        f = facts[str(target)]
+        if action in ("approve", "reject") and f["status"] != "candidate":
+            state["failed"].append(step)
+            return "refused"
+        if action == "wrong":
+            state["corrections"].append([f["subject"], f["object"]])
+        f["status"] = {"approve": "active", "reject": "rejected", "wrong": "corrected", "forget": "forgotten", "retract": "retracted"}[action]
+    elif action == "remember":
+        facts[str(step)] = {"subject": subject, "object": object_, "status": "candidate"}
+    elif action == "assert":
+        for f in facts.values():
+            if f["subject"] == subject and f["status"] == "active":
+                f["status"] = "superseded"
+        facts[str(step)] = {"subject": subject, "object": object_, "status": "active"}
+    elif action == "rebuild":  # corrections outlive it, by what the fact said
+        for f in facts.values():
+            if f["status"] in ("active", "superseded") and [f["subject"], f["object"]] in state["corrections"]:
+                f["status"] = "corrected"
+    return "ok"
+
+
+def _fold(state: dict, steps: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    for r in steps.sort_values("step", kind="stable").itertuples(index=False):
+        status = apply_step(state, int(r.step), r.action, r.subject, r.object, None if pd.isna(r.target) else int(r.target))
+        of = [f["status"] for f in state["facts"].values()]
+        rows.append((r.trial_id, r.store, int(r.step), r.action, status, of.count("active"), of.count("candidate")))
+    return pd.DataFrame(rows, columns=["trial_id", "store", "step", "action", "status", "active", "candidates"])
+
+
+def fold_batch(steps: DataFrame) -> DataFrame:
+    """What each step did, and how many facts were active and candidates after it. An episode is one group: it is short."""
+    return steps.groupBy("trial_id", "store").applyInPandas(lambda pdf: _fold(empty_state(), pdf), RESULT)
+
+
+def fold_stream(steps: DataFrame) -> DataFrame:
+    """The same on a stream whose batches bring each episode's steps in order."""
+
+    def run(key, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        state = json.loads(held.get[0]) if held.exists else empty_state()
+        got = pd.concat(list(batches))
+        out = _fold(state, got)
+        held.update((json.dumps(state),))
+        yield out
+
+    return steps.groupBy("trial_id", "store").applyInPandasWithState(run, RESULT, "state string", "append", "NoTimeout")

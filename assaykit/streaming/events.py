@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Payload fields that leave the engine; longer strings are cut.
 PAYLOAD_FIELDS = ("run_id", "trial_id", "case_id", "candidate", "status", "outcome", "grader", "attempt", "reason", "count", "total")
 PAYLOAD_LENGTH = 200
 
 
-def read_log(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = 100) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str | StructType, *, files_per_trigger: int = 100) -> DataFrame:
     """The append-only log as a stream of new files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
