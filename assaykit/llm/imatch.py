@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import alnum_words, broadcast_within, let, row_keys, same_row, stored
 
-SUBSETS, LEVELS, DIGITS = 32, 24, 6
-_EMPTY = "-" * DIGITS
+SUBSETS, LEVELS, DIGITS = 32, 24, 4
+_EMPTY = "0" * DIGITS
 
 
 def terms(text: Column) -> Column:
@@ -42,28 +42,32 @@ def _mask(bits: Column) -> Column:
 
 def _sampled(found: Column) -> Column:
     """struct<level, h>: the level of a text with these terms, and its terms of that level and higher."""
-    return let(_level(F.size(found)), lambda lv: F.struct(lv.alias("level"), F.filter(found, lambda h: F.shiftright(h, 40).bitwiseAND(_mask(lv)) == 0).alias("h")))
+    return let(_level(F.size(found)), lambda lv: F.struct(lv.alias("level"), F.filter(found, lambda h: F.shiftright(h, 5).bitwiseAND(_mask(lv)) == 0).alias("h")))
 
 
 def _fingerprint(level: Column, listed: Column) -> Column:
-    """Level, then per subset the hash of its listed terms at that level, then at the next. ``listed`` is sorted."""
+    """Binary: the level, then per subset the hash of its listed terms at that level, then at the next; 0: none.
+
+    ``listed`` is sorted and holds the low bits of term hashes: the lowest five tell the subset, the next the level.
+    """
 
     def value(of: Column, s: int) -> Column:
         mine = F.filter(of, lambda h: F.pmod(h, F.lit(SUBSETS)) == s)
-        return let(mine, lambda m: F.when(F.size(m) == 0, F.lit(_EMPTY)).otherwise(F.right(F.lower(F.lpad(F.hex(F.xxhash64(m)), 16, "0")), F.lit(DIGITS))))
+        return let(mine, lambda m: F.when(F.size(m) == 0, F.lit(_EMPTY)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(m), F.lit(16**DIGITS - 1)) + 1), DIGITS, "0")))
 
     values = lambda of: F.concat(*[value(of, s) for s in range(SUBSETS)])
-    higher = F.filter(listed, lambda h: F.shiftright(h, 40).bitwiseAND(_mask(level + 1)) == 0)
-    return F.concat(F.lpad(level.cast("string"), 2, "0"), F.lit(":"), let(listed, values), F.lit(":"), let(higher, values))
+    higher = F.filter(listed, lambda h: F.shiftright(h, 5).bitwiseAND(_mask(level + 1)) == 0)
+    return F.unhex(F.concat(F.lpad(F.hex(level), 2, "0"), let(listed, values), let(higher, values)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subset values, 0 to 1, among those that either text has, at the coarser of the two levels.
+    """Of two (binary) fingerprints the share of equal subset values, 0 to 1, among those that either text has, at the coarser of the two levels.
 
     Equal fingerprints: 1. Levels more than one apart, a null, or no terms in either: 0.
     """
-    level = lambda f: F.substring(f, 1, 2).cast("int")
-    values = lambda f, at: F.when(level(f) == at, F.split_part(f, F.lit(":"), F.lit(2))).when(level(f) + 1 == at, F.split_part(f, F.lit(":"), F.lit(3)))
+    level = lambda f: F.conv(F.substring(F.hex(f), 1, 2), 16, 10).cast("int")
+    width = SUBSETS * DIGITS
+    values = lambda f, at: F.when(level(f) == at, F.substring(F.hex(f), 3, width)).when(level(f) + 1 == at, F.substring(F.hex(f), 3 + width, width))
     cut = lambda v: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(v, i * DIGITS + 1, F.lit(DIGITS)))
     at = F.greatest(level(a), level(b))
     pairs = F.filter(F.arrays_zip(cut(values(a, at)).alias("x"), cut(values(b, at)).alias("y")), lambda p: (p["x"] != _EMPTY) | (p["y"] != _EMPTY))
@@ -72,7 +76,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, text_cols: dict[str, str], lex: DataFrame, *, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``texts`` plus one fingerprint column for each of ``text_cols`` (text column: new column).
+    """``texts`` plus one fingerprint column (binary) for each of ``text_cols`` (text column: new column).
 
     Whole repeats of a row give one row. Rows must be told apart by ``__id`` and ``__text_hash`` (``row_keys``); text columns are dropped. Null is an empty
     text; a text without terms of the band has an empty fingerprint, equal for all such texts of its level.
@@ -85,7 +89,7 @@ def fingerprints(texts: DataFrame, text_cols: dict[str, str], lex: DataFrame, *,
     flat = sampled.select(*rest, *levels, F.explode_outer(found).alias("__t")).select(*rest, *[f"__level_{n}" for n in range(len(named))], "__t.*")
     kept = flat.join(broadcast_within(lex.withColumn("__in", F.lit(True)), broadcast_rows), "h", "left")
     keep = [c for c in rest if c not in ("__id", "__text_hash")] + [f"__level_{n}" for n in range(len(named))]
-    listed = [F.collect_set(F.when(F.col("__in") & (F.col("w") == n), F.col("h"))).alias(f"__list_{n}") for n in range(len(named))]
+    listed = [F.collect_set(F.when(F.col("__in") & (F.col("w") == n), F.col("h").bitwiseAND(0x7FFFFFFF).cast("int"))).alias(f"__list_{n}") for n in range(len(named))]
     grouped = kept.groupBy("__id", "__text_hash").agg(*[F.first(c).alias(c) for c in keep], *listed)
     prints = [_fingerprint(F.col(f"__level_{n}"), F.sort_array(f"__list_{n}")).alias(to) for n, to in enumerate(named)]
     return grouped.select("__id", "__text_hash", *[c for c in keep if not c.startswith("__level_")], *prints)

@@ -97,7 +97,7 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = done.select(F.col("__id").alias("n_id"), F.col("__text_hash").alias("n_hash"), F.col("fingerprint").alias("next_fingerprint"))
     joined = done.join(following, F.col("__next_id").eqNullSafe(F.col("n_id")) & (F.col("__next_hash") == F.col("n_hash")))
     return joined.select(
-        F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

@@ -33,8 +33,10 @@ def test_odd_rows(spark):
 
 
 def test_likeness_bounds(spark):
-    a = "00:" + "a" * 192 + ":" + "b" * 192
-    b = "01:" + "b" * 192 + ":" + "c" * 192
-    far = "05:" + "b" * 192 + ":" + "c" * 192
-    df = spark.createDataFrame([(a, a, 1.0), (a, b, 1.0), (a, far, 0.0), (a, None, 0.0)], "x string, y string, want double")
+    a = "00" + "a" * 128 + "b" * 128
+    b = "01" + "b" * 128 + "c" * 128
+    far = "05" + "b" * 128 + "c" * 128
+    half = "00" + "a" * 64 + "d" * 64 + "b" * 128
+    df = spark.createDataFrame([(a, a, 1.0), (a, b, 1.0), (a, far, 0.0), (a, None, 0.0), (a, half, 0.5)], "x string, y string, want double")
+    df = df.withColumns({"x": F.unhex("x"), "y": F.unhex("y")})
     assert df.where(imatch.likeness(F.col("x"), F.col("y")) != F.col("want")).count() == 0
