@@ -28,7 +28,7 @@ def bootstrap_interval(units: DataFrame, *, resamples: int = 1000, seed: int = 4
     """
     from assaykit.operators.records import positions
 
-    ranked = positions(units.withColumn("digest", F.sha2(F.col(cluster), 256)), "digest", cluster, to="u").select(F.col("u").cast("long").alias("u"), "num", "den")
+    ranked = positions(units.withColumn("digest", F.sha2(F.col(cluster), 256)), "digest", cluster, to="u").select(F.col("u").cast("long").alias("u"), "num", "den").persist()  # one row per cluster, read three times
     spark = units.sparkSession
     m = ranked.count()
     base = ranked.agg(F.count("*").alias("clusters"), F.try_divide(F.sum("num"), F.sum("den")).alias("delta"))
