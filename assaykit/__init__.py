@@ -1,0 +1 @@
+"""Spark-native analytics of evaluation runs."""
