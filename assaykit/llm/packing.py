@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,48 +20,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import drop_stored, stored
+from assaykit.llm.common import stored
 
 _ENCODERS: dict[str, WordIds] = {}
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of a run of non-white-space bytes, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokeniser drops white space, so ids of a text are those of its runs, one after the other.
-    Kept for the life of the Python worker; emptied when full; runs of over 64 bytes are not remembered.
+    The vocabulary's pre-tokeniser drops white space and parts letters from signs, so ids of a text are those of its
+    runs, one after the other, and of Latin letters with signs behind them those of the letters, in any case, and of the
+    signs. Kept for the life of the Python worker; emptied when full; runs of over 64 bytes are not remembered.
     """
 
-    LIMIT = 400_000
+    SIGNS = b".,;:!?*%$#&|)]"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.limit = limit
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def _add_parts(self, parts: set[bytes]) -> None:
+        new = list(parts.difference(self.parts))
+        if len(self.parts) + len(new) > self.limit:
+            self.parts = {b"": b""}
+            new = list(parts)
+        for part, got in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
+            self.parts[part] = array("I", got.ids).tobytes()
+
+    def _split(self, run: bytes) -> tuple[bytes, bytes]:
+        """Letters in lower case and the signs behind them, or the run as it is and nothing."""
+        core = run.rstrip(self.SIGNS)
+        if core.isalpha():  # of bytes: ASCII letters alone
+            return core.lower(), run[len(core) :]
+        letters = core.decode()
+        if letters.isalpha() and max(letters) < "\u0130":  # Latin: each letter has one lower case
+            return letters.lower().encode(), run[len(core) :]
+        return run, b""
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         runs = [t.split() for t in texts]
-        new = list(set().union(*runs).difference(self))
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(set().union(*runs))
-        for run, found in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self[run] = b"".join(i.to_bytes(4, "little") for i in found.ids)
-        out = [b"".join(map(self.__getitem__, r)) for r in runs]
-        for run in new:
+        found = set().union(*runs)
+        new = found.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = found
+        cut = {run: self._split(run) for run in new}
+        self._add_parts({x for pair in cut.values() for x in pair if x})
+        known, parts = self.known, self.parts
+        for run, (core, rest) in cut.items():
+            known[run] = parts[core] + parts[rest]
+        out = [b"".join(map(known.__getitem__, r)) for r in runs]
+        for run, (core, _) in cut.items():
             if len(run) > 64:
-                del self[run]
+                del known[run]
+                parts.pop(core, None)
         return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False, cache_runs: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (array<int>).
 
     A document is its token ids, then ``end_id``; only one of more than ``size`` ids is cut, every ``size`` ids. Null
     text is empty: ``end_id`` alone. Each row of docs is a document, repeated and null ids included; only the two
-    named columns are read.
+    named columns are read. ``cache_runs``: runs of characters that a Python worker remembers, some 400 bytes each with their parts.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length int, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
@@ -68,8 +95,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordIds(tokenizer)
+            _ENCODERS[tokenizer] = WordIds(tokenizer, cache_runs)
         encoder = _ENCODERS[tokenizer]
+        encoder.limit = cache_runs
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
@@ -184,9 +212,9 @@ def pack(cut: DataFrame, *, size: int = 4096, slack: int = 2, fan_in: int = 8, t
     return placed.select("m.*", "sequence_id", before_it.alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, slack: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, slack: int = 2, cache_runs: int = 1_000_000) -> DataFrame:
     """``pack`` of ``pieces``, the tokenised pieces stored first so that no round tokenises again."""
-    return pack(stored(pieces(docs, tokenizer, doc_id=doc_id, text=text, size=size, end_id=end_id), "pieces"), size=size, slack=slack)
+    return pack(stored(pieces(docs, tokenizer, doc_id=doc_id, text=text, size=size, end_id=end_id, cache_runs=cache_runs), "pieces"), size=size, slack=slack)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1) -> DataFrame:

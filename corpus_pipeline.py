@@ -48,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Placement of every document's pieces in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, word_bpe(), size=4096, end_id=1)
+    return packing.pack_documents(docs, word_bpe(), size=4096, end_id=1, cache_runs=400_000)  # Python workers serve all stages
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -8,7 +8,7 @@ from assaykit.llm import packing
 from assaykit.llm.queries import op2_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " \n\t ", "don't STOP now", "á é\x1c\x1dx", "<|endoftext|> x<|startoftext|>y", "it's 'll we'd   ́ 12 345 ¿qué? ÀÉ ß", "가 ᆨ à̕", "z" * 300, "word " * 9000]
+TEXTS = [None, "", " \n\t ", "don't STOP now", "á é\x1c\x1dx", "<|endoftext|> x<|startoftext|>y", "it's 'll we'd   ́ 12 345 ¿qué? ÀÉ ß", "가 ᆨ à̕", "z" * 300, "Th,a. THAND!! thand*** ÉLAN, a%%% don't. x's| (it) [ok] I'LL! <|endoftext|>.", "word " * 9000]
 
 
 def brute(texts, size=4096):
