@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -51,6 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -80,7 +83,7 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of a word's UTF-8 bytes, remembered; emptied when full so that memory stays bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

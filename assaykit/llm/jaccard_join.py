@@ -9,10 +9,11 @@ to its one-deletion neighbourhood (2, found within one difference), as long as t
 Nodes are distinct sets, so exact copies are one node. What is shuffled is (signature, node), combined before the
 shuffle to the smallest and largest node of a signature; only signatures of three or more rows are looked up again,
 by a broadcast of counted size or else a join. Candidates are compared in rounds, so that a large group of near copies
-is not expanded into all its pairs: each node with the smallest node of its signature, then ``pivots`` times, in
-signatures whose nodes are not yet in one component, with one by chance, and last all nodes of unlike components. Sizes and 256-bit parity sketches
-(each differing n-gram flips one bit, so more odd bits than H refute a pair) are checked in the join's condition;
-every pair left is verified on the whole sets. No link between different components is lost.
+is not expanded into all its pairs. First one node of each signature is its pivot, and each node is compared with its
+nearest pivot alone; ``pivots`` times more with pivots by chance, in signatures whose nodes are not yet in one component;
+and last, in those still open, all nodes of unlike components. Sizes and 256-bit parity sketches
+(each differing n-gram flips one bit, so more odd bits than H refute a pair) are checked in the join's condition, sketches
+as wide as the sets on the distinct pairs; every pair left is verified on the whole sets. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -122,12 +123,19 @@ def sketch(u: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(u: np.ndarray) -> np.ndarray:
+    """Parity bits again, as many as the set is large (a power of two), so that they tell large sets apart too."""
+    longs = max(4, 1 << max(0, (len(u) - 1).bit_length() - 6))
+    bits = np.bincount((_mixed(u ^ _U(0xE7037ED1A0B428DB)) % _U(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _longs(xs: list[np.ndarray]) -> pa.Array:
     return pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
 
 
 def described(texts: DataFrame, n: int, bands: Bands, widened: frozenset[int] = frozenset()) -> DataFrame:
-    """Per row of (__id, __text_hash, text): n_shingles, node (long: hash of the whole set; null: empty), sketch, sigs."""
+    """Per row of (__id, __text_hash, text): n_shingles, node (long: hash of the whole set; null: empty), sketch, wide, sigs."""
     id_type = texts.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +146,11 @@ def described(texts: DataFrame, n: int, bands: Bands, widened: frozenset[int] =
                 sets = [shingles(t, n) for t in part.column(2).cast(pa.binary()).to_pylist()]
                 nodes = [int(_mixed(np.array([_mixed(u).sum(dtype=_U) + _U(len(u))]))[0].view(np.int64)) if len(u) else None for u in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(u) for u in sets], pa.int64()), pa.array(nodes, pa.int64()), _longs([sketch(u) for u in sets]), _longs([signatures(u, own, widened) for u in sets])],
-                    ["__id", "__text_hash", "n_shingles", "node", "sketch", "sigs"],
+                    [part.column(0), part.column(1), pa.array([len(u) for u in sets], pa.int64()), pa.array(nodes, pa.int64()), _longs([sketch(u) for u in sets]), _longs([wide_sketch(u) for u in sets]), _longs([signatures(u, own, widened) for u in sets])],
+                    ["__id", "__text_hash", "n_shingles", "node", "sketch", "wide", "sigs"],
                 )
 
-    return texts.mapInArrow(run, f"__id {id_type}, __text_hash long, n_shingles long, node long, sketch array<long>, sigs array<long>")
+    return texts.mapInArrow(run, f"__id {id_type}, __text_hash long, n_shingles long, node long, sketch array<long>, wide array<long>, sigs array<long>")
 
 
 def allocate(costs: dict[int, int], bands: Bands, sets_in: dict[int, int]) -> tuple[frozenset[int], frozenset[int]]:
@@ -165,10 +173,26 @@ def allocate(costs: dict[int, int], bands: Bands, sets_in: dict[int, int]) -> tu
     return frozenset(given), frozenset(wide)
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether the sizes allow a link and the sketches do not refute it."""
+def _odd_bits(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: at most the sets' symmetric difference."""
+    return sum((F.bit_count(F.get(f"{a}.sketch", i).bitwiseXOR(F.get(f"{b}.sketch", i))) for i in range(4)), F.lit(0))
+
+
+def _wide_odd_bits(a: str, b: str) -> Column:
+    """The same of two wide sketches: the longer one is folded, half on half, to the shorter one's length."""
+
+    def folded(mine: str, other: str) -> Column:
+        half = (F.size(mine) / 2).cast("int")
+        halves = F.zip_with(F.slice(mine, F.lit(1), half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(mine) > F.size(other), halves).otherwise(F.col(mine))
+
+    x, y = folded(f"{a}.wide", f"{b}.wide"), folded(f"{b}.wide", f"{a}.wide")
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + F.coalesce(n, F.lit(0)))
+
+
+def _may_link(a: str, b: str, percent: int, odd: Column) -> Column:
+    """Whether the sizes allow a link and the odd bits, a lower bound of the symmetric difference, do not refute it."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    odd = sum((F.bit_count(F.get(f"{a}.sketch", i).bitwiseXOR(F.get(f"{b}.sketch", i))) for i in range(4)), F.lit(0))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -194,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, pivots: int = 3, broadcast_rows: int = 1_000_000,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, pivots: int = 2, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: __id, __text_hash (``row_keys``), n_shingles, component (smallest id reachable by links).
 
@@ -207,7 +231,7 @@ def near_duplicates(
     texts = docs.select(*[c.alias(k) for k, c in row_keys(doc_id, text).items()], F.col(text).alias("__text"))
     rows = stored(described(texts, n, bands), "sets")
     nodes = stored(
-        rows.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"), F.min(F.struct("__id", "__text_hash")).alias("one"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes"
+        rows.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"), F.min(F.struct("__id", "__text_hash")).alias("one"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "nodes"
     )
     flat = rows.where("node is not null").select("node", F.explode("sigs").alias("sig"))
     counted = lambda of: of.groupBy("sig").agg(F.count("*").alias("rows"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
@@ -237,28 +261,32 @@ def near_duplicates(
     found = stored(found, "members")
 
     about = nodes.select("node", "n", "sketch")
-    a, b = about.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x")), about.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
-
-    def compared(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """Distinct pairs (a, b) of nodes that may link and were not compared before."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        return stored(pairs.join(a, "a").join(b, "b").where(_may_link("x", "y", percent)).select("a", "b"), "pairs")
-
-    tried = compared(found.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")), None)
+    a, b = nodes.select(F.col("node").alias("a"), F.struct("n", "wide").alias("x")), nodes.select(F.col("node").alias("b"), F.struct("n", "wide").alias("y"))
+
+    def nearest(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """For each node (b) the pivot (a) whose sketch is nearest, among those it may link to and was not compared with."""
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        near = pairs.join(a, "a").join(b, "b").withColumn("odd", _wide_odd_bits("x", "y")).where(_may_link("x", "y", percent, F.col("odd")))
+        one = near.groupBy("b").agg(F.min(F.struct("odd", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
+        return stored(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    tried = nearest(found.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")), None)
     linked = verified(tried, nodes, texts, n, percent, broadcast_rows)
     for turn in range(pivots):
         placed, open_sigs = _still_open(found, components(linked), turn)
         pivoted = placed.join(open_sigs, "sig").where(F.col("component") != F.col("pivot.component"))
-        more = compared(pivoted.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")), tried)
+        more = nearest(pivoted.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")), tried)
         tried = tried.unionByName(more)
         linked = linked.unionByName(verified(more, nodes, texts, n, percent, broadcast_rows))
 
     placed, open_sigs = _still_open(found, components(linked), 0)
     still = stored(placed.join(open_sigs, "sig").join(about, "node").select("sig", "node", "component", F.struct("n", "sketch").alias("x")), "open")
     left, right = still.alias("l"), still.select("sig", F.col("node").alias("b"), F.col("component").alias("other"), F.col("x").alias("y"))
-    rest = left.join(right, (F.col("l.sig") == right["sig"]) & (F.col("l.component") < F.col("other")) & _may_link("x", "y", percent))
-    rest = stored(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = left.join(right, (F.col("l.sig") == right["sig"]) & (F.col("l.component") < F.col("other")) & _may_link("x", "y", percent, _odd_bits("x", "y")))
+    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = stored(rest.join(a, "a").join(b, "b").where(_may_link("x", "y", percent, _wide_odd_bits("x", "y"))).select("a", "b"), "pairs")
     linked = linked.unionByName(verified(rest, nodes, texts, n, percent, broadcast_rows))
     whole = components(linked)
 

@@ -30,7 +30,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 divided by the golden
 class _Words(dict):
     """A word's 64-bit hash with its shape in the low 8 bits; emptied when full, long words are not remembered."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         s = word.decode("utf-8", "replace")

@@ -8,8 +8,8 @@ its node's degrees, and as each occurrence of a nonbranching path runs through a
 each document as a run of such edges. Windows inside a path are repeated. Those around a repeated anchor that
 cross a branch or an end are compared by their own hash, at their coordinates in each source.
 
-Shuffled: a narrow row per anchor, twice; a row per window at a branch, twice; and the texts, twice. Counts combine
-before the shuffle; joins on hot k-mers are inner equi-joins that adaptive execution splits.
+Shuffled: a narrow row per anchor and one per window at a branch, twice each; and the texts, once. The spans go back to
+the texts by a broadcast after they are counted, beyond ``broadcast_rows`` by a shuffle. Counts combine before the shuffle; joins on hot k-mers are inner equi-joins that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import WordHashes, row_keys, same_row, stored
+from assaykit.llm.common import WordHashes, drop_stored, row_keys, same_row, stored
 
 _HASHES = WordHashes()
 _BASE = 0xD1342543DE82EF95  # fixed value: an odd 64-bit multiplier
@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     words which starts anywhere else too, in the same text or another. Texts without one are left out."""
     texts = docs.select(*[c.alias(n) for n, c in row_keys(doc_id, text).items()], F.col(text).alias("__text"))
     id_type = texts.schema["__id"].dataType.simpleString()
-    anchors = anchor_rows(texts, span, k)
+    anchors = stored(anchor_rows(texts, span, k), "anchors")
     ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("before", "after") for f in (F.min, F.max)]
     nodes = anchors.groupBy("node").agg(F.count("*").alias("n"), *ends).where("n > 1")
     nodes = nodes.select("node", *[((F.col(f"{c}_min") == F.col(f"{c}_max")) & (F.col(f"{c}_min") != 0)).alias(side) for c, side in (("before", "left"), ("after", "right"))])
@@ -177,13 +177,29 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     with_nodes = texts.join(per_text.hint("shuffle_hash"), same_row(texts, per_text)).select(texts["*"], "nodes")
     compacted = stored(with_nodes.mapInArrow(run, f"__id {id_type}, __text_hash long, spans array<struct<start:int,end:int>>, starts array<int>, hashes array<long>"), "compacted")
     open_windows = compacted.select("__id", "__text_hash", F.inline(F.arrays_zip("starts", "hashes")).alias("start", "h"))
-    again = open_windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    drop_stored(anchors)
+    again = open_windows.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     window_spans = open_windows.join(again, "h").select("__id", "__text_hash", F.struct("start", (F.col("start") + span).alias("end")).alias("s"))
     path_spans = compacted.select("__id", "__text_hash", F.explode("spans").alias("s"))
-    return path_spans.unionByName(window_spans).groupBy("__id", "__text_hash").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    found = path_spans.unionByName(window_spans).groupBy("__id", "__text_hash").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+
+    def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for listed in batch.column(2).to_pylist():
+                own = listed[:1]
+                for x in listed[1:]:
+                    if x["start"] <= own[-1]["end"]:
+                        own[-1]["end"] = max(own[-1]["end"], x["end"])
+                    else:
+                        own.append(x)
+                spans.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, batch.column(2).type)], ["__id", "__text_hash", "spans"])
+
+    return found.mapInArrow(joined_up, found.schema)
 
 
-def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 35, k: int = 8) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 35, k: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with each word removed from ``text`` that a window of ``span`` words covers whose word sequence also
     starts anywhere else (every copy goes), and n_words, n_removed. Kept words are joined by one space.
 
@@ -192,10 +208,12 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     repeated row repeats all its windows, so a long one loses all its words in both. Columns named n_words or
     n_removed are replaced, others pass through; an empty table stays empty. Sequences are compared by 64-bit hashes.
     """
-    spans = repeated_spans(docs, doc_id=doc_id, text=text, span=span, k=k)
+    spans = stored(repeated_spans(docs, doc_id=doc_id, text=text, span=span, k=k), "spans")
+    if (spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= broadcast_rows:  # a span or a key is 16 bytes
+        spans = F.broadcast(spans)
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     base = docs.select(*rest).withColumns(row_keys(doc_id, text))
-    joined = base.join(spans.hint("shuffle_hash"), same_row(base, spans), "left").select(*[base[c] for c in rest], F.col("spans").alias("__spans"))
+    joined = base.join(spans, same_row(base, spans), "left").select(*[base[c] for c in rest], F.col("spans").alias("__spans"))
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
