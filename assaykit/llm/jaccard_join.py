@@ -5,6 +5,8 @@ the smaller lies in it; the universe of n-grams is hashed into H + 1 segments, s
 least. Each set is indexed under the scheme of its band and, if a smaller partner may lie there, the band below.
 Measured costs allocate the segments: one whose values many sets share may be given up (0) if a cheap one is widened
 to its one-deletion neighbourhood (2, found within one difference), as long as the allocations sum to H + 1.
+Many sets agree on an empty segment. A set of own size n allows fewer differences than H, so it agrees with a linked
+set on that many segments more; if these outnumber its empty segments, it is not indexed under those, without loss.
 
 Nodes are distinct sets, so exact copies are one node. What is shuffled is (signature, node), combined before the
 shuffle to the smallest and largest node of a signature; only signatures of three or more rows are looked up again,
@@ -78,6 +80,11 @@ class Bands:
         large = small * 100 // self.percent
         return (100 - self.percent) * (small + large) // (100 + self.percent) + 1
 
+    def most_apart(self, size: int, g: int) -> int:
+        """Largest symmetric difference of a set of ``size`` and a set linked to it through the scheme of band ``g``."""
+        partner = size * 100 // self.percent if g == self.band(size) else self.edge(g + 1) - 1
+        return (100 - self.percent) * (size + partner) // (100 + self.percent)
+
     def schemes(self, size: int) -> list[int]:
         g = self.band(size)
         if g < 0:
@@ -107,7 +114,9 @@ def signatures(u: np.ndarray, bands: Bands, widened: frozenset[int] = frozenset(
         total = sums[ends[1:]] - sums[ends[:-1]]
         sign = lambda values, c, extra: (_mixed(values + c * _U(0x9E3779B97F4A7C15) + _U(extra)) & ~_U(CODES - 1)) | c
         if not widened:
-            out.append(sign(total, codes, g + 1))
+            empty = ends[1:] == ends[:-1]
+            keep = ~empty if m - bands.most_apart(len(u), g) > empty.sum() else slice(None)
+            out.append(sign(total[keep], codes[keep], g + 1))
             continue
         wide = np.flatnonzero([int(c) in widened for c in codes])
         for i in wide:

@@ -99,3 +99,19 @@ def test_clashing_names_and_empty(spark):
     rows = jj.near_duplicates(df).collect()
     assert [r.component for r in rows] == [5, 5, 5]
     assert jj.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        bands = jj.Bands(percent)
+        for _ in range(400):
+            size = int(rng.integers(10, 400))
+            both = rng.integers(0, 2**63, size, dtype=np.uint64)
+            other = int(rng.integers(0, size * (100 - percent) // percent + 1))
+            mine = int(rng.integers(0, other + 1))
+            extra = rng.integers(0, 2**63, other, dtype=np.uint64)
+            u, v = np.unique(np.concatenate([both, extra[:mine]])), np.unique(np.concatenate([both, extra[mine:]]))
+            assert 100 * size >= percent * (size + other)
+            if size + other > size:
+                assert np.intersect1d(jj.signatures(u, bands), jj.signatures(v, bands)).size
