@@ -1,32 +1,31 @@
 """Hierarchical Pitman-Yor language model: Chinese-restaurant seatings sampled by Gibbs sweeps, predictions averaged.
 
-Two levels: a restaurant for each class of preceding words (``contexts`` classes by hash, so that their totals are a
-table of fixed size), all sharing one parent restaurant over single words, whose base is uniform over the training
-words and one unknown word. Every training token is a customer; each sample seats all of them.
+Two levels: a restaurant for each preceding word, told apart by 64-bit hash, all sharing one parent restaurant over
+single words, whose base is uniform over the training words and one unknown word. Every training token is a customer;
+each sample seats all of them.
 
 Tokens are dealt by word: a bucket holds all tokens of its words, with their context, so a word's customers in every
 context restaurant, the tables they open and the parent's customers are all local. Words of at least ``hot_share`` of
-a sample's tokens (at most 1 / hot_share words) are dealt by word and context instead, and their sums travel with the
-totals. Each bucket samples with its own share of the context totals scaled up; the predictions then use the exact
-totals of each sample, summed by Spark (their number does not depend on the corpus), so probabilities sum to one.
-Texts are read once into binary columns; what is shuffled is some 6 bytes a token, and one number per document and
-bucket on the way back.
+the tokens (at most 1 / hot_share words) are dealt by word and context instead; their sums pass through the driver,
+which seats them in the parent. A context's totals lie in many buckets: after each sweep every bucket sends the sums of
+its own contexts to parts of the hash range, which add them up and send each bucket the totals it asked for. So sweeps
+and predictions use the exact totals of the sweep before, of every preceding word, and probabilities sum to one.
+Texts are read once into binary columns; one number per document and bucket comes back.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from assaykit.llm.common import WordHashes, stored
+from assaykit.llm.common import WordHashes, drop_stored, stored
 
 _HASHES = WordHashes()
 _U = np.uint64
@@ -34,11 +33,17 @@ _MIX = _U(0x9E3779B97F4A7C15)  # fixed value: 2^64 divided by the golden ratio
 END = 0x656E64  # the end of a text, as a word's hash
 BEGIN = 0x626567696E  # what precedes the first word
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
+TOKENS = ("words", "counts", "contexts", "ctx", "doc")  # of a chunk in a bucket; ctx: index into its contexts
+BLOBS = (*TOKENS, "train")
+SUM_TYPES = (np.float32, np.float64, np.uint32)  # of a document's sums in one bucket: score, base score, known tokens
+
+
+def _index_kind(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
 @dataclass(frozen=True)
 class Settings:
-    contexts: int = 1 << 14
     discount: float = 0.75
     strength: float = 20.0
     parent_discount: float = 0.6
@@ -92,34 +97,35 @@ def _chunks(docs: DataFrame, hot: list[int], buckets: int, s: Settings) -> DataF
             before = np.empty_like(w)
             before[1:] = w[:-1]
             before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = BEGIN
-            ctx = ((before * _MIX) >> _U(40)) % _U(s.contexts)
             doc = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
             place = (w * _MIX) >> _U(32)
             if len(hot_words):
                 is_hot = hot_words[np.minimum(np.searchsorted(hot_words, w), len(hot_words) - 1)] == w
-                place[is_hot] = ((w[is_hot] ^ (ctx[is_hot] << _U(48))) * _MIX) >> _U(32)
+                place[is_hot] = ((w[is_hot] ^ ((before[is_hot] * _MIX) >> _U(7))) * _MIX) >> _U(32)
             bucket = (place * _U(buckets)) >> _U(32)
             order = np.lexsort((w, bucket))
-            w, ctx, doc, bucket = w[order], ctx[order].astype(np.uint16), doc[order], bucket[order]
+            w, before, doc, bucket = w[order], before[order], doc[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1).astype(_U))
             chunk = uuid.uuid4().int >> 65
-            cols: dict[str, list] = {c: [] for c in ("bucket", "words", "counts", "ctx", "doc")}
+            cols: dict[str, list] = {c: [] for c in ("bucket", *TOKENS)}
             for b in range(buckets):
                 part = slice(edges[b], edges[b + 1])
                 if edges[b] == edges[b + 1]:
                     continue
                 words, counts = np.unique(w[part], return_counts=True)
-                for c, v in (("bucket", b), ("words", words.tobytes()), ("counts", counts.astype(np.uint32).tobytes()), ("ctx", ctx[part].tobytes()), ("doc", doc[part].tobytes())):
+                contexts, ctx = np.unique(before[part], return_inverse=True)
+                found = (words, counts.astype(np.uint32), contexts, ctx.astype(_index_kind(len(contexts))), doc[part])
+                for c, v in (("bucket", b), *((c, x.tobytes()) for c, x in zip(TOKENS, found, strict=True))):
                     cols[c].append(v)
             n = len(cols["bucket"])
             arrays = [pa.array([*cols["bucket"], -1 - chunk % buckets], pa.int32()), pa.array([chunk] * (n + 1), pa.int64())]
-            arrays += [pa.array([*cols[c], b""], pa.binary()) for c in ("words", "counts", "ctx", "doc")]
+            arrays += [pa.array([*cols[c], b""], pa.binary()) for c in TOKENS]
             train = np.array([x[1] for x in held], np.uint8)
             arrays.append(pa.array([train.tobytes()] * (n + 1), pa.binary()))
             arrays.append(pa.array([None] * n + [pa.concat_arrays([x[0] for x in held]).to_pylist()], pa.list_(held[0][0].type)))
             arrays.append(pa.array([None] * n + [sizes.tolist()], pa.list_(pa.int64())))
             held.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", "words", "counts", "ctx", "doc", "train", "ids", "sizes"])
+            return pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", *TOKENS, "train", "ids", "sizes"])
 
         tokens = 0
         for batch in batches:
@@ -136,7 +142,7 @@ def _chunks(docs: DataFrame, hot: list[int], buckets: int, s: Settings) -> DataF
         if held:
             yield flush()
 
-    return docs.select("__id", "__train", "__text").mapInArrow(run, f"bucket int, chunk long, words binary, counts binary, ctx binary, doc binary, train binary, ids array<{id_type.simpleString()}>, sizes array<long>")
+    return docs.select("__id", "__train", "__text").mapInArrow(run, f"bucket int, chunk long, words binary, counts binary, contexts binary, ctx binary, doc binary, train binary, ids array<{id_type.simpleString()}>, sizes array<long>")
 
 
 class _Bucket:
@@ -149,40 +155,78 @@ class _Bucket:
         self.doc = np.concatenate([d.astype(np.int32) + np.int32(at) for d, at in zip(read("doc", np.uint16), self.starts[:-1], strict=True)])
         w = np.concatenate([np.repeat(a, b) for a, b in zip(read("words", _U), read("counts", np.uint32), strict=True)])
         self.words, word = np.unique(w, return_inverse=True)
-        pair = word.astype(_U) << _U(16)
+        pair = word.astype(_U) << _U(32)
         del w, word
-        pair |= np.concatenate(read("ctx", np.uint16)).astype(_U)
+        dealt = read("contexts", _U)
+        self.contexts = np.unique(np.concatenate(dealt))
+        pair |= np.concatenate([np.searchsorted(self.contexts, c)[np.frombuffer(x, _index_kind(len(c)))] for c, x in zip(dealt, row["ctx"], strict=True)]).astype(_U)
         pair, kinds = np.unique(pair, return_inverse=True)
         self.type = kinds.astype(np.int32)
-        self.word, self.ctx = (pair >> _U(16)).astype(np.int32), (pair & _U(0xFFFF)).astype(np.int32)
+        self.word, self.ctx = (pair >> _U(32)).astype(np.int32), (pair & _U(0xFFFFFFFF)).astype(np.int32)
         in_train = np.concatenate(self.train)[self.doc]
         self.count = np.bincount(self.type, in_train, len(pair)).astype(np.int64)
         self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
 
 
-SUM_TYPES = (np.float32, np.float64, np.uint32)  # of a document's sums in one bucket: score, base score, known tokens
-BLOBS = ("words", "counts", "ctx", "doc", "train")
-
-
-def _sampled(b: _Bucket, hot: np.ndarray, buckets: int, s: Settings, rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Tables per type and per word, of each kept sample."""
-    share = np.where(hot, buckets, 1)  # a hot word's customers are spread over all buckets
-    uniform = 1 / (buckets * max(1, int((b.word_count > 0).sum())) + 1)
-    tables = np.minimum(b.count, 1)
-    kept, kept_words = [], []
-    word_tables = np.minimum(b.word_count, 1)
-    for sweep in range(s.burn_in + s.samples):
-        guests = np.bincount(b.word, tables, len(b.words))
-        total, opened = buckets * guests.sum(), buckets * (word_tables / share).sum()
-        parent = (guests * share - s.parent_discount * word_tables + (s.parent_strength + s.parent_discount * opened) * uniform) / (s.parent_strength + total)
-        in_context = buckets * np.bincount(b.ctx, tables, s.contexts)
-        tables = seat(b.count, np.maximum(parent, uniform * 1e-3)[b.word], np.maximum(in_context[b.ctx] - tables, 0), s.discount, s.strength, rng)
-        guests = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
-        word_tables = seat(guests, np.full(len(guests), uniform), np.maximum(opened - word_tables, 0), s.parent_discount, s.parent_strength, rng)
-        if sweep >= s.burn_in:
-            kept.append(tables)
-            kept_words.append(word_tables)
-    return kept, kept_words
+@dataclass(frozen=True)
+class _Parent:
+    """What all buckets share of the parent restaurant: hot words' guests and tables, all guests and tables, known words."""
+
+    hot: np.ndarray
+    guests: np.ndarray
+    tables: np.ndarray
+    everyone: float
+    opened: float
+    n_words: int
+
+    def __call__(self, words: np.ndarray, guests: np.ndarray, tables: np.ndarray, s: Settings) -> np.ndarray:
+        """Probabilities of a bucket's words, whose own guests and tables are given."""
+        guests, tables = guests.astype(np.float64), tables.astype(np.float64)
+        at, is_hot = _places(self.hot, words)
+        guests[is_hot], tables[is_hot] = self.guests[at], self.tables[at]
+        return (guests - s.parent_discount * tables + (s.parent_strength + s.parent_discount * self.opened) / (self.n_words + 1)) / (s.parent_strength + self.everyone)
+
+
+def _places(hot: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``hot`` of the words that are hot, and which ones are."""
+    is_hot = np.isin(words, hot)
+    return np.searchsorted(hot, words[is_hot]), is_hot
+
+
+def _slices(contexts: np.ndarray, parts: int) -> np.ndarray:
+    """Edges of the parts of the hash range in sorted ``contexts``."""
+    starts = np.array([(p << 64) // parts for p in range(1, parts)], _U)
+    return np.concatenate([[0], np.searchsorted(contexts, starts), [len(contexts)]])
+
+
+def _sent(bucket: int, contexts: np.ndarray, sums: list[np.ndarray], parts: int) -> list[dict]:
+    """A bucket's sums by context, a row for each part of the hash range."""
+    edges = _slices(contexts, parts)
+    return [
+        {"bucket": bucket, "kind": "part", "part": p, "blobs": [contexts[i:j].tobytes(), *(x[i:j].astype(np.uint32).tobytes() for x in sums)]}
+        for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True))
+        if j > i
+    ]
+
+
+def _totals(sent: DataFrame, kind: str) -> DataFrame:
+    """The sums of every context over all buckets, a row for each row of ``sent``, back to its bucket."""
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        contexts, at = np.unique(np.concatenate([np.frombuffer(r["blobs"][0], _U) for r in rows]), return_inverse=True)
+        edges = np.cumsum([0, *(len(r["blobs"][0]) // 8 for r in rows)])
+        sums = [np.bincount(at, np.concatenate([np.frombuffer(r["blobs"][n], np.uint32) for r in rows]), len(contexts)).astype(np.int64)[at] for n in range(1, len(rows[0]["blobs"]))]
+        back = [[x[i:j].tobytes() for x in sums] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "kind": pa.array([kind] * len(rows)), "blobs": pa.array(back, pa.list_(pa.binary()))})
+
+    return sent.groupBy("part").applyInArrow(add, "bucket int, part int, kind string, blobs array<binary>")
+
+
+def _by_context(rows: list[dict], kind: str, n: int = 0) -> np.ndarray:
+    """The n-th totals of a bucket's contexts, in their order, from the rows of ``_totals``."""
+    found = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
+    return np.concatenate([np.frombuffer(r["blobs"][n], np.int64) for r in found]).astype(np.float64)
 
 
 def perplexity_scores(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -201,81 +245,113 @@ def perplexity_scores(docs: DataFrame, train: Column, *, doc_id: str = "doc_id",
     buckets = max(4, -(-size // (6 * s.bucket_tokens)))
     hot = _hot_words(rows, s)
 
-    fields = f"bucket int, chunks array<long>, {', '.join(f'{c} array<binary>' for c in BLOBS)}, ids array<{id_type}>, sizes array<long>, tables array<binary>, kind string, sums array<double>"
-    names = [x.split()[0] for x in fields.split(", ")]
-    id_arrow = pa.list_(to_arrow_type(rows.schema["__id"].dataType))
-    types = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * len(BLOBS), id_arrow, pa.list_(pa.int64()), pa.list_(pa.binary()), pa.string(), pa.list_(pa.float64())]
-    schema = pa.schema(list(zip(names, types, strict=True)))
+    hot_words = np.array(hot, _U)
+    fields = f"bucket int, kind string, part int, chunks array<long>, {', '.join(f'{c} array<binary>' for c in BLOBS)}, blobs array<binary>, ids array<{id_type}>, sizes array<long>, sums array<double>"
+    blobs, longs = pa.list_(pa.binary()), pa.list_(pa.int64())
+    types = [pa.int32(), pa.string(), pa.int32(), longs, *[blobs] * (len(BLOBS) + 1), pa.list_(to_arrow_type(rows.schema["__id"].dataType)), longs, pa.list_(pa.float64())]
+    schema = pa.schema(list(zip([x.split()[0] for x in fields.split(", ")], types, strict=True)))
 
-    def sample(t: pa.Table) -> pa.Table:
-        """A bucket in one row, with its samples, and its sums in three more; documents' rows as they are."""
+    def opened(t: pa.Table) -> pa.Table:
+        """A bucket's tokens in one row, its types in another, and its first sums; documents' rows as they are."""
         _HASHES.clear()
-        if t.column("bucket")[0].as_py() < 0:
-            return pa.Table.from_pylist([{"bucket": r["bucket"], "chunks": [r["chunk"]], "train": [r["train"]], "ids": r["ids"], "sizes": r["sizes"]} for r in t.to_pylist()], schema)
         bucket = t.column("bucket")[0].as_py()
-        row = {"bucket": bucket, "chunks": t.column("chunk").to_pylist()} | {c: t.column(c).to_pylist() for c in BLOBS}
+        if bucket < 0:
+            return pa.Table.from_pylist([{"bucket": r["bucket"], "kind": "documents", "chunks": [r["chunk"]], "train": [r["train"]], "ids": r["ids"], "sizes": r["sizes"]} for r in t.to_pylist()], schema)
+        row = {"bucket": bucket, "kind": "tokens", "chunks": t.column("chunk").to_pylist()} | {c: t.column(c).to_pylist() for c in BLOBS}
         b = _Bucket(row)
-        is_hot = np.isin(b.words, np.array(hot, _U))
-        kept, kept_words = _sampled(b, is_hot, buckets, s, np.random.default_rng([s.seed, bucket]))
-        at = np.searchsorted(np.array(hot, _U), b.words[is_hot])
-        ctx = np.zeros((s.contexts, s.samples + 1))
-        of_hot = np.zeros((max(1, len(hot)), 2 * s.samples + 1))
-        ctx[:, 0] = np.bincount(b.ctx, b.count, s.contexts)
-        of_hot[at, 0] = b.word_count[is_hot]
-        total = [float(b.word_count.sum()), float((b.word_count[~is_hot] > 0).sum())]
-        for n, (tables, words) in enumerate(zip(kept, kept_words, strict=True)):
-            guests = np.bincount(b.word, tables, len(b.words))
-            ctx[:, n + 1] = np.bincount(b.ctx, tables, s.contexts)
-            of_hot[at, 1 + 2 * n], of_hot[at, 2 + 2 * n] = guests[is_hot], words[is_hot]
-            total += [float(guests.sum()), float(words.sum())]
-        row["tables"] = [x.astype(np.uint32).tobytes() for pair in zip(kept, kept_words, strict=True) for x in pair]
-        sums = [{"bucket": bucket, "kind": k, "sums": v} for k, v in (("context", ctx.ravel().tolist()), ("hot", of_hot.ravel().tolist()), ("all", total))]
-        return pa.Table.from_pylist([row, *sums], schema)
+        tables = np.minimum(b.count, 1)
+        at, is_hot = _places(hot_words, b.words)
+        of_hot = np.zeros((2, len(hot)))
+        of_hot[0, at], of_hot[1, at] = b.word_count[is_hot], np.bincount(b.word, tables, len(b.words))[is_hot]
+        sums = [float(b.count.sum()), float(tables.sum()), float((b.word_count[~is_hot] > 0).sum()), *of_hot.ravel().tolist()]
+        of_types = [b.words, np.bincount(b.word, minlength=len(b.words)).astype(np.uint32), b.contexts, b.ctx.astype(np.uint32), b.count.astype(np.uint32)]
+        seats = [tables.astype(np.uint32), np.minimum(b.word_count, 1).astype(np.uint32)]
+        sent = _sent(bucket, b.contexts, [np.bincount(b.ctx, x, len(b.contexts)) for x in (tables, b.count)], buckets)
+        more = [{"bucket": bucket, "kind": k, "blobs": [x.tobytes() for x in v]} for k, v in (("types", of_types), ("tables", seats))]
+        return pa.Table.from_pylist([row, *more, *sent, {"bucket": bucket, "kind": "sums", "sums": sums}], schema)
+
+    def summed(state: DataFrame) -> np.ndarray:
+        """A few sums and those of hot words, over all buckets."""
+        found = state.where("kind = 'sums'").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(3 + 2 * len(hot))
+        out[found.column("at").to_numpy()] = found.column("v").to_numpy()
+        return out
 
     dealt = _chunks(rows, hot, buckets, s)
-    state = stored(dealt.groupBy("bucket").applyInArrow(sample, fields), "restaurants")
-
-    # totals of fixed size: contexts x (samples + 1), hot words x (2 samples + 1), and a few sums
-    summed = state.where("kind is not null").select("kind", F.posexplode("sums").alias("at", "v")).groupBy("kind", "at").agg(F.sum("v").alias("v")).toArrow()
-    totals = {}
-    for kind, width in (("context", s.contexts * (s.samples + 1)), ("hot", max(1, len(hot)) * (2 * s.samples + 1)), ("all", 2 + 2 * s.samples)):
-        totals[kind] = np.zeros(width)
-        mine = summed.filter(pc.equal(summed.column("kind"), kind))
-        totals[kind][mine.column("at").to_numpy()] = mine.column("v").to_numpy()
-    of_hot = totals["hot"].reshape(-1, 2 * s.samples + 1)
-    n_train, n_words = totals["all"][0], totals["all"][1] + (of_hot[:, 0] > 0).sum()
-    shared = rows.sparkSession.sparkContext.broadcast((totals["context"].reshape(-1, s.samples + 1), of_hot, totals["all"], np.array(hot, _U)))
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield scored(batch.slice(i, 1).to_pylist()[0])
-
-    def scored(row: dict) -> pa.RecordBatch:
-        context, hot_sums, total, hot_words = shared.value
+    state = stored(dealt.groupBy("bucket").applyInArrow(opened, fields), "restaurants")
+    first = summed(state)
+    hot_counts, hot_guests = first[3:].reshape(2, -1)
+    n_train, n_words = first[0], int(first[2] + (hot_counts > 0).sum())
+    parent = _Parent(hot_words, hot_guests, np.minimum(hot_counts, 1), first[1], float(n_words), n_words)
+
+    columns = ("bucket", "kind", "part", "blobs")
+    swept_fields = "bucket int, kind string, part int, blobs array<binary>, sums array<double>"
+    swept_schema = pa.schema([schema.field(c) for c in (*columns, "sums")])
+
+    def sweeper(turn: int, parent: _Parent) -> Callable[[pa.Table], pa.Table]:
+        def sweep(t: pa.Table) -> pa.Table:
+            given = t.to_pylist()
+            bucket, of = given[0]["bucket"], {r["kind"]: r["blobs"] for r in given if r["kind"] in ("types", "tables")}
+            words, per_word, contexts, ctx, count = (np.frombuffer(x, k) for x, k in zip(of["types"], (_U, np.uint32, _U, np.uint32, np.uint32), strict=True))
+            tables, word_tables = (np.frombuffer(x, np.uint32).astype(np.int64) for x in of["tables"])
+            word, count, rng = np.repeat(np.arange(len(words)), per_word), count.astype(np.int64), np.random.default_rng([s.seed, bucket, turn])
+            p = parent(words, np.bincount(word, tables, len(words)), word_tables, s)
+            uniform = 1 / (parent.n_words + 1)
+            others = np.maximum(_by_context(given, "totals")[ctx] - tables, 0)
+            tables = seat(count, np.maximum(p, uniform * 1e-3)[word], others, s.discount, s.strength, rng)
+            guests = np.bincount(word, tables, len(words)).astype(np.int64)
+            at, is_hot = _places(hot_words, words)
+            of_hot = np.zeros((2, len(hot)))
+            of_hot[1, at] = guests[is_hot]
+            word_tables = seat(np.where(is_hot, 0, guests), np.full(len(words), uniform), np.maximum(parent.opened - word_tables, 0), s.parent_discount, s.parent_strength, rng)
+            sums = [0.0, float(guests.sum()), float(word_tables.sum()), *of_hot.ravel().tolist()]
+            done = {"bucket": bucket, "kind": "tables", "blobs": [x.astype(np.uint32).tobytes() for x in (tables, word_tables)]}
+            return pa.Table.from_pylist([done, *_sent(bucket, contexts, [np.bincount(ctx, tables, len(contexts))], buckets), {"bucket": bucket, "kind": "sums", "sums": sums}], swept_schema)
+
+        return sweep
+
+    types_only, now = state.where("kind = 'types'").select(*columns), state
+    kept: list[tuple[DataFrame, _Parent]] = []
+    for turn in range(s.burn_in + s.samples):
+        totals = _totals(now.where("kind = 'part'").select(*columns), "totals").select(*columns)
+        before = now.where("kind = 'tables'").select(*columns)
+        after = stored(types_only.unionByName(before).unionByName(totals).groupBy("bucket").applyInArrow(sweeper(turn, parent), swept_fields), "sweep")
+        if turn and turn <= s.burn_in:
+            drop_stored(now)
+        now, got = after, summed(after)
+        guests = got[3 + len(hot) :]
+        rng = np.random.default_rng([s.seed, turn])
+        tables = seat(guests.astype(np.int64), np.full(len(hot), 1 / (n_words + 1)), np.maximum(parent.opened - parent.tables, 0), s.parent_discount, s.parent_strength, rng)
+        parent = _Parent(hot_words, guests, tables, got[1], float(got[2] + tables.sum()), n_words)
+        if turn >= s.burn_in:
+            kept.append((now, parent))
+
+    def predict(t: pa.Table) -> pa.Table:
+        given = t.to_pylist()
+        row = next(r for r in given if r["kind"] == "tokens")
         b = _Bucket(row)
-        is_hot = np.isin(b.words, hot_words)
-        at = np.searchsorted(hot_words, b.words[is_hot])
-        known = b.word_count.copy()
-        known[is_hot] = hot_sums[at, 0]
+        at, is_hot = _places(hot_words, b.words)
+        known = b.word_count.astype(np.float64)
+        known[is_hot] = hot_counts[at]
         p = np.zeros(len(b.count))
-        uniform = 1 / (n_words + 1)
-        own = s.strength + context[b.ctx, 0]
-        for n in range(s.samples):
-            seats, words = (np.frombuffer(row["tables"][2 * n + i], np.uint32).astype(np.float64) for i in range(2))
-            guests = np.bincount(b.word, seats, len(b.words))
-            guests[is_hot], words[is_hot] = hot_sums[at, 1 + 2 * n], hot_sums[at, 2 + 2 * n]
-            everyone, opened = total[2 + 2 * n], total[3 + 2 * n]
-            parent = (guests - s.parent_discount * words + (s.parent_strength + s.parent_discount * opened) * uniform) / (s.parent_strength + everyone)
-            p += (b.count - s.discount * seats + (s.strength + s.discount * context[b.ctx, n + 1]) * parent[b.word]) / own
+        own = s.strength + _by_context(given, "customers", 1)[b.ctx]
+        for n, (_, parent) in enumerate(kept_parents):
+            seats, words = (np.frombuffer(x, np.uint32).astype(np.float64) for x in next(r["blobs"] for r in given if r["kind"] == f"tables {n}"))
+            base = parent(b.words, np.bincount(b.word, seats, len(b.words)), words, s)
+            p += (b.count - s.discount * seats + (s.strength + s.discount * _by_context(given, f"totals {n}")[b.ctx]) * base[b.word]) / own
         of_type = np.log10(p / s.samples), np.log10(known + 0.1)[b.word], (known > 0)[b.word]
         columns = [np.bincount(b.doc, x[b.type], b.starts[-1]).astype(kind) for x, kind in zip(of_type, SUM_TYPES, strict=True)]
         parts = [pa.array([c[i:j].tobytes() for i, j in zip(b.starts[:-1], b.starts[1:], strict=True)], pa.binary()) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(row["chunks"], pa.int64()), *parts], ["chunk", "score", "base", "known"])
-
-    buckets_only = state.where("bucket >= 0 and kind is null").select("chunks", *BLOBS, "tables")
-    partial = buckets_only.mapInArrow(predict, "chunk long, score binary, base binary, known binary")
-    listed = state.where("bucket < 0").select(F.get("chunks", F.lit(0)).alias("chunk"), "ids", "sizes", F.get("train", F.lit(0)).alias("train"))
+        return pa.Table.from_arrays([pa.array(row["chunks"], pa.int64()), *parts], ["chunk", "score", "base", "known"])
+
+    kept_parents = [(n, p) for n, (_, p) in enumerate(kept)]
+    asked = state.where("kind = 'tokens'").select(*columns, "chunks", *BLOBS)
+    asked = asked.unionByName(_totals(state.where("kind = 'part'").select(*columns), "customers"), allowMissingColumns=True)
+    for n, (df, _) in enumerate(kept):
+        asked = asked.unionByName(_totals(df.where("kind = 'part'").select(*columns), f"totals {n}"), allowMissingColumns=True)
+        asked = asked.unionByName(df.where("kind = 'tables'").select(*columns).withColumn("kind", F.lit(f"tables {n}")), allowMissingColumns=True)
+    partial = asked.groupBy("bucket").applyInArrow(predict, "chunk long, score binary, base binary, known binary")
+    listed = state.where("kind = 'documents'").select(F.get("chunks", F.lit(0)).alias("chunk"), "ids", "sizes", F.get("train", F.lit(0)).alias("train"))
     both = partial.withColumns({"ids": F.lit(None).cast(f"array<{id_type}>"), "sizes": F.lit(None).cast("array<long>"), "train": F.lit(None).cast("binary")}).unionByName(
         listed.withColumns({c: F.lit(None).cast("binary") for c in ("score", "base", "known")})
     )

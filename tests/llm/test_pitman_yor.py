@@ -73,3 +73,18 @@ def test_odd_rows(spark):
     none = pitman_yor.perplexity_scores(df, F.lit(False)).collect()
     assert {r.train_tokens for r in none} == {0} and all(abs(r.score) < 1e-9 for r in none)
     assert pitman_yor.perplexity_scores(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_each_preceding_word_has_its_restaurant(spark):
+    # two words that fall in one of 16,384 classes by hash, yet are followed by different words
+    seen = {}
+    for n in range(10_000):
+        c = (((pitman_yor._HASHES[b"w%d" % n] * int(pitman_yor._MIX)) % (1 << 64)) >> 40) % (1 << 14)
+        if c in seen:
+            break
+        seen[c] = n
+    x, y = f"w{seen[c]}", f"w{n}"
+    train = [(i, f"{x} a" if i % 2 else f"{y} b") for i in range(200)]
+    df = spark.createDataFrame([*train, (900, f"{x} a"), (901, f"{x} b"), (902, f"{y} b")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.perplexity_scores(df, F.col("doc_id") < 900).collect()}
+    assert got[900] > got[901] + 0.3 and got[902] > got[901] + 0.3
