@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from assaykit.llm.common import WordHashes, drop_stored, stored
+from assaykit.llm.common import WordHashes, broadcast_within, drop_stored, stored
 
 _HASHES = WordHashes()
 _U = np.uint64
@@ -369,21 +369,39 @@ def perplexity_scores(docs: DataFrame, train: Column, *, doc_id: str = "doc_id",
 
 
 def _hot_words(rows: DataFrame, s: Settings) -> list[int]:
-    """Hashes of the words with at least ``hot_share`` of a bounded sample of the documents' tokens, ascending.
+    """Hashes of the words with at least ``hot_share`` of all documents' tokens, ascending; the end is always one.
 
-    Only how tokens are dealt depends on them, no count or probability; the end is always one.
+    Tokens are counted in parts. A word that is hot in all of them is so in one part at least: the words that are hot
+    in any part are summed over all parts, and at most 1 / hot_share of them are left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            w, n = np.unique(np.concatenate(held), return_counts=True)
+            hot = w[n >= s.hot_share * n.sum() * (1 - 1e-9)]
+            held.clear()
+            lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (w, n, hot)]
+            return pa.RecordBatch.from_arrays([*lists, pa.array([n.sum()], pa.int64())], ["w", "n", "hot", "tokens"])
+
+        tokens = 0
         for batch in batches:
-            words = [(t or b"").lower().split() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            found = np.fromiter((_HASHES[w] for ws in words for w in ws), _U)
-            w, n = np.unique(found, return_counts=True)
-            keep = n >= s.hot_share / 2 * max(1, len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(w[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["w", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([len(found)], pa.int64())], ["w", "n"])
-
-    some = rows.select("__text").limit(2_000).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    total = sum(r.n for r in some if r.w == 0)
-    found = {r.w % (1 << 64) for r in some if r.w and r.n >= s.hot_share * total}
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                runs = (text or b"").lower().split()
+                if runs:
+                    held.append(np.fromiter(map(_HASHES.__getitem__, runs), _U, len(runs)))
+                    tokens += len(runs)
+                if tokens >= 2 * CHUNK_TOKENS:
+                    yield flush()
+                    tokens = 0
+        if held:
+            yield flush()
+
+    parts = stored(rows.select("__text").mapInArrow(run, "w array<long>, n array<long>, hot array<long>, tokens long"), "words")
+    total = parts.agg(F.sum("tokens")).first()[0] or 0
+    hot = broadcast_within(parts.select(F.explode("hot").alias("w")).distinct(), 1_000_000)
+    counts = parts.select(F.inline(F.arrays_zip("w", "n"))).join(hot, "w").groupBy("w").agg(F.sum("n").alias("n"))
+    found = {r.w % (1 << 64) for r in counts.where(F.col("n") >= s.hot_share * total).collect()}
+    drop_stored(parts)
     return sorted(found | {END})

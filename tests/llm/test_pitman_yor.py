@@ -88,3 +88,10 @@ def test_each_preceding_word_has_its_restaurant(spark):
     df = spark.createDataFrame([*train, (900, f"{x} a"), (901, f"{x} b"), (902, f"{y} b")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in pitman_yor.perplexity_scores(df, F.col("doc_id") < 900).collect()}
     assert got[900] > got[901] + 0.3 and got[902] > got[901] + 0.3
+
+
+def test_hot_words_of_later_documents(spark):
+    docs = [("a" + " ".join(f"{n} {n}b{i}" for i in range(8)),) for n in range(2_000)] + [("late " * 40,)] * 500
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(docs, 1), "__text string")
+    hot = pitman_yor._hot_words(rows, pitman_yor.Settings(hot_share=0.1))
+    assert hot == sorted({pitman_yor._HASHES[b"late"], pitman_yor.END})
