@@ -229,7 +229,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, pivots: int = 2, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
-    """One row per row of ``docs``: __id, __text_hash (``row_keys``), n_shingles, component (smallest id reachable by links).
+    """One row per row of ``docs``: __id, __text_hash (``row_keys``), n_shingles, component (smallest id reachable by links),
+    group (the same as a number that is never null where the text has words, even if all ids are).
 
     Rows link when 100 * intersection >= ``percent`` * union of their n-word shingle sets. Null or empty texts and
     texts of white space have empty sets and link to nothing: their component is their own id. Equal sets always link,
@@ -301,8 +302,8 @@ def near_duplicates(
 
     named = nodes.select("node", "least").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("name"))
-    of_node = named.join(names, "component").select("node", "name")
-    return rows.select("__id", "__text_hash", "n_shingles", "node").join(of_node, "node", "left").select("__id", "__text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("name")).alias("component"))
+    of_node = named.join(names, "component").select("node", "name", F.col("component").alias("group"))
+    return rows.select("__id", "__text_hash", "n_shingles", "node").join(of_node, "node", "left").select("__id", "__text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("name")).alias("component"), "group")
 
 
 def _still_open(members: DataFrame, parts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:

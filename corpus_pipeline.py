@@ -31,13 +31,18 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id. Texts without words all stay."""
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id; one without an id comes
+    first, and of repeats of one id and text one row stays. Texts without words all stay."""
     groups = stored(jaccard_join.near_duplicates(docs, n=5, percent=80), "groups")
     named = groups.where("n_shingles > 0")
-    gone = named.join(named.groupBy("component").agg(F.min(F.struct("__id", "__text_hash")).alias("kept")), "component")
-    gone = stored(gone.where(F.struct("__id", "__text_hash") != F.col("kept")).select("__id", "__text_hash").distinct(), "gone")
-    base, gone = docs.withColumns(row_keys("doc_id", "text")), broadcast_within(gone, 1_000_000)
-    return base.join(gone, same_row(base, gone), "left_anti").drop("__id", "__text_hash")
+    kept = named.groupBy("group").agg(F.min(F.struct("__id", "__text_hash")).alias("kept"))
+    gone = named.join(kept, "group").where(F.struct("__id", "__text_hash") != F.col("kept"))
+    gone = broadcast_within(stored(gone.select("__id", "__text_hash").distinct(), "gone"), 1_000_000)
+    again = broadcast_within(stored(named.groupBy("__id", "__text_hash").count().where("count > 1").drop("count"), "again"), 1_000_000)
+    base = docs.withColumns(row_keys("doc_id", "text"))
+    left = base.join(gone, same_row(base, gone), "left_anti")
+    once = left.join(again, same_row(left, again), "left_semi").dropDuplicates(["__id", "__text_hash"])
+    return left.join(again, same_row(left, again), "left_anti").unionByName(once).drop("__id", "__text_hash")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

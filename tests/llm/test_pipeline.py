@@ -71,3 +71,11 @@ def test_stages_against_brute_force(spark):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
     assert placed_well(packed) <= -(-sum(r.length for r in packed) // 4096) + 2
     assert public_tokenizers
+
+
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    first, second, third = (" ".join(f"{c}{n}" for n in range(40)) for c in "abc")
+    rows = [(7, first)] * 4 + [(9, first)] + [(None, second)] * 3 + [(None, second + " more")] * 2 + [(5, third), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, (r.text or "")[:1]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(left, key=str) == [(5, "c"), (7, "a"), (None, ""), (None, ""), (None, "b")]
