@@ -56,18 +56,20 @@ def winnow(hashes: Column, span: int, k: int) -> Column:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    span: int = 10, k: int = 8, broadcast_rows: int = 1_000_000,
+    span: int = 10, k: int = 8, unnamed: bool = False, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``docs`` plus n_words, n_hit (words inside any occurrence of an item's window), hit_starts (word positions and
-    lengths of those occurrences), items (sorted array of the item ids that occur, as strings).
+    lengths of those occurrences), items (sorted array of the item ids that occur, as strings), n_items (their number, and
+    one more if items without an id occur and count).
 
     A window is ``span`` consecutive words of an item; an item of fewer words, but not none, is one window, searched
-    by its whole hash. Null and empty texts have no words: no hits, no windows. Items without an id are left out;
-    repeated items and items that share windows all count. Rows of docs are told apart by id and text, so repeated
+    by its whole hash. Null and empty texts have no words: no hits, no windows. Items without an id are left out,
+    or with ``unnamed`` hit like others, in all columns but items; repeated items and items that share windows all
+    count. Rows of docs are told apart by id and text, so repeated
     rows get equal results; null ids work. Columns of docs with the added names are replaced; an empty benchmark
     leaves every document clean. Windows are compared by 64-bit hashes.
     """
-    named = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), word_hashes(F.col(item_text)).alias("w"))
+    named = benchmark.where(F.col(item_id).isNotNull() | F.lit(unnamed)).select(F.col(item_id).cast("string").alias("item"), word_hashes(F.col(item_text)).alias("w"))
     items = stored(named.where(F.size("w") > 0).distinct(), "items")
     short = [r[0] for r in items.where(F.size("w") < span).select(F.size("w")).distinct().collect()]  # fewer than span values
     windows = {n: items.where(F.size("w") >= n if n == span else F.size("w") == n).select("item", F.explode(ngram_hashes(F.col("w"), n)).alias("h")).distinct() for n in [*short, span]}
@@ -85,15 +87,16 @@ def decontaminate(
         at = of.select("__id", "__text_hash", F.posexplode(let(word_hashes(F.col("__text")), _grams_of(n))).alias("pos", "h"))
         part = at.join(broadcast_within(win, broadcast_rows), "h").select("__id", "__text_hash", "item", F.struct("pos", F.lit(n).alias("n")).alias("at"))
         hits = part if hits is None else hits.unionByName(part)
-    per_doc = hits.groupBy("__id", "__text_hash").agg(F.array_sort(F.collect_set("at")).alias("hit_starts"), F.array_sort(F.collect_set("item")).alias("items")).hint("shuffle_hash")
+    per_doc = hits.groupBy("__id", "__text_hash").agg(F.array_sort(F.collect_set("at")).alias("hit_starts"), F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("__unnamed")).hint("shuffle_hash")
 
     covered = F.size(F.array_distinct(F.flatten(F.transform("hit_starts", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))))
-    joined = base.drop("hit_starts", "items", "n_words", "n_hit").join(per_doc, same_row(base, per_doc), "left").drop(per_doc["__id"], per_doc["__text_hash"])
+    joined = base.drop("hit_starts", "items", "n_items", "n_words", "n_hit").join(per_doc, same_row(base, per_doc), "left").drop(per_doc["__id"], per_doc["__text_hash"])
     return joined.withColumns(
         {
             "n_words": F.size(alnum_words(F.col(text))).cast("long"),
             "n_hit": F.when(F.col("hit_starts").isNull(), F.lit(0)).otherwise(covered).cast("long"),
+            "n_items": F.coalesce(F.size("items") + F.col("__unnamed"), F.lit(0)).cast("long"),
             "items": F.coalesce("items", F.array().cast("array<string>")),
             "hit_starts": F.coalesce("hit_starts", F.array().cast("array<struct<pos:int,n:int>>")),
         }
-    ).drop("__id", "__text_hash")
+    ).drop("__id", "__text_hash", "__unnamed")

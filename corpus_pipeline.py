@@ -47,7 +47,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window of ten words."""
-    done = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), span=10)
+    done = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), span=10, unnamed=True)
     return done.where("n_hit = 0").select(*docs.columns)
 
 

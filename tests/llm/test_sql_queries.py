@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assaykit.llm import chat_format, common, decontaminate, line_dedup, warc_revisits
 from assaykit.llm.queries import ORACLE_SQL, QUERIES
 
@@ -98,3 +99,19 @@ def test_revisit_outcomes(spark):
         }
         assert got[2].headers == {"etag": 'W/"1"', "x": "old", "date": "d2"}
     assert warc_revisits.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_decontaminate_items_without_id(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, f"before {passage} after"), (2, "clean"), (3, f"solo {passage}")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, passage), (None, "two three"), (9, "solo")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duck.sql(ORACLE_SQL["op9_decontaminate"])
+    got = QUERIES["op9_decontaminate"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    left = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert [r.doc_id for r in left] == [2]
