@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``stored`` as a table bucketed by ``key``: later groupings by it read the rows where they are, without a shuffle."""
+    spark = df.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{made}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
+    out = spark.table(made)
+    out.stored_path = path
+    return out
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a stored table that no later step reads."""
     spark = df.sparkSession
@@ -80,6 +95,17 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose values in a string column come to about ``most_bytes``; a longer row is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 class WordHashes(dict):
     """64-bit hash of a word's UTF-8 bytes, remembered; emptied when full so that memory stays bounded."""
 

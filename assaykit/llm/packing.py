@@ -3,91 +3,134 @@
 Tokenising happens once, per partition, and its result (a narrow row per piece, no token ids unless asked for) is
 stored. Each round packs its partitions by best fit, longest first; a bin with at most ``slack`` tokens free is
 emitted for good and any other becomes one item of the next round, which has an eighth of the partitions, down to
-one. A task never holds more than ``task_items`` items: it packs that many, then goes on. If a round frees hardly any
-bins (items that cannot share, such as all of just over half the size), its bins are final too, so the root never
-gathers the corpus.
+one. A task never holds more than ``task_items`` items: it packs that many, then goes on. If a round frees under
+``least_gain`` of its bins (items that cannot share, such as all of just over half the size), its bins are final too, at
+any size of the input, so the root never gathers the corpus.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import stored
+from assaykit.llm.common import slices, stored
 
 _ENCODERS: dict[str, WordIds] = {}
 
 
+#: How a vocabulary must clean and part texts for its words to be encoded one by one.
+WORDWISE_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDWISE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDWISE_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORDWISE_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+WORD_END = "</w>"
+LATIN = "^[A-Za-zÀ-ÖØ-öø-į]+$"  # letters that each have one lower case and no other composed form
+
+
 class WordIds:
-    """Token ids of a run of non-white-space bytes, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokeniser drops white space and parts letters from signs, so ids of a text are those of its
-    runs, one after the other, and of Latin letters with signs behind them those of the letters, in any case, and of the
-    signs. Kept for the life of the Python worker; emptied when full; runs of over 64 bytes are not remembered.
+    A vocabulary that drops white space and parts letters from signs (checked when it is loaded) gives a text the ids of
+    its runs of other bytes, one after the other, and Latin letters with signs behind them those of the letters, in
+    lower case, and of the signs. Such letters go to the model as one string per batch, without the cleaning that
+    they don't need, and are told apart by the word ends. Letters, and runs of any other kind, are kept for the life of the
+    Python worker; emptied when full; those of over 64 bytes are not remembered. Texts of any other vocabulary are encoded whole.
     """
 
-    SIGNS = b".,;:!?*%$#&|)]"
+    SIGNS = ".,;:!?*%$#&|)]"
+    BEFORE_SIGNS = r"(?s)^.*[^.,;:!?*%$#&|)\]]"
 
     def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.wordwise = (
+            described["normalizer"] == WORDWISE_NORMALIZER
+            and described["pre_tokenizer"] == WORDWISE_PRE_TOKENIZER
+            and described["model"].get("end_of_word_suffix") == WORD_END
+            and not any(set(x["content"]).isdisjoint("<>|") for x in described["added_tokens"])
+        )
+        if self.wordwise:
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
-
-    def _add_parts(self, parts: set[bytes]) -> None:
-        new = list(parts.difference(self.parts))
-        if len(self.parts) + len(new) > self.limit:
-            self.parts = {b"": b""}
-            new = list(parts)
-        for part, got in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
+        self.parts: dict[bytes, bytes] = {}
+
+    def _add(self, new: list[bytes], letters: list[bool]) -> None:
+        words = [x for x, plain in zip(new, letters, strict=True) if plain]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            edges = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            self.parts.update(zip(some, [raw[i:j] for i, j in zip([0, *edges], edges)], strict=True))
+        others = [x for x, plain in zip(new, letters, strict=True) if not plain]
+        for part, got in zip(others, self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False), strict=True):
             self.parts[part] = array("I", got.ids).tobytes()
 
-    def _split(self, run: bytes) -> tuple[bytes, bytes]:
-        """Letters in lower case and the signs behind them, or the run as it is and nothing."""
-        core = run.rstrip(self.SIGNS)
-        if core.isalpha():  # of bytes: ASCII letters alone
-            return core.lower(), run[len(core) :]
-        letters = core.decode()
-        if letters.isalpha() and max(letters) < "\u0130":  # Latin: each letter has one lower case
-            return letters.lower().encode(), run[len(core) :]
-        return run, b""
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        runs = [t.split() for t in texts]
-        found = set().union(*runs)
-        new = found.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = found
-        cut = {run: self._split(run) for run in new}
-        self._add_parts({x for pair in cut.values() for x in pair if x})
-        known, parts = self.known, self.parts
-        for run, (core, rest) in cut.items():
-            known[run] = parts[core] + parts[rest]
-        out = [b"".join(map(known.__getitem__, r)) for r in runs]
-        for run, (core, _) in cut.items():
-            if len(run) > 64:
-                del known[run]
-                parts.pop(core, None)
+    def _of_parts(self, parts: pa.StringArray) -> pa.Array:
+        """Ids of distinct parts."""
+        listed, known = parts.cast(pa.binary()).to_pylist(), self.parts
+        at = [i for i, x in enumerate(listed) if x not in known]
+        if len(known) + len(at) > self.limit:
+            known.clear()
+            at = range(len(listed))
+        new = [listed[i] for i in at]
+        self._add(new, pc.match_substring_regex(parts.take(pa.array(at, pa.int64())), LATIN).to_pylist())
+        out = pa.array(list(map(known.__getitem__, listed)), pa.large_binary())
+        for x in new:
+            if len(x) > 64:
+                del known[x]
         return out
 
+    def _of_runs(self, runs: pa.StringArray) -> pa.Array:
+        """Ids of distinct runs."""
+        core = pc.utf8_rtrim(runs, self.SIGNS)
+        plain = pc.match_substring_regex(core, LATIN)
+        core = pc.if_else(plain, pc.utf8_lower(core), runs).dictionary_encode()
+        signs = pc.if_else(plain, pc.replace_substring_regex(runs, self.BEFORE_SIGNS, ""), "").dictionary_encode()
+        return pc.binary_join_element_wise(*[self._of_parts(x.dictionary).take(x.indices) for x in (core, signs)], pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (string, not null)."""
+        if not self.wordwise:
+            return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        lists = pc.ascii_split_whitespace(texts)
+        runs = lists.flatten().dictionary_encode()
+        ids = self._of_runs(runs.dictionary).take(runs.indices)
+        raw, ends = ids.buffers()[2].to_pybytes() if len(ids) else b"", np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        edges = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
 
 def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False, cache_runs: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (array<int>).
 
     A document is its token ids, then ``end_id``; only one of more than ``size`` ids is cut, every ``size`` ids. Null
     text is empty: ``end_id`` alone. Each row of docs is a document, repeated and null ids included; only the two
-    named columns are read. ``cache_runs``: runs of characters that a Python worker remembers, some 400 bytes each with their parts.
+    named columns are read. ``cache_runs``: words that a Python worker remembers, some 200 bytes each.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length int, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
@@ -99,10 +142,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
         encoder = _ENCODERS[tokenizer]
         encoder.limit = cache_runs
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for part in slices(batch, 1, 6_000_000):
                 cols: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "crc", "ids")}
-                for row, ids in enumerate(encoder.encode([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])):
+                for row, ids in enumerate(encoder.encode(part.column(1).fill_null(""))):
                     ids += end
                     for n, start in enumerate(range(0, len(ids), width)):
                         cut = ids[start : start + width]
@@ -197,7 +239,7 @@ def pack(cut: DataFrame, *, size: int = 4096, slack: int = 2, fan_in: int = 8, t
         out = stored(items.mapInArrow(round_of(number, last=number > 0 and parts == 1), schema), f"pack{number}")
         done.append(out)
         left, before = out.where(~F.col("final")).count(), items.count() if number else None
-        if left == 0 or before is not None and left > (1 - least_gain) * before and left > task_items:
+        if left == 0 or parts == 1 and number or before is not None and left > (1 - least_gain) * before:
             break
         number += 1
         want = max(-(-left // task_items), min(parts // fan_in, -(-left // 1000)), 1)

@@ -78,3 +78,12 @@ def test_sequences_hold_the_ids(spark):
     want = sorted(x for n in range(30) for x in [*tok.encode(f"hello world {n} " * 40, add_special_tokens=False).ids, 1])
     got = packing.sequences(df, placed, PATH, size=512).collect()
     assert sorted(x for r in got for x in r.ids) == want and all(len(r.ids) <= 512 for r in got)
+
+
+def test_any_other_vocabulary_is_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.WordIds(path, 10).wordwise and packing.WordIds(PATH, 10).wordwise
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    tok = Tokenizer.from_file(path)
+    got = packing.pieces(df, path, size=100_000, keep_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {n: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for n, t in enumerate(TEXTS)}
