@@ -95,3 +95,60 @@ def test_hot_words_of_later_documents(spark):
     rows = spark.createDataFrame(spark.sparkContext.parallelize(docs, 1), "__text string")
     hot = pitman_yor._hot_words(rows, pitman_yor.Settings(hot_share=0.1))
     assert hot == sorted({pitman_yor._HASHES[b"late"], pitman_yor.END})
+
+
+def test_results_do_not_depend_on_buckets_or_chunks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for bucket_tokens, chunk_tokens in ((10**9, 10**9), (9_000, 40_000)):
+        s = pitman_yor.Settings(bucket_tokens=bucket_tokens, chunk_tokens=chunk_tokens)
+        found.append({r.doc_id: (r.score, r.base_score) for r in pitman_yor.perplexity_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, settings=s).collect()})
+    assert found[0] == found[1]
+
+
+def test_predictions_by_hand(spark):
+    """With every type and word seen once, no seating is left to chance."""
+    df = spark.createDataFrame([(1, "a b c"), (2, "a x")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.perplexity_scores(df, F.col("doc_id") == 1).collect()}
+    rest = (10 + 0.6 * 4) / 5
+    known, unknown = (1 - 0.6 + rest) / 14, rest / 14
+    seen = lambda p: (1 - 0.75 + 20.75 * p) / 21
+    assert got[1] == pytest.approx(4 * math.log10(seen(known)), rel=1e-6)
+    assert got[2] == pytest.approx(math.log10(seen(known)) + math.log10(20.75 * unknown / 21) + math.log10(known), rel=1e-6)
+
+
+def exact_tables(c, prior, others, d, strength):
+    """Probabilities of 1 to c tables of a dish given the rest of its restaurant."""
+    s = {(1, 1): 1.0}
+    for n in range(2, c + 1):
+        for t in range(1, n + 1):
+            s[n, t] = s.get((n - 1, t - 1), 0.0) + (n - 1 - d * t) * s.get((n - 1, t), 0.0)
+    w = [s[c, t] * math.prod((strength + d * (others + j)) * prior for j in range(t)) for t in range(1, c + 1)]
+    return np.array(w) / sum(w)
+
+
+def test_reseating_keeps_the_exact_distribution():
+    n, d, strength = 20_000, 0.75, 20.0
+    for c, prior, others in ((2, 0.05, 3), (5, 0.2, 0), (9, 0.01, 40)):
+        place, tables = np.arange(n), np.ones(n, np.int64)
+        totals = np.full(n, others + 1)
+        for turn in range(12):
+            draws = pitman_yor.Draws(np.arange(n).astype(np.uint64), 5, turn)
+            pitman_yor.reseat(np.full(n, c), tables, np.full(n, prior), place, totals, np.zeros(n, bool), d, strength, 4, draws)
+        assert (totals == others + tables).all()
+        found = np.bincount(tables, minlength=c + 1)[1:] / n
+        assert np.abs(found - exact_tables(c, prior, others, d, strength)).max() < 0.015, (c, found)
+
+
+def test_alone_goes_on_past_the_table():
+    for d in (0.75, 0.6):
+        big = pitman_yor.alone(np.array([6000, 6000, 6000]), np.array([1, 600, 3000]), d)
+        assert big[0] == 0 and abs(big[1] / (d * 0.1) - 1) < 0.05 and 0.3 < big[2] < 0.4
+
+
+def test_binomial_moments():
+    u = (np.arange(100_000) + 0.5) / 100_000
+    for n, p in ((3, 0.3), (40, 0.05), (5000, 0.2)):
+        x = pitman_yor._binomial(np.full(len(u), n), np.full(len(u), p), u)
+        assert abs(x.mean() - n * p) < 0.02 * n * p + 0.05 and abs(x.std() - math.sqrt(n * p * (1 - p))) < 0.1 * math.sqrt(n * p * (1 - p)) + 0.05
+        assert x.min() >= 0 and x.max() <= n
