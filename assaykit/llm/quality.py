@@ -1,11 +1,13 @@
-"""Quality classifier: naive Bayes support vectors over hashed n-gram indicators.
+"""Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-1. Every labelled training row gives counts of n-gram indicators per class; Spark sums them, and each bucket's
-   log-count ratio scales its indicator.
-2. A linear hinge-loss model is fitted by dual coordinate descent on at most ``max_rows`` of the training rows, those
-   with the smallest hash of their id; the fifth of them left out of the fit sets a sigmoid that turns margins into
-   probabilities. Only this sample, bounded by its parameter, meets in one task.
-3. Scoring is a map over the documents; the model (one number per bucket) is broadcast, its size fixed by ``bits``.
+1. The vocabulary is every n-gram that occurs in ``min_rows`` of the fitting sample, told apart by 64-bit hash: at most
+   ``max_rows`` of the labelled training rows, those with the smallest hash of their id. Its size follows from that bound.
+2. Every labelled training row gives counts of these indicators per class; Spark sums them, and each n-gram's log-count
+   ratio scales its indicator.
+3. A linear hinge-loss model is fitted by dual coordinate descent on the sample; the fifth of it left out of the fit
+   sets a sigmoid that turns margins into probabilities. Only this sample meets in one task.
+4. Scoring is a map over the documents; the model is broadcast. N-grams beyond the vocabulary add nothing, so that very
+   long texts do not run full.
 
 N-grams are taken over the whole text: of words (1, 2), and of word shapes (1, 2, 3), a shape being letter case, last
 character's kind, length class and whether the word repeats the one before.
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import broadcast_within, stored
+from assaykit.llm.common import broadcast_within, slices, stored
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 divided by the golden ratio
 
@@ -49,31 +51,47 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def _spread(x: np.ndarray, bits: int) -> np.ndarray:
-    return ((x * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
-
-
-class Features:
-    """Distinct n-gram buckets of a text."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.stamp = np.zeros(1 << bits, np.int32)
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        runs = (text or b"").split()
-        w = np.fromiter(map(_WORDS.__getitem__, runs), np.uint64, len(runs))
-        same = np.zeros(len(w), np.uint64)
-        same[1:] = w[1:] == w[:-1]
-        shape = ((w & np.uint64(0xFF)) << np.uint64(1) | same) + np.uint64(1)
-        two = shape[:-1] << np.uint64(10) | shape[1:]
-        three = two[:-1] << np.uint64(10) | shape[2:]
-        word = w >> np.uint64(8)
-        grams = [shape, two, three, word, word[:-1] * np.uint64(31) + word[1:]]
-        idx = np.concatenate([_spread(g ^ np.uint64((n + 1) << 56), self.bits) for n, g in enumerate(grams)])
-        at = np.arange(len(idx), dtype=np.int32)
-        self.stamp[idx] = at  # the last of equal buckets stays
-        return np.sort(idx[self.stamp[idx] == at])
+def grams(text: bytes | None) -> np.ndarray:
+    """Hashes of a text's n-grams, with repeats."""
+    runs = (text or b"").split()
+    w = np.fromiter(map(_WORDS.__getitem__, runs), np.uint64, len(runs))
+    same = np.zeros(len(w), np.uint64)
+    same[1:] = w[1:] == w[:-1]
+    shape = ((w & np.uint64(0xFF)) << np.uint64(1) | same) + np.uint64(1)
+    two = shape[:-1] << np.uint64(10) | shape[1:]
+    three = two[:-1] << np.uint64(10) | shape[2:]
+    word = w >> np.uint64(8)
+    x = np.concatenate([g ^ np.uint64((n + 1) << 56) for n, g in enumerate((shape, two, three, word, (word[:-1] * np.uint64(31) + word[1:]) & np.uint64((1 << 56) - 1)))])
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Vocabulary:
+    """Ascending hashes with a table of where each leading bit pattern begins."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.start = np.searchsorted(keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(keys)))
+        self.stamp = np.zeros(max(1, len(keys)), np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the distinct known hashes, ascending."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        out = []
+        live = np.flatnonzero(at < end)
+        while len(live):
+            key, want = self.keys[at[live]], hashes[live]
+            out.append(at[live[key == want]])
+            live = live[key < want]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        found = np.concatenate([np.zeros(0, np.int32), *out])
+        order = np.arange(len(found), dtype=np.int32)
+        self.stamp[found] = order  # the last of equal ones stays
+        return np.sort(found[self.stamp[found] == order])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame:
@@ -83,9 +101,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, broadc
 
 @dataclass(frozen=True)
 class Model:
-    """``scale``: log-count ratio per bucket; ``weight``: of the scaled indicator; score = sigmoid(a * margin + b)."""
+    """``scale``: log-count ratio per n-gram of ``keys``; ``weight``: of the scaled indicator; score = sigmoid(a * margin + b)."""
 
-    bits: int
+    keys: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
     bias: float
@@ -97,6 +115,11 @@ class Model:
         return float(self.weight[idx] @ r) / max(float(np.sqrt(r @ r)), 1e-9) + self.bias
 
 
+def constant(share: float) -> Model:
+    """The model that gives every text the same score."""
+    return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
+
+
 def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, epochs: int, c: float) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss, classes weighted to equal cost."""
     rng = np.random.default_rng(7)
@@ -136,72 +159,79 @@ def _sigmoid_fit(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id",
-    bits: int = 16, max_rows: int = 10_000, epochs: int = 8, c: float = 1.0, broadcast_rows: int = 1_000_000,
+    max_rows: int = 10_000, min_rows: int = 2, epochs: int = 8, c: float = 1.0, broadcast_rows: int = 1_000_000,
 ) -> Model:
     """Learns from the documents that ``labels`` marks 0 or 1; other labels, nulls and unknown ids are left out.
 
     Repeated label rows count repeatedly. With no labelled rows the score is 0.5 everywhere; with one class only it is
     that class's smoothed share. Null text is empty.
     """
-    size = 1 << bits
     marked = stored(labels.where(F.col(label).isin(0, 1)).select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("__label")), "labels")
     n = {r[0]: r[1] for r in marked.groupBy("__label").count().collect()}
     if len(n) < 2:
-        share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-        return Model(bits, np.zeros(size), np.zeros(size), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return constant((n.get(1, 0) + 1) / (sum(n.values()) + 2))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 2_000_000):
+                rows = [np.unique(grams(t)).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.list_(pa.int64()))], ["id", "y", "grams"])
+
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    sample = F.broadcast(marked.orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows))
+    chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(sample, "__id")
+    described_rows = stored(chosen.mapInArrow(described, f"id {id_type}, y int, grams array<long>"), "sample")
+    often = described_rows.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
+    keys = np.sort(often.select("g").toArrow().column("g").to_numpy().view(np.uint64))  # of at most max_rows rows
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, sums = Features(bits), np.zeros((2, size), np.int64)
+        numbers, sums = Vocabulary(shared.value), np.zeros((2, len(shared.value)), np.int64)
         for batch in batches:
             for t, y in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                sums[y, features(t)] += 1
+                sums[y, numbers(grams(t))] += 1
         used = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[0, used]), pa.array(sums[1, used])], ["bucket", "n0", "n1"])
-
-    counts = _labelled(docs, marked, doc_id, text, broadcast_rows).mapInArrow(counted, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counts.toArrow()  # at most one row per bucket
-    p = np.ones((2, size))
+        for i in range(0, len(used), 100_000):
+            u = used[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(sums[0, u]), pa.array(sums[1, u])], ["number", "n0", "n1"])
+
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    counts = _labelled(docs, marked, doc_id, text, broadcast_rows).mapInArrow(counted, "number int, n0 long, n1 long").groupBy("number").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    got = counts.toArrow()  # at most one row per key
+    p = np.ones((2, len(keys)))
     for y in (0, 1):
-        p[y, got.column("bucket").to_numpy()] += got.column(f"n{y}").to_numpy()
+        p[y, got.column("number").to_numpy()] += got.column(f"n{y}").to_numpy()
     p /= p.sum(1, keepdims=True)
     scale = np.log(p[1] / p[0])
 
-    sample = F.broadcast(marked.orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows))
-    chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(sample, "__id")
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(bits)
-        for batch in batches:
-            rows = [features(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "idx"])
-
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    described_rows = chosen.mapInArrow(described, f"id {id_type}, y int, idx array<int>")
-
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_rows = [b for b in batches if b.num_rows]
-        if not held_rows:
+        numbers = Vocabulary(shared.value)
+        rows, labelled, ids = [], [], []
+        for batch in batches:
+            lists = batch.column(2)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            rows += [numbers(values[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            labelled += batch.column(1).to_pylist()
+            ids += batch.column(0).to_pylist()
+        if not rows:
             return
-        t = pa.Table.from_batches(held_rows)
-        order = np.lexsort((t.column("y").to_numpy(), np.array([xxhash.xxh64_intdigest(str(i)) for i in t.column("id").to_pylist()], np.uint64)))
-        lists = t.column("idx").combine_chunks()
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        rows = [values[at[i] : at[i + 1]] for i in order]
-        y = np.where(t.column("y").to_numpy()[order] == 1, 1.0, -1.0)
+        marks = np.array(labelled)
+        order = np.lexsort((marks, np.array([xxhash.xxh64_intdigest(str(i)) for i in ids], np.uint64)))
+        rows, y = [rows[i] for i in order], np.where(marks[order] == 1, 1.0, -1.0)
         held = np.arange(len(y)) % 5 == 0
         if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
             held[:] = False
         w, bias = _descend([r for r, h in zip(rows, held, strict=True) if not h], y[~held], scale, epochs, c)
-        model = Model(bits, scale, w, bias, 1.0, 0.0)
+        model = Model(shared.value, scale, w, bias, 1.0, 0.0)
         for_fit = held if held.any() else ~held
         a, b = _sigmoid_fit(np.array([model.margin(r) for r, h in zip(rows, for_fit, strict=True) if h]), y[for_fit])
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias]), pa.array([a]), pa.array([b])], ["w", "bias", "a", "b"])
 
     done = described_rows.repartition(1).mapInArrow(fitted, "w array<double>, bias double, a double, b double").toArrow()
     if not done.num_rows:  # no labelled id has a document
-        return Model(bits, np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0)
-    row = done.to_pylist()[0]
-    return Model(bits, scale, np.array(row["w"]), row["bias"], row["a"], row["b"])
+        return constant(0.5)
+    row = done.slice(0, 1)
+    w = row.column("w").combine_chunks().flatten().to_numpy()
+    return Model(keys, scale.astype(np.float32), w.astype(np.float32), *(row.column(x)[0].as_py() for x in ("bias", "a", "b")))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
@@ -211,16 +241,15 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score
     """
     rest = [c for c in docs.columns if c != to]
     schema = docs.select(*rest).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers per bucket
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # three numbers per n-gram of the fitting sample
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        features = Features(m.bits)
+        numbers = Vocabulary(m.keys)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                margins = np.array([m.margin(features(t)) for t in part.column(at).cast(pa.binary()).to_pylist()])
+            for part in slices(batch, at, 4_000_000):
+                margins = np.array([m.margin(numbers(grams(t))) for t in part.column(at).cast(pa.binary()).to_pylist()])
                 scores = 1 / (1 + np.exp(-np.clip(m.a * margins + m.b, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, to])
 
