@@ -16,6 +16,7 @@ nearest pivot alone; ``pivots`` times more with pivots by chance, in signatures
 and last, in those still open, all nodes of unlike components. Sizes and 256-bit parity sketches
 (each differing n-gram flips one bit, so more odd bits than H refute a pair) are checked in the join's condition, sketches
 as wide as the sets on the distinct pairs; every pair left is verified on the whole sets. No link between different components is lost.
+``links`` and ``link_counts`` give every single link between different sets, at the price of comparing all of a group.
 """
 
 from __future__ import annotations
@@ -226,17 +227,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, pivots: int = 2, broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """One row per row of ``docs``: __id, __text_hash (``row_keys``), n_shingles, component (smallest id reachable by links),
-    group (the same as a number that is never null where the text has words, even if all ids are).
+@dataclass(frozen=True)
+class Indexed:
+    """What a join works on: texts, rows with their node, nodes (distinct sets), and the nodes of every shared signature."""
 
-    Rows link when 100 * intersection >= ``percent`` * union of their n-word shingle sets. Null or empty texts and
-    texts of white space have empty sets and link to nothing: their component is their own id. Equal sets always link,
-    so repeated rows share a component. The smallest id leaves null ids out unless all are null. Only the two named
-    columns are read; an empty table gives an empty one. Shingles and sets are compared by 64-bit hashes.
-    """
+    texts: DataFrame
+    rows: DataFrame
+    nodes: DataFrame
+    members: DataFrame
+
+
+def indexed(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, broadcast_rows: int) -> Indexed:
+    """The index: ``members`` is sig, node, low (the signature's smallest node)."""
     bands = Bands(percent)
     texts = docs.select(*[c.alias(k) for k, c in row_keys(doc_id, text).items()], F.col(text).alias("__text"))
     rows = stored(described(texts, n, bands), "sets")
@@ -268,8 +270,22 @@ def near_duplicates(
     if wide:
         more = stored(described(texts, n, bands, wide).where("node is not null").select("node", F.explode("sigs").alias("sig")).distinct(), "neighbourhoods")
         found = found.unionByName(members(more, counted(more)))
-    found = stored(found, "members")
+    return Indexed(texts, rows, nodes, stored(found, "members"))
 
+
+def near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, pivots: int = 2, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """One row per row of ``docs``: __id, __text_hash (``row_keys``), n_shingles, component (smallest id reachable by links),
+    group (the same as a number that is never null where the text has words, even if all ids are).
+
+    Rows link when 100 * intersection >= ``percent`` * union of their n-word shingle sets. Null or empty texts and
+    texts of white space have empty sets and link to nothing: their component is their own id. Equal sets always link,
+    so repeated rows share a component. The smallest id leaves null ids out unless all are null. Only the two named
+    columns are read; an empty table gives an empty one. Shingles and sets are compared by 64-bit hashes.
+    """
+    x = indexed(docs, doc_id, text, n, percent, broadcast_rows)
+    texts, rows, nodes, found = x.texts, x.rows, x.nodes, x.members
     about = nodes.select("node", "n", "sketch")
     a, b = nodes.select(F.col("node").alias("a"), F.struct("n", "wide").alias("x")), nodes.select(F.col("node").alias("b"), F.struct("n", "wide").alias("y"))
 
@@ -306,6 +322,39 @@ def near_duplicates(
     return rows.select("__id", "__text_hash", "n_shingles", "node").join(of_node, "node", "left").select("__id", "__text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("name")).alias("component"), "group")
 
 
+def links(x: Indexed, *, n: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Every link between different sets: a, b (nodes, a < b), common (n-grams in both), either (n-grams in any of them).
+
+    Copies are one node; ``x.rows`` has each document's. Candidates are all pairs of nodes that share a signature and whose
+    sizes and sketches allow a link, tested within the join; what is left is verified on the whole sets.
+    """
+    known = x.members.select("sig", "node").distinct().join(x.nodes.select("node", F.struct("n", "sketch").alias("about")), "node")
+    left, right = known.select("sig", F.col("node").alias("a"), F.col("about").alias("x")), known.select(F.col("sig").alias("s"), F.col("node").alias("b"), F.col("about").alias("y"))
+    near = left.join(right, (F.col("sig") == F.col("s")) & (F.col("a") < F.col("b")) & _may_link("x", "y", percent, _odd_bits("x", "y")))
+    wide = lambda node, to: x.nodes.select(F.col("node").alias(node), F.struct("n", "wide").alias(to))
+    pairs = near.select("a", "b").distinct().join(wide("a", "x"), "a").join(wide("b", "y"), "b").where(_may_link("x", "y", percent, _wide_odd_bits("x", "y")))
+    return verified(stored(pairs.select("a", "b"), "pairs"), x.nodes, x.texts, n, percent, broadcast_rows)
+
+
+def link_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row per row of ``docs``: __id, __text_hash, n_shingles, component (as ``near_duplicates`` gives it) and n_links:
+    the number of other rows that it links with, copies among them, which are counted and not expanded. Empty sets have
+    no links. Nulls, repeats and empty tables as there.
+
+    Unlike ``near_duplicates``, this looks at every pair of unlike sets in a group, so its work grows with the links.
+    """
+    x = indexed(docs, doc_id, text, n, percent, broadcast_rows)
+    found = links(x, n=n, percent=percent, broadcast_rows=broadcast_rows)
+    held = stored(x.rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("__id").alias("least")), "held")
+    both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    beyond = both.join(held.select(F.col("node").alias("other"), F.col("copies").alias("more")), "other").groupBy("node").agg(F.sum("more").alias("beyond"))
+    placed = held.join(components(found), "node", "left").join(beyond, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min("least").alias("name"))
+    of_node = placed.join(names, "component").select("node", "name", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    rows = x.rows.select("__id", "__text_hash", "n_shingles", "node").join(of_node, "node", "left")
+    return rows.select("__id", "__text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("name")).alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _still_open(members: DataFrame, parts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Members with their component, and the signatures whose nodes are not all in one, each with a node by chance as pivot."""
     placed = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
@@ -315,7 +364,7 @@ def _still_open(members: DataFrame, parts: DataFrame, turn: int) -> tuple[DataFr
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets link. Sets are made again, for the nodes concerned only."""
+    """The pairs of nodes (a, b) whose whole sets link, with common and either. Sets are made again, for the nodes concerned only."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("one.__id").alias("__id"), F.col("one.__text_hash").alias("__text_hash"))
     wanted = broadcast_within(stored(wanted, "wanted"), broadcast_rows)
     of = texts.join(wanted, same_row(texts, wanted)).select("node", "__text")
@@ -329,4 +378,4 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perce
     sets = of.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])  # dealt by node as both joins need it
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
-    return stored(both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t")).alias("z")).where(F.col("i") * 100 >= percent * (F.col("z") - F.col("i"))).select("a", "b"), "verified")
+    return stored(both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t")).alias("z")).where(F.col("i") * 100 >= percent * (F.col("z") - F.col("i"))).select("a", "b", F.col("i").alias("common"), (F.col("z") - F.col("i")).alias("either")), "verified")

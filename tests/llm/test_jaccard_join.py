@@ -115,3 +115,27 @@ def test_linked_sets_share_a_signature():
             assert 100 * size >= percent * (size + other)
             if size + other > size:
                 assert np.intersect1d(jj.signatures(u, bands), jj.signatures(v, bands)).size
+
+
+def test_links_and_counts_against_brute_force(spark):
+    def sets_of(texts, n):
+        out = []
+        for t in texts:
+            low = (t or "").encode().lower().split()
+            out.append({tuple(low[i : i + n]) for i in range(len(low) - n + 1)} if len(low) >= n else {tuple(low)} if low else set())
+        return out
+
+    for seed, n, percent in ((1, 3, 90), (2, 5, 80)):
+        texts = made(seed)
+        texts += [texts[20], texts[30], texts[30]]
+        sets = sets_of(texts, n)
+        linked = [{j for j, t in enumerate(sets) if i != j and s and t and 100 * len(s & t) >= percent * len(s | t)} for i, s in enumerate(sets)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r["__id"]: (r.n_shingles, r.component, r.n_links) for r in jj.link_counts(df, n=n, percent=percent).collect()}
+        assert [got[i] for i in range(len(texts))] == [(*w, len(m)) for w, m in zip(brute(texts, n, percent), linked, strict=True)]
+        x = jj.indexed(df, "doc_id", "text", n, percent, 1000)
+        of = {r["__id"]: r.node for r in x.rows.collect()}
+        pairs = {(r.a, r.b): (r.common, r.either) for r in jj.links(x, n=n, percent=percent).collect()}
+        want = {tuple(sorted((of[i], of[j]))): (len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i, m in enumerate(linked) for j in m if of[i] != of[j]}
+        assert pairs == want
+    assert jj.link_counts(df.limit(0)).count() == 0
