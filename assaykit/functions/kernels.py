@@ -119,3 +119,8 @@ def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """Per million tokens; null without a price or usage."""
     return (tokens_in * price_in + tokens_out * price_out) / F.lit(1e6)
+
+
+def accuracy_gaps(train: Column, evaluation: Column, production: Column, later: Column) -> dict[str, Column]:
+    """What accuracy loses from training to evaluation, from there to production, and over time there."""
+    return {"generalization_gap": train - evaluation, "domain_gap": evaluation - production, "temporal_gap": production - later}

@@ -109,3 +109,12 @@ def once_each(requests: DataFrame, key: str, body: str, *order: str) -> DataFram
     joined = requests.join(first, key)
     is_first = F.struct(*order) == F.struct(*[F.col(f"first.{o}") for o in order])
     return joined.withColumn("result", F.when(is_first, "created").when(F.col(body).eqNullSafe(F.col("first.b")), "replayed").otherwise("conflict")).drop("first")
+
+
+def invariance(trials: DataFrame, others: DataFrame, answer: str) -> DataFrame:
+    """Whether each trial answers as its base case does in the same candidate and repeat; null without a base's answer.
+
+    ``trials`` names its base in base_case. The plain equi-join moves one narrow row per trial.
+    """
+    base = others.select(F.col("case_id").alias("base_case"), "candidate", "repeat_index", F.col(answer).alias("__base"))
+    return trials.join(base, ["base_case", "candidate", "repeat_index"], "left").withColumn("invariant", F.col(answer) == F.col("__base")).drop("__base")

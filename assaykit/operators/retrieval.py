@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from assaykit.functions import kernels as K
 
 #: Words too common to search for.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "what", "when", "where", "which", "who", "with")
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "of", "to", "in", "on", "for", "and", "or", "do", "does", "i", "my", "me",
+    "can", "how", "what", "when", "which", "who", "it", "at", "be", "by", "with", "much", "many",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -20,11 +23,12 @@ def tokens(text: Column) -> Column:
 def bm25(queries: DataFrame, corpus: DataFrame, *, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top ``k`` documents per query: query_id, doc_id, score (6 decimals), rank; ties to the smaller doc_id.
 
-    ``queries``: query_id, text; ``corpus``: doc_id, text. Terms repeated in a query count repeatedly; scores of 0 or
+    ``queries``: query_id, text; ``corpus``: doc_id, text and perhaps title, which is searched too. Terms repeated in a query count repeatedly; scores of 0 or
     less drop. The corpus is exploded once into (term, doc) counts, pruned to query terms before anything is shuffled.
     """
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    docs = corpus.select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
+    searched = F.concat_ws(" ", "title", "text") if "title" in corpus.columns else F.col("text")
+    docs = corpus.select("doc_id", tokens(searched).alias("ts")).withColumn("len", F.size("ts"))
     size = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     terms = q.select("term").distinct()
     tf = docs.select("doc_id", "len", F.explode("ts").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))

@@ -125,34 +125,77 @@ def cost_per_success(attempts: DataFrame, passes: DataFrame) -> DataFrame:
     return a.join(b).withColumn("reason", reason).withColumn("cost_per_success", F.when(F.col("reason").isNull(), F.col("amount") / F.col("passes")))
 
 
-def triage(trials: DataFrame, cases: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """Cells in order of urgency, with the trial to look at first: the first failed, else unresolved, else passed one.
+#: The ranks of severities, and the latest review decisions that leave a label uncertain.
+SEVERITIES = ("critical", "high", "medium", "low")
+UNCERTAIN_REVIEWS = ("ambiguous", "grader_incorrect")
 
-    Priorities: 0 a critical case that fails and passed in the baseline, 1 other regressions, 2 stably wrong, 3 flaky,
-    4 the rest. ``trials`` needs repeat_index; ``cases`` severity.
+
+def triage(trials: DataFrame, cases: DataFrame, baseline: str = "baseline", reviews: DataFrame | None = None) -> DataFrame:
+    """Failing cells, with what puts them in order and the trial to look at first: the first failed, else the first not
+    passed, else the first one.
+
+    A cell fails if a trial of it failed, has a problem or is unresolved. Priorities: 0 a failure of a critical case, or
+    any broken invariant; 1 a rate below the baseline's; 2 an uncertain label: a grading error, an unsettling review, or
+    nothing but unresolved trials; 3 flaky; 4 the rest. ``trials`` needs repeat_index and may have invariant_failed and
+    grading_error (boolean); ``cases`` severity; ``reviews`` case_id, decision and created_at.
     """
-    cell = cells(trials)
+    flag = lambda name: F.count_if(F.col(name)) if name in trials.columns else F.lit(0).cast("long")
     rank = F.when(F.col("outcome") == "fail", 0).when(F.col("outcome").isNull(), 1).otherwise(2)
-    first = trials.groupBy("case_id", "candidate").agg(F.min_by("repeat_index", F.struct(rank.alias("r"), "repeat_index")).alias("representative_repeat"))
-    base = Window.partitionBy("case_id")
-    base_rate = F.max(F.when(F.col("candidate") == baseline, F.col("pass_rate"))).over(base)
-    severity = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    rows = cell.withColumn("baseline_rate", base_rate).join(first, ["case_id", "candidate"]).join(cases.select("case_id", "severity"), "case_id")
-    regressed = (F.col("candidate") != baseline) & (F.col("pass_rate") < F.col("baseline_rate"))
-    priority = F.when(regressed & (F.col("severity") == "critical"), 0).when(regressed, 1).when(F.col("stable_wrong"), 2).when(F.col("flaky"), 3).otherwise(4)
-    return rows.withColumns({"regressed": F.coalesce(regressed, F.lit(False)), "severity_rank": severity}).withColumn("priority", F.coalesce(priority, F.lit(4)))
+    cell = trials.groupBy("case_id", "candidate").agg(
+        F.count("*").alias("slots"), n_outcome("pass").alias("passes"), n_outcome("fail").alias("failures"),
+        F.count_if(F.col("status").isin(*PROBLEM_STATUSES)).alias("problems"), F.count_if(F.col("status").isin("provider_error", "timeout")).alias("provider_errors"),
+        flag("invariant_failed").alias("invariant_failures"), flag("grading_error").alias("grading_errors"),
+        F.min_by("repeat_index", F.struct(rank.alias("r"), "repeat_index")).alias("representative_repeat"),
+    )
+    graded = F.col("passes") + F.col("failures")
+    cell = cell.withColumns({"graded": graded, "unresolved": F.col("slots") - graded, "pass_rate": K.rate(F.col("passes"), graded), "flaky": (F.col("passes") > 0) & (F.col("failures") > 0), "stable_wrong": (graded >= 2) & (F.col("passes") == 0)})
+    of_base = lambda c: F.max(F.when(F.col("candidate") == baseline, F.col(c))).over(Window.partitionBy("case_id"))
+    rows = cell.withColumns({"baseline_rate": of_base("pass_rate"), "__base_wrong": of_base("stable_wrong")}).join(cases, "case_id")
+    if reviews is None:
+        rows = rows.withColumn("review", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(reviews.groupBy("case_id").agg(F.max_by("decision", "created_at").alias("review")), "case_id", "left")
+    other = F.col("candidate") != baseline
+    moved = F.abs(F.col("pass_rate") - F.col("baseline_rate")) >= 0.5
+    differs = F.coalesce(moved, F.lit(False)) | (F.col("stable_wrong") != F.coalesce("__base_wrong", F.lit(False)))
+    uncertain = (F.col("grading_errors") > 0) | F.coalesce(F.col("review").isin(*UNCERTAIN_REVIEWS), F.lit(False))
+    rows = rows.withColumns(
+        {
+            "regressed": F.coalesce(other & (F.col("pass_rate") < F.col("baseline_rate")), F.lit(False)),
+            "changed": F.max(other & differs).over(Window.partitionBy("case_id")) & other,
+            "severity_rank": F.coalesce(F.array_position(F.array(*[F.lit(x) for x in SEVERITIES]), F.col("severity")) - 1, F.lit(9)),
+        }
+    )
+    priority = (
+        F.when((F.col("severity") == "critical") & (F.col("failures") > 0) | (F.col("invariant_failures") > 0), 0)
+        .when(F.col("regressed"), 1)
+        .when(uncertain | (F.col("unresolved") > 0) & (F.col("failures") == 0), 2)
+        .when(F.col("flaky"), 3)
+        .otherwise(4)
+    )
+    failing = (F.col("failures") > 0) | (F.col("problems") + F.col("grading_errors") > 0) | (F.col("unresolved") > 0)
+    return rows.where(failing).withColumn("priority", priority).drop("__base_wrong")
 
 
 TRIAGE_ORDER = ("priority", "severity_rank", "case_id", "candidate")
 
 
-def triage_filter(rows: DataFrame, *, severity: str | None = None, candidate: str | None = None, flaky: bool | None = None, stable_wrong: bool | None = None, regressed: bool | None = None, problems: bool | None = None, tag: str | None = None) -> DataFrame:
-    """Conjunction of the filters that are set; '' counts as unset and a ``tag`` that is not key=value keeps all."""
-    for name, value in (("severity", severity), ("candidate", candidate), ("flaky", flaky), ("stable_wrong", stable_wrong), ("regressed", regressed)):
+def triage_filter(
+    rows: DataFrame, *, severity: str | None = None, candidate: str | None = None, flaky: bool | None = None, stable_wrong: bool | None = None, regressed: bool | None = None,
+    changed: bool | None = None, grading_error: bool | None = None, provider_error: bool | None = None, problems: bool | None = None, review: str | None = None, tag: str | None = None,
+) -> DataFrame:
+    """Conjunction of the filters that are set; '' counts as unset, a ``tag`` that is not key=value and a ``review`` other
+    than unreviewed or confirmed keep all."""
+    for name, value in (("severity", severity), ("candidate", candidate), ("flaky", flaky), ("stable_wrong", stable_wrong), ("regressed", regressed), ("changed", changed)):
         if value not in (None, ""):
             rows = rows.where(F.col(name) == value)
-    if problems is not None:
-        rows = rows.where((F.col("problems") > 0) == problems)
+    for name, value in (("grading_errors", grading_error), ("provider_errors", provider_error), ("problems", problems)):
+        if value not in (None, ""):
+            rows = rows.where((F.col(name) > 0) == value)
+    if review == "unreviewed":
+        rows = rows.where(F.col("review").isNull())
+    elif review == "confirmed":
+        rows = rows.where(F.col("review") == "confirm_failure")
     if tag and "=" in tag:
         key, value = tag.split("=", 1)
         rows = rows.where(F.col(key).cast("string") == value) if key in rows.columns else rows.where(F.lit(False))

@@ -59,7 +59,11 @@ def plan_size(cases: DataFrame, candidates: DataFrame, repeats: int, calls_per_t
 
 
 def trial_slots(cases: DataFrame, candidates: DataFrame, repeats: int) -> DataFrame:
-    """One row per case, candidate and repeat; candidates are a handful and are attached to each case in its row."""
-    names = [r[0] for r in candidates.select("candidate").distinct().orderBy("candidate").limit(1000).collect()]
-    each = F.explode(F.array(*[F.lit(n) for n in names])).alias("candidate")
-    return cases.select("case_id", each).select("case_id", "candidate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_index"))
+    """One row per case, candidate and repeat. The candidates are attached to each case in its row if there are at most
+    1,000, else by a product with them, which is what was asked for."""
+    names = [r[0] for r in candidates.select("candidate").distinct().orderBy("candidate").limit(1001).collect()]
+    if len(names) <= 1000:
+        each = cases.select("case_id", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("candidate"))
+    else:
+        each = cases.select("case_id").crossJoin(candidates.select("candidate").distinct())
+    return each.select("case_id", "candidate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_index"))

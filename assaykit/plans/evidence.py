@@ -207,8 +207,8 @@ def gate_verdict(spark, sf):
 _TRIAGE = f"""{CELLS}, {CASES}, firsts AS (SELECT case_id, candidate, arg_min(repeat_index, struct_pack(r := CASE WHEN outcome = 'fail' THEN 0 WHEN outcome IS NULL THEN 1 ELSE 2 END, i := repeat_index)) AS representative_repeat FROM trials GROUP BY ALL),
 rated AS (SELECT c.*, passes / nullif(graded, 0) AS rate, max(CASE WHEN candidate = 'baseline' THEN passes / nullif(graded, 0) END) OVER (PARTITION BY case_id) AS base FROM cells c),
 queue AS (SELECT r.case_id, r.candidate, severity, representative_repeat, coalesce(r.candidate <> 'baseline' AND rate < base, false) AS regressed, r.problems, passes > 0 AND failures > 0 AS flaky,
-  CASE WHEN r.candidate <> 'baseline' AND rate < base AND severity = 'critical' THEN 0 WHEN r.candidate <> 'baseline' AND rate < base THEN 1 WHEN graded >= 2 AND passes = 0 THEN 2 WHEN passes > 0 AND failures > 0 THEN 3 ELSE 4 END AS priority
-  FROM rated r JOIN firsts USING (case_id, candidate) JOIN cases USING (case_id))"""
+  CASE WHEN severity = 'critical' AND failures > 0 THEN 0 WHEN r.candidate <> 'baseline' AND rate < base THEN 1 WHEN unresolved > 0 AND failures = 0 THEN 2 WHEN passes > 0 AND failures > 0 THEN 3 ELSE 4 END AS priority
+  FROM rated r JOIN firsts USING (case_id, candidate) JOIN cases USING (case_id) WHERE failures > 0 OR problems > 0 OR unresolved > 0)"""
 
 
 @query(sql(_TRIAGE, "SELECT case_id, candidate, severity, priority, regressed, representative_repeat FROM queue"))
@@ -248,13 +248,13 @@ def find_duplicates(spark, sf):
     return R.duplicates(V.read(spark, sf, "documents").select("doc_id", "text"), F.col("text"), "doc_id")
 
 
-_REVIEWS = f"""{TRIALS}, reviews AS (SELECT event_id AS review_id, event_id - event_id % 7 AS trial_id, CASE WHEN event_id % 5 = 0 AND event_id >= 35 THEN event_id - 35 END AS supersedes_id, ['confirmed', 'acceptable', 'unclear'][event_id % 3 + 1] AS verdict, CAST(value * 100 AS BIGINT) AS created_at FROM events WHERE event_id % 2 = 1),
+_REVIEWS = f"""{TRIALS}, reviews AS (SELECT event_id AS review_id, event_id - event_id % 7 AS trial_id, CASE WHEN event_id % 5 = 0 AND event_id >= 35 THEN event_id - 35 END AS supersedes_id, ['confirmed', 'acceptable', 'unclear'][event_id % 3 + 1] AS verdict, CAST(value * 100 AS BIGINT) AS created_at FROM events),
 kept AS (SELECT * FROM reviews WHERE review_id NOT IN (SELECT supersedes_id FROM reviews WHERE supersedes_id IS NOT NULL)),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY created_at DESC, review_id DESC) AS n FROM kept) WHERE n = 1)"""
 
 
 def _reviews(spark, sf):
-    e = V.read(spark, sf, "events").select("event_id", "value").where("event_id % 2 = 1")
+    e = V.read(spark, sf, "events").select("event_id", "value")
     i = F.col("event_id")
     return e.select(i.alias("review_id"), (i - i % 7).alias("trial_id"), F.when((i % 5 == 0) & (i >= 35), i - 35).alias("supersedes_id"), F.element_at(F.array(*[F.lit(v) for v in ("confirmed", "acceptable", "unclear")]), (i % 3 + 1).cast("int")).alias("verdict"), F.round(F.col("value") * 100).cast("long").alias("created_at"))
 
@@ -303,40 +303,44 @@ def events_replay(spark, sf):
     return V.read(spark, sf, "events").where("user_id = 3 AND event_id > 100").select(F.col("event_id").alias("seq"), "event_type").orderBy("seq").limit(500)
 
 
-@query("""SELECT 'r' || user_id AS run_id, CASE WHEN count_if(event_type = 'signup') > 15 THEN 'open' WHEN count_if(event_type = 'error') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, count(*) AS events, max(event_id) AS last_seq FROM events GROUP BY user_id""")
+@query("""WITH e AS (SELECT 'r' || user_id AS run_id, event_id, CASE event_type WHEN 'error' THEN 'provider_error' WHEN 'signup' THEN CASE WHEN event_id % 50 = 0 THEN 'running' ELSE 'success' END ELSE 'success' END AS status, event_type = 'view' AND value > 180 AS grade_error, event_type = 'purchase' AND value > 290 AS cancelled FROM events)
+SELECT run_id, CASE WHEN count_if(status = 'running') > 0 THEN 'open' WHEN count_if(cancelled) > 0 THEN 'cancelled' WHEN count_if(status = 'provider_error') > 0 OR count_if(grade_error) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, count(*) AS events, max(event_id) AS last_seq FROM e GROUP BY run_id""")
 def run_status_rollup(spark, sf):
     from assaykit.streaming.events import rollup
 
-    return rollup(V.read(spark, sf, "events"))
+    return rollup(V.run_events(V.read(spark, sf, "events")))
 
 
 # graders over stored answers
 
-@query(r"""WITH a AS (SELECT doc_id AS trial_id, regexp_replace(trim(lower(text), ' '), '\s+', ' ', 'g') AS t FROM documents)
+_CUES = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in G.ABSTAIN_CUES) + "]"
+
+@query(r"""WITH a AS (SELECT doc_id AS trial_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents)
 SELECT trial_id, contains(t, 'the') AND contains(t, 'of') AND (contains(t, 'thing') OR contains(t, 'tion')) AS passed FROM a""")
 def answer_contains(spark, sf):
     lits = lambda *xs: F.array(*[F.lit(x) for x in xs])
     return V.answers(spark, sf).select("trial_id", G.answer_contains(F.col("text"), lits("the", "Of"), lits("thing", "tion")).alias("passed"))
 
 
-@query(r"""WITH a AS (SELECT doc_id AS trial_id, regexp_replace(trim(lower(text), ' '), '\s+', ' ', 'g') AS t FROM documents)
-SELECT trial_id, contains(t, 'i don''t know') OR contains(t, 'i do not know') OR contains(t, 'not sure') OR contains(t, 'cannot determine') OR contains(t, 'can''t determine') OR contains(t, 'no information') OR contains(t, 'not enough information') OR contains(t, 'unable to answer') OR trial_id % 97 = 0 AS abstained FROM a""")
+@query(r"""WITH a AS (SELECT doc_id AS trial_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents)
+SELECT trial_id, list_bool_or(list_transform({cues}, lambda c: contains(t, c))) OR trial_id % 97 = 0 AS abstained FROM a""".replace("{cues}", _CUES))
 def abstention(spark, sf):
     return V.answers(spark, sf).select("trial_id", G.abstains(F.col("text"), F.col("trial_id") % 97 == 0).alias("abstained"))
 
 
-@query(r"""WITH a AS (SELECT doc_id AS trial_id, regexp_replace(trim(lower(text), ' '), '\s+', ' ', 'g') AS t FROM documents) SELECT trial_id, NOT (contains(t, 'akia') OR contains(t, '@') OR contains(t, 'password')) AS passed FROM a""")
+@query(r"""WITH a AS (SELECT doc_id AS trial_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents) SELECT trial_id, NOT (contains(t, 'akia') OR contains(t, '@') OR contains(t, 'password')) AS passed FROM a""")
 def leak_check(spark, sf):
     return V.answers(spark, sf).select("trial_id", G.leak_check(F.col("text"), F.array(F.lit("AKIA"), F.lit("@"), F.lit("password"))).alias("passed"))
 
 
 @query("""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"label": "' || upper(event_type) || '"}' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN ' ' || event_type ELSE 'I think ' || event_type END AS answer, event_type FROM events)
-SELECT event_id, event_id % 4 <> 3 AND event_type IN ('click', 'view') AS passed FROM a""")
+SELECT event_id, (event_id % 4 = 1 OR event_id % 4 = 2) AND event_type IN ('click', 'view') AS passed FROM a""")
 def label_match(spark, sf):
+    """Labels of a JSON answer count as they are written, bare ones in any case."""
     e = V.read(spark, sf, "events").select("event_id", "event_type")
     t, i = F.col("event_type"), F.col("event_id") % 4
-    answer = F.when(i == 0, F.concat(F.lit('{"label": "'), F.upper(t), F.lit('"}'))).when(i == 1, F.concat(F.lit('"'), t, F.lit('"'))).when(i == 2, F.concat(F.lit(" "), t)).otherwise(F.concat(F.lit("I think "), t))
-    return e.select("event_id", G.label_match(answer, F.array(F.lit("Click"), F.lit("view")), ["click", "error", "purchase", "signup", "view"]).alias("passed"))
+    answer = F.when(i == 0, F.concat(F.lit('{"label": "'), F.upper(t), F.lit('"}'))).when(i == 1, F.concat(F.lit('"'), F.upper(t), F.lit('"'))).when(i == 2, F.concat(F.lit(" "), t)).otherwise(F.concat(F.lit("I think "), t))
+    return e.select("event_id", G.label_match(answer, F.array(F.lit("click"), F.lit("view")), ["click", "error", "purchase", "signup", "view"]).alias("passed"))
 
 
 @query("""WITH c AS (SELECT user_id, [x.t FOR x IN list_sort(list(struct_pack(i := event_id, t := event_type)))] AS calls FROM events GROUP BY user_id)
@@ -348,14 +352,14 @@ def tool_precedence(spark, sf):
     return c.select("user_id", G.tool_constraints(F.col("calls"), F.array(F.lit("view")), F.array(F.lit("delete")), pairs).alias("passed"))
 
 
-_CHECKS = """checks AS (SELECT user_id AS trial_id, ['facts', 'format'][event_id % 2 + 1] AS grader, event_type <> 'view' AS applicable, event_type <> 'click' AS "binary", CASE WHEN value > 150 THEN NULL ELSE value > 5 END AS passed FROM events WHERE event_id % 13 = 0),
+_CHECKS = """checks AS (SELECT user_id AS trial_id, ['facts', 'format'][event_id % 2 + 1] AS grader, event_type <> 'view' AS applicable, event_type <> 'click' AS "binary", CASE WHEN value > 150 THEN NULL ELSE value > 5 END AS passed FROM events),
 grades AS (SELECT trial_id, grader, CASE WHEN count_if(applicable AND "binary") = 0 THEN 'unavailable' WHEN count_if(applicable AND "binary" AND NOT passed) > 0 THEN 'fail' WHEN count_if(applicable AND "binary" AND passed IS NULL) > 0 THEN 'unavailable' ELSE 'pass' END AS verdict,
   CASE WHEN count_if(applicable) = 0 THEN 'not_applicable' WHEN count_if(applicable AND "binary") = 0 THEN 'not_a_binary_verdict' WHEN count_if(applicable AND "binary" AND NOT passed) > 0 THEN NULL WHEN count_if(applicable AND "binary" AND passed IS NULL) > 0 THEN 'check_unavailable' END AS reason
   FROM checks GROUP BY ALL)"""
 
 
 def _grades(spark, sf):
-    e = V.read(spark, sf, "events").where("event_id % 13 = 0")
+    e = V.read(spark, sf, "events")
     c = e.select(F.col("user_id").alias("trial_id"), F.element_at(F.array(F.lit("facts"), F.lit("format")), (F.col("event_id") % 2 + 1).cast("int")).alias("grader"), (F.col("event_type") != "view").alias("applicable"), (F.col("event_type") != "click").alias("binary"), F.when(F.col("value") <= 150, F.col("value") > 5).alias("passed"))
     return G.aggregate_checks(c, "trial_id", "grader")
 
@@ -371,11 +375,9 @@ def trial_outcome(spark, sf):
     return G.trial_outcomes(V.read(spark, sf, "events").select(F.col("user_id").alias("trial_id")).distinct(), _grades(spark, sf), ["facts", "format"])
 
 
-@query(sql(TRIALS, """SELECT t.case_id, t.repeat_index, t.category = b.category AS invariant FROM trials t JOIN trials b ON t.case_id = b.case_id AND t.repeat_index = b.repeat_index AND t.candidate = 'candidate' AND b.candidate = 'baseline'"""))
+@query(sql(TRIALS, """SELECT t.case_id, t.candidate, t.repeat_index, t.category = b.category AS invariant FROM trials t LEFT JOIN trials b ON b.case_id = 'u' || (t.user_id - t.user_id % 5) AND t.repeat_index = b.repeat_index AND t.candidate = b.candidate WHERE t.user_id % 5 <> 0"""))
 def invariance(spark, sf):
-    """Same answer as the base of the same case and repeat: one pass, both sides meet in a group."""
+    """Each case has the one that it varies as its base: the nearest id below it that five divides."""
     t = V.trials(spark, sf)
-    side = lambda c: F.max(F.when(F.col("candidate") == c, F.col("category")))
-    g = t.groupBy("case_id", "repeat_index").agg(side("candidate").alias("c"), side("baseline").alias("b"))
-    return g.where("c is not null and b is not null").select("case_id", "repeat_index", (F.col("c") == F.col("b")).alias("invariant"))
-
+    varied = t.where("user_id % 5 <> 0").withColumn("base_case", F.concat(F.lit("u"), (F.col("user_id") - F.col("user_id") % 5).cast("string")))
+    return R.invariance(varied, t, "category").select("case_id", "candidate", "repeat_index", "invariant")

@@ -307,8 +307,13 @@ def geval_expected(spark, sf):
     return q.groupBy("case_id").agg(F.round(K.expected_score(F.col("score"), F.col("p")), 6).alias("expected_score"))
 
 
-@query(sql(CELLS, """, r AS (SELECT case_id, max(CASE WHEN candidate = 'baseline' THEN passes / nullif(graded, 0) END) AS b, max(CASE WHEN candidate = 'candidate' THEN passes / nullif(graded, 0) END) AS c FROM cells GROUP BY case_id)
-SELECT case_id, round(c - b, 6) AS candidate_minus_baseline, round(1 - b, 6) AS baseline_gap, round(1 - c, 6) AS candidate_gap FROM r"""))
+@query(sql(TRIALS, """, r AS (SELECT case_id, event_id // 2 % 4 AS era, count_if(outcome = 'pass') / nullif(count(outcome), 0) AS rate FROM trials GROUP BY ALL),
+w AS (SELECT case_id, max(CASE WHEN era = 0 THEN rate END) AS a, max(CASE WHEN era = 1 THEN rate END) AS b, max(CASE WHEN era = 2 THEN rate END) AS c, max(CASE WHEN era = 3 THEN rate END) AS d FROM r GROUP BY case_id)
+SELECT case_id, round(a - b, 6) AS generalization_gap, round(b - c, 6) AS domain_gap, round(c - d, 6) AS temporal_gap FROM w"""))
 def accuracy_gaps(spark, sf):
-    c = S.cells(V.cell_trials(spark, sf)).groupBy("case_id").pivot("candidate", ["baseline", "candidate"]).agg(F.max("pass_rate"))
-    return c.select("case_id", F.round(F.col("candidate") - F.col("baseline"), 6).alias("candidate_minus_baseline"), F.round(1 - F.col("baseline"), 6).alias("baseline_gap"), F.round(1 - F.col("candidate"), 6).alias("candidate_gap"))
+    """Trials are dealt to training, evaluation, first production and later production in turn."""
+    t = V.cell_trials(spark, sf)
+    era = lambda n: K.rate(F.count_if((F.col("outcome") == "pass") & (F.col("era") == n)), F.count(F.when(F.col("era") == n, F.col("outcome"))))
+    w = t.withColumn("era", F.floor(F.col("event_id") / 2) % 4).groupBy("case_id").agg(*[era(n).alias(f"e{n}") for n in range(4)])
+    gaps = K.accuracy_gaps(*[F.col(f"e{n}") for n in range(4)])
+    return w.select("case_id", *[F.round(v, 6).alias(k) for k, v in gaps.items()])

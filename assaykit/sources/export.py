@@ -34,10 +34,11 @@ def append_new(spark: SparkSession, new: DataFrame, path: str, *keys: str) -> in
 
 
 def digest(df: DataFrame) -> str:
-    """SHA-256-like fingerprint of a table's rows, whatever their order: the sum of row hashes and their number."""
-    row = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)])
-    n, total = df.agg(F.count("*"), F.sum(row.cast("decimal(38,0)"))).first()
-    return f"{n}:{int(total or 0) % (1 << 64):016x}"
+    """Fingerprint of a table's rows, whatever their order: their number and the sum of the leading 60 bits of each row's
+    SHA-256. A row is hashed as JSON with its nulls, so that a value and a null can't change places unseen."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    n, total = df.agg(F.count("*"), F.sum(F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)"))).first()
+    return f"{n}:{int(total or 0):x}"
 
 
 def export_tables(tables: dict[str, DataFrame], path: str, *, redact: dict[str, list[str]] | None = None) -> dict:

@@ -94,28 +94,34 @@ RESULT = "ordinal int, external_id string, provider string, status string, score
 def assertion_results(documents: DataFrame, text: str = "text") -> DataFrame:
     """Normalised results of assertion-style result files: a JSON text per row with ``results`` a list, or nested one deeper.
 
-    An error makes the status error; else ``success`` true or false makes it pass or fail; neither leaves it unscored.
+    An error without a grading result, or the failure reason 2, makes the status error; else ``success`` true or false makes
+    it pass or fail; neither leaves it unscored.
     """
-    item = "array<struct<provider: variant, success: boolean, score: double, error: string, response: struct<output: variant>, testCase: struct<description: string>>>"
+    item = "array<struct<provider: variant, success: boolean, score: double, error: string, failureReason: int, gradingResult: variant, response: struct<output: variant>, testCase: struct<description: string>>>"
     v = F.try_parse_json(F.col(text))
     items = F.coalesce(F.try_variant_get(v, "$.results.results", item), F.try_variant_get(v, "$.results", item))
     rows = documents.select(F.posexplode(items).alias("ordinal", "r"))
     provider = F.coalesce(F.try_variant_get("r.provider", "$.id", "string"), F.try_variant_get("r.provider", "$", "string"))
-    has_error = F.col("r.error").isNotNull() & (F.col("r.error") != "")
-    status = F.when(has_error, "error").when(F.col("r.success"), "pass").when(~F.col("r.success"), "fail").otherwise("unscored")
+    ungraded = F.coalesce(F.to_json("r.gradingResult"), F.lit("null")).isin("null", "{}")
+    has_error = F.col("r.error").isNotNull() & (F.col("r.error") != "") & ungraded
+    status = F.when(has_error | (F.col("r.failureReason") == 2), "error").when(F.col("r.success"), "pass").when(~F.col("r.success"), "fail").otherwise("unscored")
     output = F.coalesce(F.try_variant_get("r.response.output", "$", "string"), F.to_json("r.response.output"))
     return rows.select("ordinal", F.coalesce("r.testCase.description", F.col("ordinal").cast("string")).alias("external_id"), provider.alias("provider"), status.alias("status"), F.col("r.score").alias("score"), output.alias("output"), F.col("r.error").alias("error"))
 
 
 def sample_logs(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Normalised results of evaluation logs with samples scored by letters: C pass, I and N fail, P unscored partial."""
+    """Normalised results of evaluation logs with samples. Verdicts are the letter C or true (pass) and I or false (fail);
+    P, N, numbers and texts are none. Any fail makes a sample fail, else any pass makes it pass, none leaves it unscored,
+    and an error is an error. ``score``: the first numeric score.
+    """
     item = "array<struct<id: variant, error: struct<message: string>, scores: map<string, struct<value: variant>>, output: struct<completion: string>>>"
     v = F.try_parse_json(F.col(text))
     rows = documents.select(F.try_variant_get(v, "$.eval.model", "string").alias("provider"), F.posexplode(F.try_variant_get(v, "$.samples", item)).alias("ordinal", "r"))
-    letter = F.try_variant_get(F.get(F.map_values("r.scores"), F.lit(0))["value"], "$", "string")
-    status = F.when(F.col("r.error").isNotNull(), "error").when(letter == "C", "pass").when(letter.isin("I", "N"), "fail").otherwise("unscored")
-    score = F.when(letter == "C", 1.0).when(letter == "P", 0.5).when(letter.isin("I", "N"), 0.0).otherwise(letter.try_cast("double"))
-    return rows.select("ordinal", F.try_variant_get("r.id", "$", "string").alias("external_id"), "provider", status.alias("status"), score.alias("score"), F.col("r.output.completion").alias("output"), F.col("r.error.message").alias("error"))
+    said = F.transform(F.map_values("r.scores"), lambda x: F.struct(F.to_json(x["value"]).alias("json"), F.try_variant_get(x["value"], "$", "double").alias("number")))
+    any_of = lambda *xs: F.coalesce(F.exists(said, lambda x: x["json"].isin(*xs)), F.lit(False))
+    status = F.when(F.col("r.error").isNotNull(), "error").when(any_of('"I"', "false"), "fail").when(any_of('"C"', "true"), "pass").otherwise("unscored")
+    numeric = F.filter(said, lambda x: x["json"].rlike(r"^-?[0-9]"))
+    return rows.select("ordinal", F.try_variant_get("r.id", "$", "string").alias("external_id"), "provider", status.alias("status"), F.get(numeric, F.lit(0))["number"].alias("score"), F.col("r.output.completion").alias("output"), F.col("r.error.message").alias("error"))
 
 
 def reference_path(value: Column, path: str, kind: str = "string") -> Column:

@@ -96,3 +96,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored answers of language-model trials: documents beside the labels that graders check against."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     return d.select(F.col("doc_id").alias("trial_id"), "text", "lang", "n_chars")
+
+
+def run_events(events: DataFrame) -> DataFrame:
+    """The event table, or its stream, as a run's log: run_id, seq, trial status, whether grading failed, cancel requests."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    status = F.when(kind == "error", "provider_error").when((kind == "signup") & (i % 50 == 0), "running").otherwise("success")
+    return events.select(
+        F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), i.alias("seq"), status.alias("status"),
+        ((kind == "view") & (F.col("value") > 180)).alias("grade_error"), ((kind == "purchase") & (F.col("value") > 290)).alias("cancelled"),
+    )

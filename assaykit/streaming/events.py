@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Payload fields that leave the engine; longer strings are cut.
-PAYLOAD_FIELDS = ("run_id", "trial_id", "case_id", "candidate", "status", "outcome", "grader", "attempt", "reason", "count", "total")
+from assaykit.operators.summary import PROBLEM_STATUSES
+
+#: Payload fields that leave the engine (longer strings are cut), and statuses of trials that are not done.
+PAYLOAD_FIELDS = (
+    "status", "trial_status", "verdict", "grader", "case", "candidate", "repeat", "attempt", "stage", "reason",
+    "counts", "planned", "terminal", "kind", "hash", "grading_run_id", "outcome", "message", "retryable",
+)
+OPEN_STATUSES = ("pending", "running")
 PAYLOAD_LENGTH = 200
 
 
@@ -26,11 +32,17 @@ def allowed_payload(payload: Column) -> Column:
     return F.transform_values(kept, lambda k, v: F.left(v, F.lit(PAYLOAD_LENGTH)))
 
 
-def rollup(events: DataFrame) -> DataFrame:
-    """Status of each run from its events so far; on a stream, in update mode, its state is one small row per run."""
-    n = lambda t: F.count_if(F.col("event_type") == t)
-    g = events.groupBy(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id")).agg(n("signup").alias("open"), n("error").alias("errors"), F.count("*").alias("events"), F.max("event_id").alias("last_seq"))
-    status = F.when(F.col("open") > 15, "open").when(F.col("errors") > 0, "completed_with_errors").otherwise("completed")
+def rollup(log: DataFrame) -> DataFrame:
+    """Status of each run from its trials so far; on a stream, in update mode, its state is one small row per run.
+
+    ``log``: run_id, seq, status (of a trial), grade_error and cancelled (boolean). A run is open while a trial is; then
+    cancelled if that was asked for, completed with errors if a trial has a problem or a grade failed, else completed.
+    """
+    g = log.groupBy("run_id").agg(
+        F.count_if(F.col("status").isin(*OPEN_STATUSES)).alias("open"), F.count_if(F.col("status").isin(*PROBLEM_STATUSES) | F.col("grade_error")).alias("errors"),
+        F.count_if("cancelled").alias("asked"), F.count("*").alias("events"), F.max("seq").alias("last_seq"),
+    )
+    status = F.when(F.col("open") > 0, "open").when(F.col("asked") > 0, "cancelled").when(F.col("errors") > 0, "completed_with_errors").otherwise("completed")
     return g.select("run_id", status.alias("status"), "events", "last_seq")
 
 

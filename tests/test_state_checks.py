@@ -34,9 +34,12 @@ def test_outputs_and_judges(spark):
 
 
 def test_invariants_and_promotion(spark):
-    checks = spark.createDataFrame([(1, "leak_check", True), (1, "tool_constraints", False), (1, "injection_boundary", True), (2, "leak_check", None)], "t int, check string, passed boolean")
-    got = {(r.t, r.invariant): r.holds for r in C.invariants(checks, "t").collect()}
-    assert got == {(1, "no_leak"): True, (1, "no_forbidden_effect"): False, (1, "confirmation"): False, (2, "no_leak"): None}
+    checks = spark.createDataFrame([(1, "leak_check", True), (1, "recall_excludes", True), (1, "answer_must_not_contain", None), (1, "forbidden_current_facts", False), (2, "tool_constraints", None)], "t int, check string, passed boolean")
+    got = {(r.t, r.invariant): (r.state, r.holds) for r in C.invariants(checks, "t").collect()}
+    assert got == {
+        (1, "no_sensitive_leak"): ("pass", True), (1, "no_cross_user_leak"): ("unavailable", None), (1, "no_rejected_fact_as_accepted"): ("fail", False),
+        (1, "no_retracted_fact_active"): ("fail", False), (2, "no_unauthorized_tool_effect"): ("unavailable", None),
+    }
     cases = spark.createDataFrame([("a", "train"), ("b", "train")], "case_id string, split string")
     reviews = spark.createDataFrame([(7, "confirmed"), (8, "acceptable")], "trial_id int, verdict string")
     trials = spark.createDataFrame([(7, "a"), (8, "b")], "trial_id int, case_id string")
