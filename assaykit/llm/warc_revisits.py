@@ -41,7 +41,7 @@ def _lowered(headers: Column) -> Column:
 
 def resolve_revisits(
     records: DataFrame, *, record_id: str = "record_id", url: str = "url", captured_at: str = "captured_at", status: str = "status", headers: str = "headers",
-    payload: str | None = None, slices: int = 32,
+    payload: str | None = None, slices: int | None = None,
 ) -> DataFrame:
     """One row per revisit: record_id, canonical_url, outcome, resolved_id, headers (map, names in lower case), and
     with ``payload`` the body of the response it resolves to.
@@ -51,14 +51,16 @@ def resolve_revisits(
     neither field is on both sides. All but the first have a null resolved_id and the revisit's own headers.
 
     Earlier is strictly so; of responses at one time the largest id counts. Records with null URL or time resolve to
-    nothing; other statuses than 200 and 304, and null, are left out. Repeated records give repeated rows. Null headers are
-    none; an empty table gives an empty one. Other columns are left out.
+    nothing; other statuses than 200 and 304, and null, are left out. Repeated revisits give repeated rows; repeated
+    responses count once (of bodies of one record id the smallest). ``slices``: by default one for each 500,000
+    captures, 32 at least. Null headers are none; an empty table gives an empty one. Other columns are left out.
     """
     base = records.where(F.col(status).isin(200, 304)).select(
         F.col(record_id).alias("record_id"), canonical_url(F.col(url)).alias("canonical_url"), F.col(captured_at).alias("at"),
         (F.col(status) == 200).alias("full"), _lowered(F.col(headers)).alias("headers"),
     )
     known = base.where(F.col("canonical_url").isNotNull() & F.col("at").isNotNull())
+    slices = slices or max(32, known.count() // 500_000)
     cuts = known.select(F.percentile_approx(F.col("at").cast("double"), [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
     of_slice = F.size(F.filter(bounds, lambda b: b < F.col("at").cast("double")))
@@ -97,4 +99,5 @@ def resolve_revisits(
     if payload is None:
         return out
     bodies = records.where(F.col(status) == 200).select(F.col(record_id).alias("resolved_id"), F.col(payload).alias("payload"))
-    return out.join(bodies, "resolved_id", "left").select(*out.columns, "payload")
+    one = bodies.groupBy("resolved_id").agg(F.min("payload").alias("payload"))  # repeated responses are one body
+    return out.join(one, "resolved_id", "left").select(*out.columns, "payload")

@@ -115,3 +115,16 @@ def test_decontaminate_items_without_id(spark, tmp_path):
     stage = dict(corpus_pipeline.STAGES)["decontamination"]
     left = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
     assert [r.doc_id for r in left] == [2]
+
+
+def test_repeated_records_and_long_chains(spark):
+    """A repeated response gives its body once; thousands of captures of one URL each find the one just before."""
+    tag = lambda n: {"ETag": f'"{n}"'}
+    rows = [(1, "http://a/x", 10, 200, tag(1), "body", 5)] * 2 + [(2, "http://a/x", 20, 304, tag(1), None, 5)] * 2 + [(3, "http://a/x", 30, 304, None, None, 5)]
+    for n in range(3000):
+        rows += [(10_000 + 2 * n, "http://hot/", 100 * n, 200, tag(n), f"b{n}", 5), (10_001 + 2 * n, "http://hot/", 100 * n + 50, 304, tag(n if n % 3 else -1), None, 5)]
+    df = spark.createDataFrame(rows, "record_id long, url string, captured_at long, status int, headers map<string,string>, body string, slice int").repartition(4)
+    got = warc_revisits.resolve_revisits(df, payload="body").collect()
+    assert sorted((r.record_id, r.outcome, r.payload) for r in got if r.record_id < 10_000) == [(2, "resolved", "body"), (2, "resolved", "body"), (3, "no_validator", None)]
+    chain = {r.record_id: (r.outcome, r.resolved_id, r.payload) for r in got if r.record_id >= 10_000}
+    assert chain == {10_001 + 2 * n: ("resolved", 10_000 + 2 * n, f"b{n}") if n % 3 else ("etag_mismatch", None, None) for n in range(3000)}
