@@ -2,10 +2,12 @@
 
 A term is in the lexicon if its document frequency lies between two shares of all documents. As a document has a
 bounded mean number of distinct terms, at most mean / ``least_share`` terms can reach the lower share, whatever the
-size of the corpus: the lexicon is broadcast, after its rows are counted. Each lexicon subset holds a random share of
-the terms, 1 / (``SUBSETS`` * 2^level); a document uses the level at which a subset holds about one of its terms, and
-the next, so that texts of unlike length still have a level in common. A subset's value is the hash of its sorted
-distinct terms in the document. Only DataFrame functions.
+size of the corpus. The lexicon goes to the texts as an array of bits of that bounded size, 32 a term: of the terms
+outside it some 3 % share a bit with one inside and count as well, the same ones in every text.
+
+The subsets are random parts of the lexicon, the same for all texts: ``SUBSETS`` of each of ``RATES`` rates, each rate a
+quarter of the one before. A subset's value is the hash of its sorted distinct terms in the text. Sparse subsets
+survive large edits, and long texts; dense ones tell short texts apart. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import alnum_words, broadcast_within, let, row_keys, same_row, stored
+from assaykit.llm.common import alnum_words, let, row_keys, same_row, stored
 
-SUBSETS, LEVELS, DIGITS = 32, 24, 4
-_EMPTY = "0" * DIGITS
+SUBSETS, RATES, EMPTY = 32, 4, -32768
+TOLD_APART = 28  # of a rate's subsets; with more of them in use, two texts of half the same terms agree in none
 
 
 def terms(text: Column) -> Column:
@@ -31,72 +33,104 @@ def lexicon(docs: DataFrame, text: str, *, least_share: float, most_share: float
     return stored(seen.where((F.col("df") >= max(2, least_share * n)) & (F.col("df") <= max(2, most_share * n))).select("h"), "lexicon")
 
 
-def _level(n_terms: Column) -> Column:
-    """The level at which one of the subsets holds about one of the terms, of which under half are in the band."""
-    return F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_terms, F.lit(1)) / (2.5 * SUBSETS))))).cast("int")
+def lexicon_bits(lex: DataFrame) -> tuple[Column, int]:
+    """The lexicon as a constant array of longs, a bit for each value of a hash's leading bits, 32 bits a term at least;
+    and the number of leading bits."""
+    size = max(12, (32 * lex.count()).bit_length())
+    slot = F.shiftrightunsigned("h", 64 - size)
+    words = lex.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits"))
+    every = lex.sparkSession.range(1 << (size - 6)).select(F.col("id").alias("w"))
+    dense = every.join(words, "w", "left").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all"))
+    listed = dense.select(F.array_join(F.transform("all", lambda x: x["bits"].cast("string")), ",")).first()[0]
+    return F.split(F.lit(listed), ",").cast("array<bigint>"), size  # folded to a constant when the plan is optimized
 
 
-def _mask(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+def _in_lexicon(h: Column, bits: Column, size: int) -> Column:
+    slot = F.shiftrightunsigned(h, 64 - size)
+    word = F.get(bits, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftright", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
-def _sampled(found: Column) -> Column:
-    """struct<level, h>: the level of a text with these terms, and its terms of that level and higher."""
-    return let(_level(F.size(found)), lambda lv: F.struct(lv.alias("level"), F.filter(found, lambda h: F.shiftright(h, 5).bitwiseAND(_mask(lv)) == 0).alias("h")))
+def _firsts() -> Column:
+    """The number that comes before all terms of each subset."""
+    return F.array(*[F.lit(n << 58) for n in range(SUBSETS)])
 
 
-def _fingerprint(level: Column, listed: Column) -> Column:
-    """Binary: the level, then per subset the hash of its listed terms at that level, then at the next; 0: none.
+def _values(listed: Column) -> Column:
+    """Of the listed terms, each subset's value at one rate: array<smallint>, ``EMPTY`` where it has none.
 
-    ``listed`` is sorted and holds the low bits of term hashes: the lowest five tell the subset, the next the level.
+    Sorted among the subsets' first numbers, the terms of a subset stand between its own and the next one's.
     """
 
-    def value(of: Column, s: int) -> Column:
-        mine = F.filter(of, lambda h: F.pmod(h, F.lit(SUBSETS)) == s)
-        return let(mine, lambda m: F.when(F.size(m) == 0, F.lit(_EMPTY)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(m), F.lit(16**DIGITS - 1)) + 1), DIGITS, "0")))
+    def between(x: Column, at: Column, n: Column) -> Column:
+        start, end = F.get(at, n), F.coalesce(F.get(at, n + 1), F.size(x) + 1)
+        mine = F.slice(x, (start + 1).cast("int"), (end - start - 1).cast("int"))
+        return F.when(end - start == 1, EMPTY).otherwise(F.pmod(F.xxhash64(mine), F.lit(65535)) - 32767).cast("smallint")
+
+    def cut(x: Column) -> Column:
+        places = F.transform(_firsts(), lambda first: F.array_position(x, first))
+        return let(places, lambda at: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda n: between(x, at, n)))
+
+    return let(F.sort_array(F.concat(listed, _firsts())), cut)
+
+
+def fingerprint(text: Column, bits: Column, size: int) -> Column:
+    """array<smallint>: the values of all subsets, rate after rate. A term's lowest five bits tell its subset, the next
+    ones the rates that it is in."""
+    left = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(58))
+    known = F.filter(terms(text), lambda h: _in_lexicon(h, bits, size))
+    placed = F.transform(known, lambda h: h.bitwiseAND(SUBSETS - 1) * left + F.shiftrightunsigned(h, 6))
+
+    def rates(listed: Column, rate: int) -> Column:
+        if rate == RATES - 1:
+            return _values(listed)
+        sparser = F.filter(listed, lambda h: F.shiftright(h, 2 * rate).bitwiseAND(3) == 0)
+        return F.concat(_values(listed), let(sparser, lambda x: rates(x, rate + 1)))
 
-    values = lambda of: F.concat(*[value(of, s) for s in range(SUBSETS)])
-    higher = F.filter(listed, lambda h: F.shiftright(h, 5).bitwiseAND(_mask(level + 1)) == 0)
-    return F.unhex(F.concat(F.lpad(F.hex(level), 2, "0"), let(listed, values), let(higher, values)))
+    return let(placed, lambda x: rates(x, 0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two (binary) fingerprints the share of equal subset values, 0 to 1, among those that either text has, at the coarser of the two levels.
+    """Of two fingerprints the share of equal subset values among the subsets that either text has terms in, 0 to 1.
 
-    Equal fingerprints: 1. Levels more than one apart, a null, or no terms in either: 0.
+    Counted are the rates at which at most ``TOLD_APART`` subsets are in use, or else the sparsest one. Equal fingerprints: 1;
+    but where neither text has a term of the lexicon, or one is null, nothing is known of the two: 0.
     """
-    level = lambda f: F.conv(F.substring(F.hex(f), 1, 2), 16, 10).cast("int")
-    width = SUBSETS * DIGITS
-    values = lambda f, at: F.when(level(f) == at, F.substring(F.hex(f), 3, width)).when(level(f) + 1 == at, F.substring(F.hex(f), 3 + width, width))
-    cut = lambda v: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(v, i * DIGITS + 1, F.lit(DIGITS)))
-    at = F.greatest(level(a), level(b))
-    pairs = F.filter(F.arrays_zip(cut(values(a, at)).alias("x"), cut(values(b, at)).alias("y")), lambda p: (p["x"] != _EMPTY) | (p["y"] != _EMPTY))
-    share = let(pairs, lambda ps: F.try_divide(F.size(F.filter(ps, lambda p: p["x"] == p["y"])).cast("double"), F.size(ps).cast("double")))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
 
+    def counted(rate: int) -> Column:
+        cut = lambda f: F.slice(f, rate * SUBSETS + 1, SUBSETS)
+        marks = F.zip_with(cut(a), cut(b), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 1001).otherwise(1))
+        return F.aggregate(marks, F.lit(0), lambda acc, m: acc + m)  # a thousand for each equal pair, one for each in use
 
-def fingerprints(texts: DataFrame, text_cols: dict[str, str], lex: DataFrame, *, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``texts`` plus one fingerprint column (binary) for each of ``text_cols`` (text column: new column).
+    def share(sums: Column) -> Column:
+        last = F.get(sums, F.lit(RATES - 1))
+        use = F.filter(sums, lambda x: x % 1000 <= TOLD_APART)
+        used = F.when(F.exists(use, lambda x: x % 1000 > 0), use).otherwise(F.array(last))
+        total = F.aggregate(used, F.lit(0), lambda acc, x: acc + x)
+        return F.try_divide(F.floor(total / 1000).cast("double"), (total % 1000).cast("double"))
 
-    Whole repeats of a row give one row. Rows must be told apart by ``__id`` and ``__text_hash`` (``row_keys``); text columns are dropped. Null is an empty
-    text; a text without terms of the band has an empty fingerprint, equal for all such texts of its level.
-    """
-    named = list(text_cols.values())
-    rest = [c for c in texts.columns if c not in text_cols]
-    sampled = texts.select(*rest, *[let(terms(F.col(t)), _sampled).alias(f"__{to}") for t, to in text_cols.items()])
-    found = F.flatten(F.array(*[_tagged(F.col(f"__{to}.h"), n) for n, to in enumerate(named)]))
-    levels = [F.col(f"__{to}.level").alias(f"__level_{n}") for n, to in enumerate(named)]
-    flat = sampled.select(*rest, *levels, F.explode_outer(found).alias("__t")).select(*rest, *[f"__level_{n}" for n in range(len(named))], "__t.*")
-    kept = flat.join(broadcast_within(lex.withColumn("__in", F.lit(True)), broadcast_rows), "h", "left")
-    keep = [c for c in rest if c not in ("__id", "__text_hash")] + [f"__level_{n}" for n in range(len(named))]
-    listed = [F.collect_set(F.when(F.col("__in") & (F.col("w") == n), F.col("h").bitwiseAND(0x7FFFFFFF).cast("int"))).alias(f"__list_{n}") for n in range(len(named))]
-    grouped = kept.groupBy("__id", "__text_hash").agg(*[F.first(c).alias(c) for c in keep], *listed)
-    prints = [_fingerprint(F.col(f"__level_{n}"), F.sort_array(f"__list_{n}")).alias(to) for n, to in enumerate(named)]
-    return grouped.select("__id", "__text_hash", *[c for c in keep if not c.startswith("__level_")], *prints)
+    nothing = F.forall(a, lambda x: x == EMPTY) & F.forall(b, lambda x: x == EMPTY)
+    return F.when(nothing, 0.0).when(a == b, 1.0).otherwise(F.coalesce(let(F.array(*[counted(r) for r in range(RATES)]), share), F.lit(0.0)))
+
+
+def as_text(f: Column) -> Column:
+    """A fingerprint as hexadecimal digits."""
+    return F.lower(F.array_join(F.transform(f, lambda x: F.lpad(F.hex(x.cast("int") + 32768), 4, "0")), ""))
 
 
-def _tagged(hashes: Column, which: int) -> Column:
-    return F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(which).alias("w")))
+def fingerprints(texts: DataFrame, text_cols: dict[str, str], lex: DataFrame) -> DataFrame:
+    """One fingerprint column (array<smallint>) for each of ``text_cols`` (text column: new column), and the other columns.
+
+    Rows are told apart by ``__id`` and ``__text_hash`` (``row_keys``); whole repeats of a row give one row, and ``copies``
+    says how many they were; text columns are dropped. Null is an empty text; a text without terms of the lexicon has an
+    empty fingerprint. An empty table gives an empty one.
+    """
+    bits, size = lexicon_bits(lex)
+    rest = [c for c in texts.columns if c not in text_cols and c not in ("__id", "__text_hash", "__key")]
+    keyed = texts if "__key" in texts.columns else texts.withColumn("__key", F.struct("__id", "__text_hash"))
+    found = keyed.select("__key", *rest, *[fingerprint(F.col(t), bits, size).alias(to) for t, to in text_cols.items()])
+    once = found.groupBy("__key").agg(*[F.first(c).alias(c) for c in (*rest, *text_cols.values())], F.count("*").alias("copies"))
+    return once.select("__key.*", *rest, *text_cols.values(), "copies")
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
@@ -116,7 +150,7 @@ def next_rows(rows: DataFrame) -> DataFrame:
 def half_replaced(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole texts with an edited form beside them, to measure fingerprints by.
 
-    __id, __text_hash, __next_id, __next_hash, text, edited: the last floor(n/2) of n code points are replaced by the
+    __id, __text_hash, __key (both), __next_id, __next_hash, text, edited: the last floor(n/2) of n code points are replaced by the
     first as many (or all) of the next document, by ascending id and then text hash; null text is empty. Repeated
     rows stay (``fingerprints`` makes one row of them). The texts are shuffled once, by key, for both joins.
     """
@@ -127,6 +161,7 @@ def half_replaced(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     start = base.select(F.col("__id").alias("b_id"), F.col("__text_hash").alias("b_hash"), F.col("text").alias("b_text"))
     taken = start.join(want.hint("shuffle_hash"), start["b_id"].eqNullSafe(want["__next_id"]) & (start["b_hash"] == want["__next_hash"]))
     taken = taken.select("__id", "__text_hash", "__next_id", "__next_hash", "half", F.substring(F.col("b_text"), F.lit(1), F.col("half")).alias("head")).dropDuplicates(["__id", "__text_hash"])
-    both = base.join(taken, same_row(base, taken)).drop(taken["__id"], taken["__text_hash"])
+    key = F.struct("__id", "__text_hash")  # rows meet by one column, which a later grouping by it needs no shuffle for
+    both = base.withColumn("__key", key).join(taken.withColumn("__key", key).drop("__id", "__text_hash"), "__key")
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.col("half"))
     return both.withColumn("edited", F.concat(kept, F.col("head"))).drop("half", "head")

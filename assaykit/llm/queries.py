@@ -60,8 +60,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """A crawl's records from ``pages``: each page as a full response at time 10 * page_id, and each but every fourth
-    also as a revisit three pages later, by another spelling of its URL; every fifth revisit has a foreign entity tag,
+    """A crawl's records from ``pages``: each page as a full response at time 10 * page_id, and each also as
+    a revisit three pages later, by another spelling of its URL; every fifth revisit has a foreign entity tag,
     every seventh none, and every eleventh page's response none either."""
     i = F.col("page_id")
     tag = F.concat(F.lit('"'), F.left(F.md5(F.col("html")), F.lit(12)), F.lit('"'))
@@ -72,7 +72,7 @@ def captures(pages: DataFrame) -> DataFrame:
     revisit = F.when(i % 7 == 0, again).otherwise(F.map_concat(again, F.create_map(F.lit("etag"), F.when(i % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag)))))
     responses = pages.select((i * 2).alias("record_id"), "url", (i * 10).alias("captured_at"), F.lit(200).alias("status"), full.alias("headers"), F.sha2("html", 256).alias("payload"))
     other = F.concat(F.regexp_replace("url", "^https?://", "HTTP://"), F.lit("#again"))
-    revisits = pages.where(i % 4 != 0).select((i * 2 + 1).alias("record_id"), other.alias("url"), (i * 10 + 35).alias("captured_at"), F.lit(304).alias("status"), revisit.alias("headers"), F.lit(None).cast("string").alias("payload"))
+    revisits = pages.select((i * 2 + 1).alias("record_id"), other.alias("url"), (i * 10 + 35).alias("captured_at"), F.lit(304).alias("status"), revisit.alias("headers"), F.lit(None).cast("string").alias("payload"))
     return responses.unionByName(revisits)
 
 
@@ -89,18 +89,20 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one id and one text count once."""
+    """One row per row; the next document of repeated rows is the one after them all."""
     docs = table(spark, sf_dir, "documents")
-    lex = imatch.lexicon(docs, "text", least_share=1 / 2000, most_share=0.2)
+    lex = imatch.lexicon(docs, "text", least_share=1 / 2000, most_share=0.1)
     edited = imatch.half_replaced(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
     done = stored(imatch.fingerprints(edited, {"text": "fingerprint", "edited": "edited_fingerprint"}, lex), "imatch")
     following = done.select(F.col("__id").alias("n_id"), F.col("__text_hash").alias("n_hash"), F.col("fingerprint").alias("next_fingerprint"))
     joined = done.join(following, F.col("__next_id").eqNullSafe(F.col("n_id")) & (F.col("__next_hash") == F.col("n_hash")))
-    return joined.select(
-        F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+    found = joined.select(
+        F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", imatch.as_text(F.col("fingerprint")).alias("fingerprint"), imatch.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
+    return found.drop("copy")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +189,7 @@ WITH named AS (
 ), responses AS (
   SELECT i * 2 AS id, u, i * 10 AS t, body, CASE WHEN i % 11 <> 0 THEN tag END AS tag, modified FROM canon
 ), revisits AS (
-  SELECT i * 2 + 1 AS id, u, i * 10 + 35 AS t, CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 = 0 THEN chr(34) || 'other' || chr(34) ELSE 'W/' || tag END AS tag, modified FROM canon WHERE i % 4 <> 0
+  SELECT i * 2 + 1 AS id, u, i * 10 + 35 AS t, CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 = 0 THEN chr(34) || 'other' || chr(34) ELSE 'W/' || tag END AS tag, modified FROM canon
 ), earlier AS (
   SELECT v.id, v.u, v.t, v.tag, v.modified, r.id AS rid, r.body, r.tag AS rtag, r.modified AS rmodified,
          row_number() OVER (PARTITION BY v.id ORDER BY r.t DESC, r.id DESC) AS n
