@@ -126,9 +126,11 @@ def fingerprints(texts: DataFrame, text_cols: dict[str, str], lex: DataFrame) ->
     empty fingerprint. An empty table gives an empty one.
     """
     bits, size = lexicon_bits(lex)
-    rest = [c for c in texts.columns if c not in text_cols and c not in ("__id", "__text_hash")]
-    found = texts.select("__id", "__text_hash", *rest, *[fingerprint(F.col(t), bits, size).alias(to) for t, to in text_cols.items()])
-    return found.groupBy("__id", "__text_hash").agg(*[F.first(c).alias(c) for c in (*rest, *text_cols.values())], F.count("*").alias("copies"))
+    rest = [c for c in texts.columns if c not in text_cols and c not in ("__id", "__text_hash", "__key")]
+    keyed = texts if "__key" in texts.columns else texts.withColumn("__key", F.struct("__id", "__text_hash"))
+    found = keyed.select("__key", *rest, *[fingerprint(F.col(t), bits, size).alias(to) for t, to in text_cols.items()])
+    once = found.groupBy("__key").agg(*[F.first(c).alias(c) for c in (*rest, *text_cols.values())], F.count("*").alias("copies"))
+    return once.select("__key.*", *rest, *text_cols.values(), "copies")
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
@@ -148,17 +150,19 @@ def next_rows(rows: DataFrame) -> DataFrame:
 def half_replaced(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole texts with an edited form beside them, to measure fingerprints by.
 
-    __id, __text_hash, __next_id, __next_hash, text, edited: the last floor(n/2) of n code points are replaced by the
+    __id, __text_hash, __key (both), __next_id, __next_hash, text, edited: the last floor(n/2) of n code points are replaced by the
     first as many (or all) of the next document, by ascending id and then text hash; null text is empty. Repeated
     rows stay (``fingerprints`` makes one row of them). The texts are shuffled once, by key, for both joins.
     """
-    base = docs.select(*[c.alias(k) for k, c in row_keys(doc_id, text).items()], F.coalesce(F.col(text), F.lit("")).alias("text"))
-    after = next_rows(base)
-    sized = base.select("__id", "__text_hash", F.floor(F.char_length("text") / 2).cast("int").alias("half")).distinct()
+    keys = row_keys(doc_id, text)
+    base = docs.select(F.struct(*[c.alias(k) for k, c in keys.items()]).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = docs.select(*[c.alias(k) for k, c in keys.items()])
+    sized = docs.select(*[c.alias(k) for k, c in keys.items()], F.coalesce(F.floor(F.char_length(text) / 2), F.lit(0)).cast("int").alias("half")).distinct()
+    after = next_rows(ids)
     want = stored(after.join(sized, same_row(after, sized)).select(after["*"], "half"), "next")
-    start = base.select(F.col("__id").alias("b_id"), F.col("__text_hash").alias("b_hash"), F.col("text").alias("b_text"))
-    taken = start.join(want.hint("shuffle_hash"), start["b_id"].eqNullSafe(want["__next_id"]) & (start["b_hash"] == want["__next_hash"]))
-    taken = taken.select("__id", "__text_hash", "__next_id", "__next_hash", "half", F.substring(F.col("b_text"), F.lit(1), F.col("half")).alias("head")).dropDuplicates(["__id", "__text_hash"])
-    both = base.join(taken, same_row(base, taken)).drop(taken["__id"], taken["__text_hash"])
+    # both joins and the fingerprints' grouping go by one column, so that the texts are shuffled once
+    wanted = want.withColumn("__key", F.struct(F.col("__next_id").alias("__id"), F.col("__next_hash").alias("__text_hash"))).withColumnRenamed("__id", "of_id").withColumnRenamed("__text_hash", "of_hash")
+    taken = base.join(wanted.hint("shuffle_hash"), "__key").select(F.struct(F.col("of_id").alias("__id"), F.col("of_hash").alias("__text_hash")).alias("__key"), "__next_id", "__next_hash", "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"))
+    both = base.join(taken.dropDuplicates(["__key"]), "__key").select("__key.*", "__key", "text", "__next_id", "__next_hash", "half", "head")
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.col("half"))
     return both.withColumn("edited", F.concat(kept, F.col("head"))).drop("half", "head")
