@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.operators import compare, probability, records, summary
+from assaykit.operators.compare import Policy
 from assaykit.sources import views
 
 
 @dataclass
 class Engine:
     """``trials``: case_id, candidate, repeat_index, status, outcome, latency_ms, category; ``cases``: case_id, cluster_id,
-    severity and tags; ``predictions``: probability records. All results are lazy DataFrames but for ``gate``."""
+    severity and tags; ``predictions``: probability records. All results are lazy DataFrames."""
 
     trials: DataFrame
     cases: DataFrame
@@ -47,15 +48,25 @@ class Engine:
         both = records.pair_cases(cell.where(F.col("candidate") == baseline), cell.where(F.col("candidate") == candidate))
         return both.join(self.cases.select("case_id", "cluster_id"), "case_id")
 
-    def compare(self, baseline: str = "baseline", candidate: str = "candidate", *, resamples: int = 1000) -> DataFrame:
+    def compare(self, baseline: str = "baseline", candidate: str = "candidate", *, resamples: int = 10_000) -> DataFrame:
         units = compare.cluster_units(self.pairs(baseline, candidate).where("pairing = 'paired'"))
         return compare.bootstrap_interval(units, resamples=resamples)
 
-    def gate(self, policy: list[compare.GateMetric], **facts) -> dict:
-        """The release decision on the case pass rate, from one row of figures."""
-        row = self.compare().first()
-        interval = None if row.lower is None else (row.lower, row.upper)
-        return compare.gate({"case_pass_rate": interval}, policy, **facts)
+    def gate(self, policy: Policy | None = None, *, baseline: str = "baseline", candidate: str = "candidate", problems: list[str] = ()) -> DataFrame:
+        """The release decision on the case pass rate, as one row; trials may list broken invariants (invariant_failures)."""
+        policy = policy or Policy()
+        name, pairs = F.lit(candidate).alias("comparison"), self.pairs(baseline, candidate)
+        coverage = pairs.agg(name, (F.count_if(F.col("pairing") == "paired") / F.count("*")).alias("coverage"))
+        units = compare.cluster_units(pairs.where("pairing = 'paired'"))
+        interval = compare.bootstrap_interval(units, resamples=policy.resamples, seed=policy.seed, confidence=policy.confidence)
+        found = interval.select(name, F.lit("case_pass_rate").alias("metric"), "lower", "upper", "clusters")
+        broken = None
+        if "invariant_failures" in self.trials.columns:
+            named = self.trials.where(F.col("candidate") == candidate).select(F.explode("invariant_failures").alias("name"))
+            broken = named.groupBy("name").agg(F.count("*").alias("n")).select(name, "name", "n")
+        said = coverage.select("comparison", F.explode(F.array(*[F.lit(p) for p in problems]).cast("array<string>")).alias("problem"))
+        checks = compare.gate_checks(coverage, found, policy, invariant_failures=broken, problems=said)
+        return compare.gate_decision(coverage, checks, policy)
 
     def quality(self, *keys: str) -> DataFrame:
         return probability.quality(probability.usable(self.predictions), *keys)

@@ -107,13 +107,21 @@ def logit(p: Column, clip: float = 1e-6) -> Column:
 
 
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Linear between the points, constant beyond the ends."""
-    out = F.lit(float(ys[-1]))
-    for i in range(len(xs) - 2, -1, -1):
-        span = xs[i + 1] - xs[i]
-        line = F.lit(float(ys[i])) + (x - xs[i]) * ((ys[i + 1] - ys[i]) / span if span else 0.0)
-        out = F.when(x < xs[i + 1], line).otherwise(out)
-    return F.when(x.isNotNull(), F.when(x <= xs[0], F.lit(float(ys[0]))).otherwise(out))
+    """Linear between the points, constant beyond the ends. The points are constant arrays, searched by halves, so that the
+    plan stays small however many there are."""
+    n = len(xs)
+    slopes = [(ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i]) if xs[i + 1] != xs[i] else 0.0 for i in range(n - 1)] + [0.0]
+    px, py, ps = (F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>") for values in (xs, ys, slopes))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        left = F.get(px, mid) > x
+        return F.struct(F.when(left, s["lo"]).otherwise(mid).alias("lo"), F.when(left, mid - 1).otherwise(s["hi"]).alias("hi"))
+
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(n - 1).alias("hi"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), ends, halve, lambda s: s["lo"])
+    value = F.get(F.transform(F.array(last), lambda i: F.get(py, i) + (x - F.get(px, i)) * F.get(ps, i)), 0)
+    return F.when(x.isNotNull(), F.when(x <= xs[0], F.lit(float(ys[0]))).when(x >= xs[-1], F.lit(float(ys[-1]))).otherwise(value))
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -185,23 +185,83 @@ def paired_delta(spark, sf):
 
 
 _BOOT = _UNITS + """, r AS (SELECT num, row_number() OVER (ORDER BY sha256(cluster_id), cluster_id) - 1 AS u, count(*) OVER () AS m FROM units),
-draws AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % (SELECT max(m) FROM r) AS u FROM (SELECT unnest(range(500)) AS b), (SELECT u AS j FROM r)),
+draws AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % (SELECT max(m) FROM r) AS u FROM (SELECT unnest(range(10000)) AS b), (SELECT u AS j FROM r)),
 stats AS (SELECT b, avg(num) AS s FROM draws JOIN r USING (u) GROUP BY b),
 boot AS (SELECT (SELECT count(*) FROM r) AS clusters, (SELECT avg(num) FROM r) AS delta, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM stats)"""
 
 
 @query(sql(_PAIRED, _BOOT + " SELECT clusters, round(delta, 6) AS delta, round(lo, 6) AS lower, round(hi, 6) AS upper FROM boot"))
 def bootstrap_interval_md5(spark, sf):
-    return C.bootstrap_interval(_units(spark, sf), resamples=500).select("clusters", *rounded("delta", "lower", "upper"))
+    return C.bootstrap_interval(_units(spark, sf), resamples=10_000).select("clusters", *rounded("delta", "lower", "upper"))
 
 
 @query(sql(_PAIRED, _BOOT + " SELECT name, CASE WHEN CASE WHEN flip THEN -hi ELSE lo END >= -margin THEN 'clear' WHEN CASE WHEN flip THEN -lo ELSE hi END < -margin THEN 'blocked' ELSE 'inconclusive' END AS verdict FROM boot, (VALUES ('strict', 0.0, false), ('lenient', 0.5, false), ('flipped', 0.01, true)) v(name, margin, flip)"))
 def gate_verdict(spark, sf):
-    b = C.bootstrap_interval(_units(spark, sf), resamples=500)
+    b = C.bootstrap_interval(_units(spark, sf), resamples=10_000)
     v = spark.createDataFrame([("strict", 0.0, False), ("lenient", 0.5, False), ("flipped", 0.01, True)], "name string, margin double, flip boolean")
     return v.join(F.broadcast(b)).select("name", C.metric_verdict(F.col("lower"), F.col("upper"), F.col("margin"), F.col("flip")).alias("verdict"))
 
 
+_RUNS = """runs AS (SELECT s_suppkey AS run_id, CASE WHEN s_suppkey % 11 > 0 THEN ['g' || (s_nationkey % 2), 'h'] END AS graders, 'rule' || (s_nationkey % 3) AS pass_rule, CASE WHEN s_suppkey % 17 = 0 THEN 5 ELSE 3 END AS repeats,
+  CASE WHEN s_suppkey % 13 = 0 THEN 'continued' ELSE 'fresh' END AS repeat_mode, 's' || (s_nationkey % 5) AS scenario, ['completed', 'completed_with_errors', 'cancelled', 'running'][s_suppkey % 4 + 1] AS status, s_acctbal < 0 AS demo FROM supplier),
+sides AS (SELECT b.run_id AS comparison, b, c FROM runs b JOIN runs c ON c.run_id = b.run_id + 1 WHERE b.run_id % 2 = 1),
+found AS (SELECT comparison, 'grader_versions' AS "check", coalesce(b.graders = c.graders, false) AS ok, true AS blocks FROM sides UNION ALL SELECT comparison, 'pass_rule', b.pass_rule = c.pass_rule, true FROM sides
+  UNION ALL SELECT comparison, 'repeat_design', b.repeats = c.repeats AND b.repeat_mode = c.repeat_mode, true FROM sides UNION ALL SELECT comparison, 'scenario', b.scenario = c.scenario, true FROM sides
+  UNION ALL SELECT comparison, 'demo', true, false FROM sides WHERE b.demo OR c.demo)"""
+
+
+def _runs(spark, sf):
+    """Suppliers stand for runs; each odd one is compared with the next."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    numbered = lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    runs = V.read(spark, sf, "supplier").select(
+        k.alias("run_id"), F.when(k % 11 > 0, F.when(k % 2 == 1, F.array(numbered("g", n % 2), F.lit("h"))).otherwise(F.array(F.lit("h"), numbered("g", n % 2)))).alias("graders"), numbered("rule", n % 3).alias("pass_rule"),
+        F.when(k % 17 == 0, 5).otherwise(3).alias("repeats"), F.when(k % 13 == 0, "continued").otherwise("fresh").alias("repeat_mode"), numbered("s", n % 5).alias("scenario"),
+        F.element_at(F.array(*[F.lit(x) for x in ("completed", "completed_with_errors", "cancelled", "running")]), (k % 4 + 1).cast("int")).alias("status"), (F.col("s_acctbal") < 0).alias("demo"),
+    )
+    return runs.where("run_id % 2 = 1").select(F.col("run_id").alias("comparison"), F.col("run_id").alias("base_run"), (F.col("run_id") + 1).alias("cand_run")), runs
+
+
+@query(sql(_RUNS, 'SELECT comparison, "check", ok, blocks AND NOT ok AS blocks_inference FROM found'))
+def compatibility_findings(spark, sf):
+    return C.compatibility(*_runs(spark, sf))
+
+
+@query(sql(_RUNS, """SELECT comparison, 'baseline run is ' || b.status AS problem FROM sides WHERE b.status IN ('cancelled', 'running') UNION ALL SELECT comparison, 'candidate run is ' || c.status FROM sides WHERE c.status IN ('cancelled', 'running')
+UNION ALL SELECT DISTINCT comparison, 'experiments are incompatible' FROM found WHERE blocks AND NOT ok"""))
+def run_problems(spark, sf):
+    pairs, runs = _runs(spark, sf)
+    return C.run_problems(pairs, runs, C.compatibility(pairs, runs))
+
+
+@query(sql(_PAIRED, """, named AS (SELECT *, CAST(substr(case_id, 2) AS BIGINT) AS u FROM joined), pk AS (SELECT *, ['short', 'long', 'mixed'][u % 3 + 1] AS comparison, 'c' || (u % 50) AS cluster_id FROM named),
+un AS (SELECT comparison, cluster_id, avg(cr - br) AS num FROM pk WHERE pairing = 'paired' AND br IS NOT NULL AND cr IS NOT NULL GROUP BY ALL),
+rk AS (SELECT comparison, num, row_number() OVER (PARTITION BY comparison ORDER BY sha256(cluster_id), cluster_id) - 1 AS u, count(*) OVER (PARTITION BY comparison) AS m FROM un),
+dr AS (SELECT comparison, b, CAST('0x' || substr(md5('42:' || b || ':' || u), 1, 8) AS BIGINT) % m AS u FROM rk, (SELECT unnest(range(10000)) AS b)),
+ss AS (SELECT comparison, b, avg(num) AS s, any_value(m) AS m FROM dr JOIN rk USING (comparison, u) GROUP BY ALL),
+iv AS (SELECT comparison, any_value(m) AS m, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM ss GROUP BY ALL),
+cv AS (SELECT comparison, count_if(pairing = 'paired') / count(*) AS coverage FROM pk GROUP BY ALL),
+br AS (SELECT kind AS comparison, count(*) AS n FROM trials JOIN cases USING (case_id) WHERE candidate = 'candidate' AND category = 4 AND latency_ms > 450 GROUP BY ALL),
+ck AS (SELECT comparison, CASE WHEN lo IS NULL OR hi IS NULL OR m < 20 THEN 'inconclusive' WHEN lo >= -margin THEN 'clear' WHEN hi < -margin THEN CASE WHEN required THEN 'blocked' ELSE 'advisory' END ELSE CASE WHEN required THEN 'inconclusive' ELSE 'advisory' END END AS status
+    FROM cv LEFT JOIN iv USING (comparison), (VALUES (0.5, true), (0.0, false)) p(margin, required)
+  UNION ALL SELECT comparison, 'inconclusive' FROM cv WHERE coverage < 0.9 UNION ALL SELECT comparison, CASE WHEN n > 0 THEN 'blocked' ELSE 'clear' END FROM cv LEFT JOIN br USING (comparison) UNION ALL SELECT 'long', 'inconclusive' WHERE EXISTS (SELECT 1 FROM cv WHERE comparison = 'long'))
+SELECT comparison, CASE WHEN count_if(status = 'blocked') > 0 THEN 'blocked' WHEN count_if(status = 'inconclusive') > 0 THEN 'inconclusive' ELSE 'ready' END AS verdict, count_if(status = 'blocked') AS blocked, count_if(status = 'inconclusive') AS inconclusive, count(*) AS checks FROM ck GROUP BY comparison"""))
+def gate_decision(spark, sf):
+    """Cases of each kind are compared apart; one metric decides and its twin, without a margin, advises; the run of long cases was cancelled."""
+    u = F.substring("case_id", 2, 20).cast("long")
+    pairs = _paired(spark, sf).withColumn("__u", u)
+    pairs = pairs.withColumns({"comparison": V.case_columns("__u")["kind"], "cluster_id": V.case_columns("__u")["cluster_id"]})
+    policy = C.Policy((C.GateMetric("case_pass_rate", 0.5), C.GateMetric("twin", 0.0, required=False)), critical_invariants=("quick_format",), least_coverage=0.9)
+    coverage = pairs.groupBy("comparison").agg(K.rate(F.count_if(F.col("pairing") == "paired"), F.count("*")).alias("coverage"))
+    interval = C.bootstrap_interval(C.cluster_units(pairs.where("pairing = 'paired'"), by=("comparison",)), by=("comparison",))
+    intervals = interval.select("comparison", F.explode(F.array(F.lit("case_pass_rate"), F.lit("twin"))).alias("metric"), "lower", "upper", "clusters")
+    t = V.cell_trials(spark, sf).where("candidate = 'candidate' AND category = 4 AND latency_ms > 450")
+    broken = t.groupBy(V.case_columns()["kind"].alias("comparison")).agg(F.count("*").alias("n")).withColumn("name", F.lit("quick_format"))
+    problems = coverage.where("comparison = 'long'").select("comparison", F.lit("candidate run is cancelled").alias("problem"))
+    checks = C.gate_checks(coverage, intervals, policy, invariant_failures=broken, problems=problems)
+    return C.gate_decision(coverage, checks, policy).drop("reasons")
+
+
 # records
 
 _TRIAGE = f"""{CELLS}, {CASES}, firsts AS (SELECT case_id, candidate, arg_min(repeat_index, struct_pack(r := CASE WHEN outcome = 'fail' THEN 0 WHEN outcome IS NULL THEN 1 ELSE 2 END, i := repeat_index)) AS representative_repeat FROM trials GROUP BY ALL),

@@ -1,5 +1,5 @@
 from assaykit.engine import Engine
-from assaykit.operators.compare import GateMetric
+from assaykit.operators.compare import GateMetric, Policy
 
 
 def test_engine(spark, sf_dir):
@@ -9,5 +9,7 @@ def test_engine(spark, sf_dir):
     assert e.triage(severity="critical").where("severity <> 'critical'").count() == 0
     row = e.compare(resamples=100).first()
     assert row.lower <= row.delta <= row.upper
-    assert e.gate([GateMetric("case_pass_rate", 1.0)])["verdict"] == "ready"
+    loose = Policy((GateMetric("case_pass_rate", 1.0),), least_coverage=0.0, least_clusters=2, resamples=200)
+    assert e.gate(loose).first().verdict == "ready"
+    assert e.gate(loose, problems=["baseline run is cancelled"]).first().verdict == "inconclusive"
     assert e.quality("split").count() == 2

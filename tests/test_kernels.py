@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assaykit import registry
 from assaykit.functions import kernels as K
 from assaykit.functions import udfs
-from assaykit.operators import assignment, compare
+from assaykit.operators import assignment, compare, summary
 
 
 def one(spark, *cols):
@@ -86,16 +86,52 @@ def test_weighted_matching(spark):
     assert got == {"a": (1, 2, 1, 0), "b": (0, 0, 0, 0), "c": (1, 0, 0, 1)}
 
 
-def test_gate_decisions():
-    policy = [compare.GateMetric("pass", 0.02)]
-    assert compare.gate({"pass": (-0.01, 0.05)}, policy)["verdict"] == "ready"
-    assert compare.gate({"pass": (-0.2, -0.1)}, policy)["verdict"] == "blocked"
-    assert compare.gate({"pass": (-0.2, 0.1)}, policy)["verdict"] == "inconclusive"
-    assert compare.gate({}, policy)["verdict"] == compare.gate({"pass": (0, 1)}, [])["verdict"] == "inconclusive"
-    assert compare.gate({"pass": (0, 1)}, policy, invariant_failures={"no_leak": 1})["verdict"] == "blocked"
-    assert compare.gate({"pass": (0, 1)}, policy, coverage=0.5)["verdict"] == "inconclusive"
-    assert compare.gate({"cost": (0.5, 0.9)}, [compare.GateMetric("cost", 0.1, lower_is_better=True)])["verdict"] == "blocked"
-    assert compare.gate({"pass": (0, 1), "x": (-1, -0.5)}, [*policy, compare.GateMetric("x", 0, required=False)])["verdict"] == "ready"
+def test_gate_decisions(spark):
+    """Expected verdicts follow from the policy's rules: only listed invariants block, and what is unsure stays open."""
+    M, P = compare.GateMetric, compare.Policy
+
+    def decide(policy, found, *, coverage=1.0, clusters=25, broken=(), problems=()):
+        cover = spark.createDataFrame([("x", coverage)], "comparison string, coverage double")
+        rows = [("x", name, float(lo), float(hi), clusters) for name, (lo, hi) in found.items()]
+        intervals = spark.createDataFrame(rows, "comparison string, metric string, lower double, upper double, clusters long")
+        failures = spark.createDataFrame([("x", n, 1) for n in broken], "comparison string, name string, n long")
+        said = spark.createDataFrame([("x", p) for p in problems], "comparison string, problem string")
+        return compare.gate_decision(cover, compare.gate_checks(cover, intervals, policy, invariant_failures=failures, problems=said), policy).first()
+
+    one = P((M("pass", 0.02),))
+    assert decide(one, {"pass": (-0.01, 0.05)}).verdict == "ready"
+    assert decide(one, {"pass": (-0.2, -0.1)}).verdict == "blocked"
+    assert decide(one, {"pass": (-0.2, 0.1)}).verdict == "inconclusive"
+    assert decide(one, {}).verdict == decide(P(()), {"pass": (0, 1)}).verdict == "inconclusive"
+    assert decide(one, {"pass": (0.0, 1.0)}, clusters=19).verdict == "inconclusive"
+    assert decide(one, {"pass": (0.0, 1.0)}, broken=["no_leak"]).verdict == "ready"
+    assert decide(P((M("pass", 0.02),), critical_invariants=("no_leak",)), {"pass": (0.0, 1.0)}, broken=["no_leak"]).verdict == "blocked"
+    assert decide(one, {"pass": (0.0, 1.0)}, coverage=0.99).verdict == "inconclusive"
+    r = decide(one, {"pass": (0.0, 1.0)}, problems=["baseline run is running"])
+    assert (r.verdict, r.reasons) == ("inconclusive", ["experiment: baseline run is running"])
+    assert decide(P((M("cost", 0.1, lower_is_better=True),)), {"cost": (0.5, 0.9)}).verdict == "blocked"
+    assert decide(P((M("pass", 0.02), M("x", 0, required=False))), {"pass": (0.0, 1.0), "x": (-1.0, -0.5)}).verdict == "ready"
+    assert compare.multiplicity(P((M("a"), M("b")))) and compare.multiplicity(one) is None
+    with pytest.raises(ValueError, match="negative"):
+        M("pass", -1)
+
+
+def test_compatibility_and_run_problems(spark):
+    schema = "run_id int, graders array<string>, pass_rule string, repeats int, repeat_mode string, scenario string, status string, demo boolean"
+    runs = spark.createDataFrame(
+        [(1, ["g", "h"], "all", 3, "fresh", "s", "completed", False), (2, ["h", "g"], "all", 3, "fresh", "s", "completed", True),
+         (3, None, None, 5, "fresh", "s", "cancelled", False), (4, None, None, 5, "fresh", "t", "completed_with_errors", False)], schema
+    )
+    pairs = spark.createDataFrame([("a", 1, 2), ("b", 1, 3), ("c", 3, 4)], "comparison string, base_run int, cand_run int")
+    found = compare.compatibility(pairs, runs)
+    bad = {}
+    for r in found.where("blocks_inference").collect():
+        bad.setdefault(r.comparison, set()).add(r.check)
+    # a run that was never graded matches nothing; null pass rules are equal
+    assert bad == {"b": {"grader_versions", "pass_rule", "repeat_design"}, "c": {"grader_versions", "scenario"}}
+    assert [(r.comparison, r.ok, r.blocks_inference) for r in found.where("check = 'demo'").collect()] == [("a", True, False)]
+    problems = sorted((r.comparison, r.problem) for r in compare.run_problems(pairs, runs, found).collect())
+    assert problems == [("b", "candidate run is cancelled"), ("b", "experiments are incompatible"), ("c", "baseline run is cancelled"), ("c", "experiments are incompatible")]
 
 
 def test_bootstrap(spark):
@@ -106,4 +142,27 @@ def test_bootstrap(spark):
     assert compare.bootstrap_interval(compare.cluster_units(two), resamples=200).first().delta == 0
     assert compare.bootstrap_interval(compare.cluster_units(two, case_weighted=True), resamples=200).first().delta == pytest.approx(0.6)
     assert compare.bootstrap_interval(compare.cluster_units(two.where("cluster_id = 'big'"))).first().lower is None
-    assert compare.bootstrap_exact([1, -1, 0.5], [1, 1, 1]) == compare.bootstrap_exact([1, -1, 0.5], [1, 1, 1])
+    units = spark.createDataFrame([(f"c{n:02}", (n * 7 % 11) / 11 - 0.4, 1.0 + n % 3) for n in range(30)], "cluster_id string, num double, den double")
+    rows = [compare.bootstrap_interval(units, resamples=300, in_row=n).first() for n in (100, 0)]
+    assert rows[0][1:4] == pytest.approx(rows[1][1:4])
+    halves = units.withColumn("half", F.substring("cluster_id", 3, 1).cast("int") % 2)
+    rows = [compare.bootstrap_interval(halves, resamples=300, by=("half",), in_row=n).orderBy("half").collect() for n in (100, 0)]
+    assert [r.clusters for r in rows[0]] == [15, 15] and [x for r in rows[0] for x in r[2:5]] == pytest.approx([x for r in rows[1] for x in r[2:5]])
+    table = units.toPandas().sort_values("cluster_id")
+    at = np.random.default_rng(42).integers(0, 30, size=(10_000, 30))
+    stat = table["num"].to_numpy()[at].sum(1) / table["den"].to_numpy()[at].sum(1)
+    exact = compare.bootstrap_exact(units).first()
+    assert tuple(exact) == pytest.approx(tuple(np.quantile(stat, [0.025, 0.975])))
+    none = compare.bootstrap_interval(units.limit(0), resamples=100).first()
+    assert (none.clusters, none.delta, none.lower) == (0, None, None)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.lognormal(size=5_000).round(2), "b": rng.integers(0, 3, 50).astype(float), None: np.array([4.0]), "e": np.array([])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in summary.exact_quantiles(df, F.col("v"), ["g"], {"lo": 0.0, "mid": 0.5, "hi": 0.95}).collect()}
+    assert set(got) == {"a", "b", None}
+    for k, found in got.items():
+        assert found == pytest.approx(tuple(np.quantile(groups[k], [0, 0.5, 0.95])))
