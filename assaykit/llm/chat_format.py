@@ -2,8 +2,10 @@
 
 A record is a VARIANT (``parse_json`` of a raw line, or ``to_variant_object`` of a struct). Its shape, that is its
 nested field paths without the scalar types, is hashed; the hash selects a mapping, and the mapping is a Column
-expression that yields turns. ``fingerprint_census`` lists the shapes of a table, so that a mapping for a new layout
-can be declared. Only DataFrame functions; one row in, one row out, no shuffle.
+expression that yields turns. A shape that no mapping names is hashed again by the paths that any mapping knows, so that
+ids, names and other fields beside them don't hide a layout; there, texts may be lists of text parts too.
+``fingerprint_census`` lists the shapes of a table, so that a mapping for a new layout can be declared. Only DataFrame
+functions; one row in, one row out, no shuffle.
 """
 
 from __future__ import annotations
@@ -20,11 +22,17 @@ _SCALAR = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP|TIMESTAMP_
 
 @dataclass(frozen=True)
 class Mapping:
-    """``shapes``: those it applies to, as ``shape`` prints them; ``turns``: from the variant to array<struct<role, text>>."""
+    """``shapes``: those it applies to, as ``shape`` prints them; ``turns``: from the variant to array<struct<role, text>>.
+
+    ``paths`` (``field`` or ``field[].field``) and ``loose`` are for records that have these of all known paths and, besides,
+    any unknown ones; ``loose`` gives null where a text can't be read.
+    """
 
     name: str
     shapes: tuple[str, ...]
     turns: Callable[[Column], Column]
+    paths: tuple[str, ...] = ()
+    loose: Callable[[Column], Column] | None = None
 
 
 def shape(record: Column) -> Column:
@@ -70,39 +78,103 @@ def _pair(asked: tuple[str, ...], answer: str, system: str | None = None) -> Cal
     return turns
 
 
-def _list_shapes(field: str, *names: str) -> tuple[str, ...]:
-    inner = ", ".join(f"{n}: *" for n in sorted(names))
-    return f"OBJECT<{field}: ARRAY<OBJECT<{inner}>>>", f"OBJECT<{field}: ARRAY<*>>"
+def _readable(c: Column) -> Column:
+    """Text of a variant: a scalar's, or that of a list of strings and objects with a ``text``, joined by line ends. Missing
+    or null: ''; what has other contents: null."""
+    kind = F.schema_of_variant(c)
+    part = lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(F.try_variant_get(p, "$.text", "string"))
+    parts = F.transform(F.try_variant_get(c, "$", "array<variant>"), part)
+    joined = F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, "\n"))
+    return F.when(c.isNull() | (kind == "VOID"), "").when(kind.startswith("ARRAY<"), joined).when(~kind.startswith("OBJECT<"), F.try_variant_get(c, "$", "string"))
+
+
+def _all_read(turns: Column) -> Column:
+    return F.when(~F.exists(turns, lambda t: t["text"].isNull()), F.transform(turns, lambda t: _turn(t["role"], t["text"])))
+
+
+def _items(v: Column, field: str) -> Column:
+    return F.try_variant_get(v, f"$.{field}", "array<variant>")
+
+
+def _chat(name: str, field: str, role: str, text: str, names: dict[str, str] | None = None) -> Mapping:
+    """The mapping of a list of messages."""
+    inner = ", ".join(f"{n}: *" for n in sorted((role, text)))
+    shapes = f"OBJECT<{field}: ARRAY<OBJECT<{inner}>>>", f"OBJECT<{field}: ARRAY<*>>"
+
+    def loose(v: Column) -> Column:
+        said = lambda m: F.try_variant_get(m, f"$.{role}", "string")
+        renamed = lambda c: c if not names else F.coalesce(*[F.when(c == k, F.lit(x)) for k, x in names.items()], c)
+        return _all_read(F.transform(_items(v, field), lambda m: F.struct(renamed(said(m)).alias("role"), _readable(F.try_variant_get(m, f"$.{text}", "variant")).alias("text"))))
+
+    return Mapping(name, shapes, _listed(field, role, text, names), (f"{field}[].{role}", f"{field}[].{text}"), loose)
+
+
+def _flat(name: str, asked: tuple[str, ...], answer: str, system: str | None = None) -> Mapping:
+    """The mapping of flat asking and answering fields."""
+    fields = tuple(sorted((*asked, answer, *([system] if system else []))))
+
+    def loose(v: Column) -> Column:
+        get = lambda f: _readable(F.try_variant_get(v, f"$.{f}", "variant"))
+        parts = F.array(*[get(f) for f in asked])
+        said = F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(F.filter(parts, lambda x: x != ""), "\n\n"))
+        turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+        pair = _all_read(F.array(turn("user", said), turn("assistant", get(answer))))
+        if not system:
+            return pair
+        return F.concat(F.filter(_all_read(F.array(turn("system", get(system)))), lambda t: t["text"] != ""), pair)
+
+    return Mapping(name, ("OBJECT<" + ", ".join(f"{f}: *" for f in fields) + ">",), _pair(asked, answer, system), fields, loose)
 
 
 #: Public layouts of instruction and chat data.
 MAPPINGS = (
-    Mapping("turns", _list_shapes("turns", "role", "text"), _listed("turns", "role", "text")),
-    Mapping("messages", _list_shapes("messages", "role", "content"), _listed("messages", "role", "content")),
-    Mapping("conversations", _list_shapes("conversations", "from", "value"), _listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
-    Mapping("prompt_completion", ("OBJECT<completion: *, prompt: *>",), _pair(("prompt",), "completion")),
-    Mapping("prompt_response", ("OBJECT<prompt: *, response: *>",), _pair(("prompt",), "response")),
-    Mapping("question_answer", ("OBJECT<answer: *, question: *>",), _pair(("question",), "answer")),
-    Mapping("instruction", ("OBJECT<instruction: *, output: *>",), _pair(("instruction",), "output")),
-    Mapping("instruction_input", ("OBJECT<input: *, instruction: *, output: *>",), _pair(("instruction", "input"), "output")),
-    Mapping("instruction_system", ("OBJECT<input: *, instruction: *, output: *, system: *>",), _pair(("instruction", "input"), "output", "system")),
+    _chat("turns", "turns", "role", "text"),
+    _chat("messages", "messages", "role", "content"),
+    _chat("conversations", "conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
+    _flat("prompt_completion", ("prompt",), "completion"),
+    _flat("prompt_response", ("prompt",), "response"),
+    _flat("question_answer", ("question",), "answer"),
+    _flat("instruction", ("instruction",), "output"),
+    _flat("instruction_input", ("instruction", "input"), "output"),
+    _flat("instruction_system", ("instruction", "input"), "output", "system"),
 )
 
 
+def known_paths(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Of all paths that the mappings read, those that the record has, sorted and joined by commas."""
+
+    def present(path: str) -> Column:
+        field, inner, of = path.partition("[].")
+        if not inner:
+            return F.try_variant_get(record, f"$.{field}", "variant").isNotNull()
+        return F.exists(_items(record, field), lambda m: F.try_variant_get(m, f"$.{of}", "variant").isNotNull())
+
+    every = sorted({p for m in mappings for p in m.paths})
+    return F.array_join(F.array(*[F.when(present(p), F.lit(p)) for p in every]), ",")  # nulls are left out
+
+
 def to_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds fingerprint (long), mapping (name; null if no mapping has that shape) and turns (array<struct<role, text>>).
 
-    Null roles and texts become ''. A null record or one of an unknown shape gets null turns, never a guess; its
-    fingerprint shows in ``fingerprint_census``. Input columns of the three added names are replaced.
+    Null roles and texts become ''. A mapping applies to the shapes it names and to records that have just its paths among
+    all known ones. A null record, one of an unknown shape and one with a text that is neither a scalar nor a list of
+    text parts get null mapping and turns, never a guess; their fingerprints show in ``fingerprint_census``. Input columns of
+    the three added names are replaced.
     """
     v = F.col(record)
-    # the mappings' side hashes literals only, so the optimizer folds it to one constant each
+    # the mappings' sides hash literals only, so the optimizer folds them to one constant each
     is_of = lambda m: F.col("fingerprint").isin([F.xxhash64(F.lit(s)) for s in m.shapes])
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    has = lambda m: F.col("__known") == F.xxhash64(F.lit(",".join(sorted(m.paths))))
+    nothing = F.lit(None).cast("array<struct<role:string,text:string>>")
+    name, loose_name, turns, loose = F.lit(None).cast("string"), F.lit(None).cast("string"), nothing, nothing
     for m in reversed(mappings):
-        name = F.when(is_of(m), F.lit(m.name)).otherwise(name)
-        turns = F.when(is_of(m), m.turns(v)).otherwise(turns)
-    return records.withColumn("fingerprint", fingerprint(v)).withColumns({"mapping": name, "turns": turns})
+        name, turns = F.when(is_of(m), F.lit(m.name)).otherwise(name), F.when(is_of(m), m.turns(v)).otherwise(turns)
+        if m.loose:
+            loose_name, loose = F.when(has(m), F.lit(m.name)).otherwise(loose_name), F.when(has(m), m.loose(v)).otherwise(loose)
+    marked = records.withColumn("fingerprint", fingerprint(v)).withColumn("__exact", name)
+    marked = marked.withColumn("__known", F.when(F.col("__exact").isNull() & v.isNotNull(), F.xxhash64(known_paths(v, mappings))))
+    found = marked.withColumn("turns", F.when(F.col("__exact").isNotNull(), turns).otherwise(loose))
+    return found.withColumn("mapping", F.when(F.col("turns").isNotNull(), F.coalesce("__exact", loose_name))).drop("__exact", "__known")
 
 
 def fingerprint_census(records: DataFrame, record: str = "record") -> DataFrame:

@@ -85,6 +85,29 @@ def test_layouts_select_mappings(spark):
     assert chat_format.fingerprint_census(df).count() == 8
 
 
+def test_layouts_with_other_fields_and_parts(spark):
+    raw = [
+        '{"id": 7, "messages": [{"role": "user", "name": "ann", "content": [{"type": "text", "text": "a"}, "b"]}, {"role": "assistant", "content": "ok", "tool_calls": null}]}',
+        '{"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}]}]}', '{"messages": [{"role": "user", "content": {"x": 1}}]}',
+        '{"conversations": [{"from": "human", "value": "h", "w": 1}, {"from": "gpt"}], "source": "s"}', '{"id": "x", "prompt": "p", "response": null}', '{"prompt": "p", "completion": "c", "answer": "z"}',
+        '{"meta": {"system": "no"}, "system": "", "instruction": ["i", "j"], "input": "x", "output": 5}', '[1]', '"text"', 'null',
+    ]
+    df = spark.createDataFrame([(n, x, "t", 1) for n, x in enumerate(raw)], "n int, j string, turns string, mapping int").withColumn("record", F.parse_json("j"))
+    got = {r.n: (r["mapping"], None if r.turns is None else [(t.role, t.text) for t in r.turns]) for r in chat_format.to_turns(df).collect()}
+    assert got == {
+        0: ("messages", [("user", "a\nb"), ("assistant", "ok")]), 1: (None, None), 2: (None, None), 3: ("conversations", [("user", "h"), ("assistant", "")]),
+        4: ("prompt_response", [("user", "p"), ("assistant", "")]), 5: (None, None), 6: ("instruction_system", [("user", "i\nj\n\nx"), ("assistant", "5")]), 7: (None, None), 8: (None, None), 9: (None, None),
+    }
+
+
+def test_turns_without_a_conversation_and_empty_tables(spark):
+    schema = "conv_id long, turn int, role string, text string, fingerprint string"
+    rows = spark.createDataFrame([(None, 1, "assistant", None, "f"), (None, 0, None, "q", "f"), (1, None, "user", "x", None)], schema)
+    for given, want in ((rows, {None: [("", "q"), ("assistant", "")], 1: [("user", "x")]}), (rows.limit(0), {})):
+        done = chat_format.format_turns(chat_format.to_turns(chat_format.gather_turns(given)))
+        assert {r.conv_id: [(t.role, t.text) for t in r.t] for r in done.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t")).collect()} == want
+
+
 def test_revisit_outcomes(spark):
     rows = [
         (1, "http://A.com/x?b=2&a=1", 10, 200, {"ETag": '"1"', "X": "old", "Date": "d1"}), (2, "https://www.a.com/x/?a=1&b=2&utm_source=q#f", 20, 304, {"etag": 'W/"1"', "date": "d2", "x": "no"}),
