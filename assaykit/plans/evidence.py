@@ -242,7 +242,7 @@ ss AS (SELECT comparison, b, avg(num) AS s, any_value(m) AS m FROM dr JOIN rk US
 iv AS (SELECT comparison, any_value(m) AS m, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM ss GROUP BY ALL),
 cv AS (SELECT comparison, count_if(pairing = 'paired') / count(*) AS coverage FROM pk GROUP BY ALL),
 br AS (SELECT kind AS comparison, count(*) AS n FROM trials JOIN cases USING (case_id) WHERE candidate = 'candidate' AND category = 4 AND latency_ms > 450 GROUP BY ALL),
-ck AS (SELECT comparison, CASE WHEN lo IS NULL OR hi IS NULL OR m < 20 THEN 'inconclusive' WHEN lo >= -margin THEN 'clear' WHEN hi < -margin THEN CASE WHEN required THEN 'blocked' ELSE 'advisory' END ELSE CASE WHEN required THEN 'inconclusive' ELSE 'advisory' END END AS status
+ck AS (SELECT comparison, CASE WHEN lo IS NULL OR hi IS NULL OR m < 20 THEN CASE WHEN required THEN 'inconclusive' ELSE 'advisory' END WHEN lo >= -margin THEN 'clear' WHEN hi < -margin THEN CASE WHEN required THEN 'blocked' ELSE 'advisory' END ELSE CASE WHEN required THEN 'inconclusive' ELSE 'advisory' END END AS status
     FROM cv LEFT JOIN iv USING (comparison), (VALUES (0.5, true), (0.0, false)) p(margin, required)
   UNION ALL SELECT comparison, 'inconclusive' FROM cv WHERE coverage < 0.9 UNION ALL SELECT comparison, CASE WHEN n > 0 THEN 'blocked' ELSE 'clear' END FROM cv LEFT JOIN br USING (comparison) UNION ALL SELECT 'long', 'inconclusive' WHERE EXISTS (SELECT 1 FROM cv WHERE comparison = 'long'))
 SELECT comparison, CASE WHEN count_if(status = 'blocked') > 0 THEN 'blocked' WHEN count_if(status = 'inconclusive') > 0 THEN 'inconclusive' ELSE 'ready' END AS verdict, count_if(status = 'blocked') AS blocked, count_if(status = 'inconclusive') AS inconclusive, count(*) AS checks FROM ck GROUP BY comparison"""))
