@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, pitman_yor, quality, substring_dedup, warc_revisits
+from assaykit.llm import byte_bpe, chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, pitman_yor, quality, substring_dedup, warc_revisits
 from assaykit.llm.common import stored, table
 
 
@@ -125,6 +125,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_fold("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded bytes are the text's, as ids of a whole text hold whole characters only."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    done = byte_bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), path)
+    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -136,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
