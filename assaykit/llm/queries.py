@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import byte_bpe, chat_format, decontaminate, imatch, jaccard_join, line_dedup, packing, pitman_yor, quality, substring_dedup, warc_revisits
+from assaykit.llm import byte_bpe, chat_format, decontaminate, filter_audit, imatch, jaccard_join, line_dedup, packing, pitman_yor, quality, substring_dedup, vector_codes, warc_revisits
 from assaykit.llm.common import stored, table
 
 
@@ -135,6 +135,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    flags = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    counts = filter_audit.masks(docs, filter_audit.text_checks(F.col("text")), flags)
+    return filter_audit.audit(counts, "ABCDE", ["good", "toxic"])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantise(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -147,8 +158,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of nearest entries as a chain of views: distances by component, the least, the floored means."""
+    views = f"""kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS r, vec_id, label, q FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), numbers AS (
+  SELECT r, CAST((i - 1) // (n // {parts}) AS BIGINT) AS part, CAST((i - 1) % (n // {parts}) AS BIGINT) AS pos, q[i] AS x
+  FROM (SELECT r, q, len(q) AS n, unnest(range(1, len(q) + 1)) AS i FROM kept)
+), book0 AS (SELECT r - 1 AS entry, part, pos, x AS c FROM numbers WHERE r <= {entries})"""
+    for k in range(rounds + 1):
+        views += f""", near{k} AS (
+  SELECT r, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+    SELECT r, part, entry, sum((x - c) * (x - c)) AS d FROM numbers JOIN book{k} USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part)"""
+        if k < rounds:
+            views += f""", mean{k} AS (
+  SELECT part, entry, pos, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS c FROM (
+    SELECT part, best.entry AS entry, pos, sum(x) AS s, count(*) AS n FROM numbers JOIN near{k} USING (r, part) GROUP BY ALL)
+), book{k + 1} AS (SELECT entry, part, pos, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (entry, part, pos))"""
+    return f"""WITH {views}, coded AS (
+  SELECT r, string_agg(lower(format('{{:02x}}', best.entry)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -216,6 +257,31 @@ SELECT id AS record_id, u AS canonical_url, outcome, CASE WHEN outcome = 'resolv
             ELSE 'content-length: 0' || chr(10) || 'date: ' || CAST(t AS VARCHAR) || coalesce(chr(10) || 'etag: ' || tag, '') || chr(10) || 'last-modified: ' || modified END AS headers,
        CASE WHEN outcome = 'resolved' THEN body END AS payload_sha256
 FROM judged""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS keeper FROM d),
+flags AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t),
+             regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > keeper, false)] AS fails,
+             coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM w LEFT JOIN flags USING (doc_id)),
+m AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+i AS (SELECT unnest(range(1, 6)) AS x),
+p AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM i a, i b, i c, i d, i e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM p),
+gone AS (SELECT part, o, step, o[step] AS filter, n, good, toxic, fails,
+                fails[o[step]] AS here, len(list_filter(o[1 : step - 1], lambda x: fails[x])) > 0 AS earlier,
+                len(list_filter(fails, lambda y: y)) = 1 AS once FROM m, s),
+sums AS (SELECT part, o, step, filter, sum(CASE WHEN earlier OR here THEN 0 ELSE n END) AS kept, sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN here AND once THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN here AND NOT earlier AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT earlier AND toxic THEN n ELSE 0 END) AS toxic_lost
+         FROM gone GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', CAST(x AS INTEGER), 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM sums""",
+    "op13_vector_codes": _codes_sql(),
     "op9_decontaminate": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
