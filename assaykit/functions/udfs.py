@@ -140,6 +140,11 @@ SENSITIVE_KEY = re.compile(r"(authorization|api[-_]?key|x-api-key|access[-_]?tok
 MASK = "[REDACTED]"
 
 
+def _empty(v) -> bool:
+    """What needs no mask: null, and empty texts, lists and objects; 0 and false are values."""
+    return v is None or isinstance(v, str | list | dict) and not v
+
+
 def redact(value, secrets: list[str] = ()):
     """(copy without secrets, number of redactions): fields with telling names, and known secret values, longest first."""
     known = re.compile("|".join(re.escape(s) for s in sorted(filter(None, secrets), key=len, reverse=True)) or r"(?!)")
@@ -151,29 +156,13 @@ def redact(value, secrets: list[str] = ()):
             done = [clean(x) for x in v]
             return [x for x, _ in done], sum(n for _, n in done)
         if isinstance(v, dict):
-            done = {k: (MASK, 1) if x and SENSITIVE_KEY.search(k) else clean(x) for k, x in v.items()}
+            done = {k: (MASK, 1) if not _empty(x) and SENSITIVE_KEY.search(k) else clean(x) for k, x in v.items()}
             return {k: x for k, (x, _) in done.items()}, sum(n for _, n in done.values())
         return v, 0
 
     return clean(value)
 
 
-def fold_each():
-    @F.pandas_udf("array<string>")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda xs: [None if x is None else fold_text(x) for x in xs], na_action="ignore")
-
-    return f
-
-
-def fold():
-    @F.pandas_udf("string")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(fold_text, na_action="ignore")
-
-    return f
-
-
 def canonical_json():
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
@@ -196,20 +185,89 @@ def credible_interval(confidence: float = 0.95):
     return f
 
 
-def matches_schema(schema: dict):
-    """Array of violations of a JSON text; text that is not strict JSON is one violation."""
+class Schemas(dict):
+    """Schemas by their text, each read once in the life of a Python worker, told apart by the text; emptied when full."""
+
+    LIMIT = 10_000
+
+    def __missing__(self, text: str):
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[text] = found = strict_json(text)
+        return found
 
-    def errors(s: str | None):
-        if s is None:
-            return None
-        try:
-            return schema_errors(strict_json(s), schema)
-        except ValueError as e:
-            return [f"$: {e}"]
+
+_SCHEMAS = Schemas()
+
+
+def violations_by(value: str | None, schema: str | None) -> list[str] | None:
+    """Violations of a JSON text by a schema given as JSON text; null for either is null. Text that is not strict JSON is one
+    violation; a schema that can't be read or applied is one that begins with ``schema:``."""
+    if value is None or schema is None:
+        return None
+    try:
+        rules = _SCHEMAS[schema]
+    except ValueError as e:
+        return [f"schema: {e}"]
+    try:
+        got = strict_json(value)
+    except ValueError as e:
+        return [f"$: {e}"]
+    try:
+        return schema_errors(got, rules)
+    except (KeyError, TypeError, AttributeError, re.error) as e:
+        return [f"schema: {type(e).__name__} {e}"]
+
+
+def matches_schema(schema: dict | None = None):
+    """Array of violations of a JSON text, by one schema for all rows, or by a second column of schemas as JSON text."""
+    if schema is not None:
+        fixed = json.dumps(schema)
+
+        @F.pandas_udf("array<string>")
+        def f(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: violations_by(x, fixed), na_action="ignore")
+
+        return f
 
     @F.pandas_udf("array<string>")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(errors, na_action="ignore")
+    def by_row(s: pd.Series, schemas: pd.Series) -> pd.Series:
+        return pd.Series([violations_by(x, y) for x, y in zip(s, schemas, strict=True)], dtype=object)
+
+    return by_row
+
+
+def tool_errors():
+    """For each call (tool, arguments) its violations, joined by '; ', of the arguments' schema in the tool's contract (name,
+    arguments_schema; of several the last): '' if there is none, null for a tool without a contract. Missing arguments are {}."""
+
+    def of(calls, tools):
+        contracts = {t["name"]: t["arguments_schema"] or "{}" for t in (tools if tools is not None else ())}
+        return None if calls is None else ["; ".join(violations_by(c["arguments"] or "{}", contracts[c["tool"]])) if c["tool"] in contracts else None for c in calls]
+
+    @F.pandas_udf("array<string>")
+    def f(calls: pd.Series, tools: pd.Series) -> pd.Series:
+        return pd.Series([of(c, t) for c, t in zip(calls, tools, strict=True)], dtype=object)
+
+    return f
+
+
+def unequal_fields():
+    """How many of the wanted fields (map of name to JSON text) a JSON object lacks or has with another value, by canonical
+    JSON, in which 1 and 1.0 differ; null for what is no JSON object."""
+
+    def count(text, wanted):
+        try:
+            got = strict_json(text or "")
+        except ValueError:
+            return None
+        if not isinstance(got, dict):
+            return None
+        return sum(k not in got or canonical(got[k]) != canonical_text(v) for k, v in dict(wanted or ()).items())
+
+    @F.pandas_udf("int")
+    def f(s: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([count(x, w) for x, w in zip(s, wanted, strict=True)], dtype="Int32")
 
     return f
 

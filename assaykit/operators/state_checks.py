@@ -77,13 +77,21 @@ def all_steps_passed(steps: Column) -> Column:
 
 
 def field_assertions(parsed: Column, wanted: dict[str, str]) -> Column:
-    """Fields of a variant equal to JSON values, compared as variants' JSON."""
+    """Fields of a variant equal to JSON values. Values are equal if their canonical JSON is: 1 and 1.0 are not, so the type
+    that the variant gives a number counts too, and digits behind the point don't make one type of number another."""
     out = F.lit(True)
     for path, value in wanted.items():
-        out = out & F.coalesce(F.to_json(F.try_variant_get(parsed, f"$.{path}", "variant")) == F.to_json(F.parse_json(F.lit(value))), F.lit(False))
+        got, want = F.try_variant_get(parsed, f"$.{path}", "variant"), F.parse_json(F.lit(value))
+        same = (F.to_json(got) == F.to_json(want)) & (number_kinds(got) == number_kinds(want))
+        out = out & F.coalesce(same, F.lit(False))
     return out
 
 
+def number_kinds(v: Column) -> Column:
+    """The schema of a variant with every number that isn't whole called by one name."""
+    return F.regexp_replace(F.schema_of_variant(v), r"DECIMAL\(\d+,\s*[1-9]\d*\)|FLOAT", "DOUBLE")
+
+
 def injection_boundary(text: Column, effects: Column, forbidden_outputs: Column, forbidden_effects: Column) -> Column:
     return ~contains_any(text, forbidden_outputs) & ~F.coalesce(F.arrays_overlap(effects, forbidden_effects), F.lit(False))
 

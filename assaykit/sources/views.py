@@ -106,3 +106,47 @@ def run_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), i.alias("seq"), status.alias("status"),
         ((kind == "view") & (F.col("value") > 180)).alias("grade_error"), ((kind == "purchase") & (F.col("value") > 290)).alias("cancelled"),
     )
+
+
+def graded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials with what the check registry reads: outputs, expectations and scenario, all derived from each event."""
+    step = "named_struct('step_id', {}, 'action', {}, 'status', {}, 'context', {}, 'used', i % 50, 'budget', 40L, 'smalltalk', {}, 'unresolved', {}, 'checks', {})"
+    none, no_checks = "CAST(NULL AS ARRAY<STRING>)", "CAST(NULL AS ARRAY<BOOLEAN>)"
+    recall = step.format("'s1'", "'recall'", "IF(i % 6 = 0, 'error', 'ok')", "concat('About ', upper(t))", "IF(i % 7 = 0, NULL, t)", none, no_checks)
+    asserted = step.format("'s2'", "'assert_state'", "IF(i % 11 = 0, 'skipped', 'ok')", "NULL", "NULL", none, "array(true, i % 3 <> 0)")
+    rebuild = step.format("'s3'", "'rebuild'", "'ok'", "NULL", "NULL", "IF(i % 2 = 0, array(concat('likes ', t)), array())", no_checks)
+    call = "named_struct('tool', {}, 'arguments', {}, 'effects', {}, 'confirmed', {})"
+    output = f"""named_struct(
+        'text', CASE i % 5 WHEN 0 THEN concat('  ', upper(t), ' ') WHEN 1 THEN concat('{{"label": "', t, '"}}') WHEN 2 THEN concat('I do NOT know  about ', t)
+                WHEN 4 THEN concat('key AKIA', i, ' for ', t) END,
+        'parsed', CASE i % 4 WHEN 0 THEN concat('{{"n": 1, "facts": [], "s": "', t, '"}}') WHEN 2 THEN '[1]'
+                  WHEN 1 THEN concat('{{"n": 1.0, "facts": [{{"subject": "Ü", "relation": "did ", "object": "', t, '"}}]}}') END,
+        'refused', i % 31 = 0, 'retrieved_ids', IF(i % 3 = 0, NULL, array(concat('d', i % 7), concat('d', i % 5))),
+        'tool_calls', CASE i % 3 WHEN 1 THEN array({call.format("'search'", "'{\"q\": \"x\"}'", none, "NULL")}, {call.format("'delete'", "'{}'", "array('gone')", "i % 2 = 0")})
+                      WHEN 2 THEN array({call.format("IF(i % 2 = 0, 'search', t)", "'{\"q\": 1}'", none, "true")}) ELSE array() END,
+        'stores', IF(i % 4 = 0, array(), array('main')),
+        'facts', IF(i % 4 = 0, array(), array(named_struct('store', 'main', 'claim', concat('U likes ', upper(t)), 'state', 'active', 'source_step', 's1'),
+                                             named_struct('store', 'main', 'claim', 'U does not drink tea', 'state', IF(i % 3 = 0, 'active', 'rejected'), 'source_step', NULL))),
+        'steps', concat(array({recall}), IF(i % 5 = 1, array({asserted}), array()), IF(i % 5 = 2, array({rebuild}), array())),
+        'probability', IF(i % 23 <> 0, 0.5D, NULL), 'base_text', IF(i % 16 = 0, NULL, 'Click'))"""
+    spec = "named_struct('relation', 'likes', 'object', {}, 'all', {}, 'affirmative', {})"
+    triple = "array(named_struct('subject', 'ü', 'relation', 'Did', 'object', t))"
+    expected = f"""named_struct(
+        'reference', IF(i % 2 = 0, t, NULL), 'expected_label', IF(i % 3 = 0, 'click', NULL), 'alternatives', array('view'), 'fields', IF(i % 2 = 1, map('n', '1'), NULL),
+        'facts', IF(i % 4 = 1, {triple}, NULL), 'no_facts_required', i % 4 = 0, 'forbidden_facts', IF(i % 8 = 1, {triple}, NULL),
+        'required_facts', IF(i % 5 = 0, array({spec.format("IF(i % 40 = 0, NULL, t)", none, "true")}), NULL),
+        'forbidden_current_facts', IF(i % 5 = 1, array({spec.format("NULL", "array('TEA')", "i % 2 = 0")}), NULL),
+        'no_durable_fact', i % 9 = 0, 'recall_excludes', IF(i % 4 = 2, array(named_struct('step', 's1', 'text', 'about CLICK')), NULL),
+        'recall_budget', IF(i % 4 = 3, named_struct('step', 's1'), NULL), 'classification_outcome', IF(i % 4 = 1, named_struct('step', 's1', 'outcome', 'view'), NULL),
+        'correction', IF(i % 5 = 2, named_struct('store', 'main', 'claim_contains', t), NULL), 'answer_contains', IF(i % 5 = 4, array('KEY'), NULL),
+        'answer_contains_any', IF(i % 2 = 0, array('click', 'View'), NULL), 'answer_must_not_contain', IF(i % 3 = 1, array('akia4'), NULL),
+        'should_abstain', i % 7 = 2, 'should_refuse', i % 7 = 3, 'relevant_ids', IF(i % 2 = 0, array('d1'), NULL), 'k', IF(i % 82 = 0, 0, 2),
+        'required_tools', IF(i % 4 = 1, array('search'), NULL), 'forbidden_tools', IF(i % 8 = 5, array('delete'), NULL), 'forbidden_effects', IF(i % 6 = 1, array('gone'), NULL),
+        'must_precede', IF(i % 4 = 2, array(named_struct('first', 'delete', 'then', 'search')), NULL), 'exact_trajectory', IF(i % 10 = 0, array('search', 'delete'), NULL),
+        'sensitive_markers', IF(i % 3 = 2, array('akia'), NULL), 'forbidden_outputs', IF(i % 6 = 2, array('not know'), NULL), 'invariance_base', IF(i % 8 = 0, 'b', NULL),
+        'invariants', IF(i % 2 = 1, array('no_sensitive_leak', 'no_unauthorized_tool_effect', 'no_sensitive_leak'), IF(i % 10 = 0, array('made_up'), NULL)))"""
+    scenario = """named_struct('pack', 'general', 'allowed_labels', array('click', 'View', 'purchase'), 'output_schema', IF(i % 3 = 0, NULL, '{"type": "object", "required": ["n"]}'),
+        'tools', array(named_struct('name', 'search', 'arguments_schema', '{"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}}}', 'requires_confirmation', false),
+                       named_struct('name', 'delete', 'arguments_schema', NULL, 'requires_confirmation', true)))"""
+    e = read(spark, sf_dir, "events").selectExpr("event_id AS i", "event_type AS t")
+    return e.selectExpr("i AS trial_id", "IF(t = 'error', 'provider_error', 'success') AS status", f"{output} AS output", f"{expected} AS expected", f"{scenario} AS scenario")
