@@ -13,7 +13,9 @@ Decoding runs a UTF-8 machine over the tokens' bytes, so a character split betwe
 from __future__ import annotations
 
 import base64
+import gc
 import re
+import sys
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -107,7 +109,7 @@ class Merges:
         if missing or len(self.tokens) < len(ranks):
             raise ValueError("a byte-level vocabulary has a token for each byte, and a rank for each token alone")
         self._edges: dict[int, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        self._beside: dict[int, bool] = {}
+        self.beside: dict[int, bool] = {}
 
     @classmethod
     def read(cls, path: str) -> Merges:
@@ -148,9 +150,9 @@ class Merges:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the bytes of both together are merged into just these two tokens."""
-        found = self._beside.get(left << 32 | right)
+        found = self.beside.get(left << 32 | right)
         if found is None:
-            found = self._beside[left << 32 | right] = self._compatible(self.edges(left)[1], self.edges(right)[0])
+            found = self.beside[left << 32 | right] = self._compatible(self.edges(left)[1], self.edges(right)[0])
         return found
 
     def _compatible(self, ends: tuple[int, ...], begins: tuple[int, ...]) -> bool:
@@ -187,7 +189,7 @@ class Transducer:
     def __init__(self, merges: Merges, max_states: int = 150_000):
         self.merges, self.max_states = merges, max_states
         self.child: dict[int, int] = {}  # 256 * node + byte: the node of the beginning that is a byte longer
-        self.token, self.longer = array("l", [-1]), bytearray([0])  # by node: the token that ends there; does one go on
+        self.token, self.longer = [-1], bytearray([0])  # by node: the token that ends there; does one go on
         for token, i in merges.ranks.items():
             node = 0
             for byte in token:
@@ -197,30 +199,36 @@ class Transducer:
                     self.token.append(-1)
                     self.longer.append(0)
             self.token[node] = i
+        self.states: dict[tuple, State] = {}
         self._restart()
 
     def _restart(self) -> None:
+        for state in self.states.values():  # states refer to each other: let go of them without a search for cycles
+            state.following = {}
         self.start = State(((0, -1, ()),))
         self.states = {self.start.readings: self.start}
 
     def _step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
+        child, token_at, longer, known = self.child, self.token, self.longer, self.merges.beside
         readings, ended = [], None
         for node, before, rest in state.readings:
-            node = self.child.get(node << 8 | byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.longer[node]:
+            if longer[node]:
                 readings.append((node, before, rest))
-            token = self.token[node]
-            if token >= 0 and ended is None and (before < 0 or self.merges.compatible(before, token)):
-                ended = 0, token, (*rest, token)
+            if ended is None and (token := token_at[node]) >= 0:
+                fits = before < 0 or known.get(before << 32 | token)
+                if fits or fits is None and self.merges.compatible(before, token):
+                    ended = 0, token, (*rest, token)
         readings.append(ended)
         shared = readings[0][2]
-        for _, _, rest in readings[1:]:
-            while shared != rest[: len(shared)]:
-                shared = shared[:-1]
         if shared:
-            readings = [(node, before, rest[len(shared) :]) for node, before, rest in readings]
+            for _, _, rest in readings:
+                while shared != rest[: len(shared)]:
+                    shared = shared[:-1]
+            if shared:
+                readings = [(node, before, rest[len(shared) :]) for node, before, rest in readings]
         key = tuple(readings)
         following = self.states.get(key)
         if following is None:
@@ -244,7 +252,7 @@ class Transducer:
 class PieceIds(dict):
     """Ids of a piece as little-endian unsigned 32-bit bytes. Short pieces are remembered, up to ``limit`` of them."""
 
-    def __init__(self, transducer: Transducer, limit: int = 300_000):
+    def __init__(self, transducer: Transducer, limit: int = 250_000):
         super().__init__()
         self.transducer, self.limit = transducer, limit
 
@@ -259,7 +267,7 @@ class PieceIds(dict):
 
 
 def _little_endian(ids: array) -> bytes:
-    if array("I", [1]).tobytes()[0] != 1:
+    if sys.byteorder == "big":
         ids = array("I", ids)
         ids.byteswap()
     return ids.tobytes()
@@ -334,7 +342,8 @@ class Utf8Decoder:
 
 @lru_cache(maxsize=2)
 def _machine(path: str, pattern: str, limit: int) -> tuple[Splitter, PieceIds]:
-    """Kept for the life of a Python worker."""
+    """Kept for the life of a Python worker. Its many objects form no cycles that aren't undone, so the search for such is put off."""
+    gc.set_threshold(100_000, 20, 100)
     return Splitter(pattern), PieceIds(Transducer(Merges.read(path)), limit)
 
 
@@ -343,7 +352,7 @@ def _decoder(path: str) -> Utf8Decoder:
     return Utf8Decoder(Merges.read(path))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", cache_pieces: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", cache_pieces: int = 250_000) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens and ids (little-endian unsigned 32-bit integers, as binary).
 
     ``vocabulary`` is a rank file that every executor can read at that path, ``pattern`` what splits a text; each match
@@ -379,7 +388,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids") -> DataFram
             view, said = memoryview(raw), []
             for at in range(0, len(raw), 1 << 18):
                 got = array("I", bytes(view[at : at + (1 << 18)]))
-                if array("I", [1]).tobytes()[0] != 1:
+                if sys.byteorder == "big":
                     got.byteswap()
                 said.append(decoder.feed(got))
             return "".join([*said, decoder.finish()])
