@@ -62,6 +62,109 @@ def selective_risk(records: DataFrame, thresholds: list[float]) -> DataFrame:
     return rows.select("threshold", "accepted", K.rate(F.col("accepted"), F.col("total")).alias("coverage"), (1 - K.rate(F.col("hits"), F.col("accepted"))).alias("risk"))
 
 
+def risk_coverage_exact(records: DataFrame, *, parts: int = 256) -> DataFrame:
+    """The whole curve: coverage and risk of accepting p >= threshold, for every distinct probability as the threshold.
+
+    Records are counted by probability. Quantiles of the distinct ones cut them into ``parts`` ranges; each range sums for
+    itself, and what lies above it is added from one row of each range. No task holds more than its range.
+    """
+    from pyspark.sql import Window
+
+    by_p = records.where("probability is not null").groupBy("probability").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    marks = by_p.agg(F.percentile_approx("probability", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(float(m)) for m in sorted(set(marks))]).cast("array<double>")
+    ranged = by_p.withColumn("part", F.size(F.filter(cuts, lambda m: m < F.col("probability"))))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    listed = sums.agg(F.collect_list(F.struct("part", "n", "y")).alias("all"))  # one row of at most ``parts`` entries
+    added = lambda rows, c: F.aggregate(F.transform(rows, lambda r: F.coalesce(r[c], F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    above = F.filter("all", lambda r: r["part"] > F.col("part"))
+    carried = sums.select("part").join(F.broadcast(listed)).select("part", added(above, "n").alias("n_above"), added(above, "y").alias("y_above"), added(F.col("all"), "n").alias("total"))
+    down = Window.partitionBy("part").orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.join(F.broadcast(carried), "part").withColumns({"accepted": F.col("n_above") + F.sum("n").over(down), "hits": F.col("y_above") + F.sum("y").over(down)})
+    return rows.select(F.col("probability").alias("threshold"), "accepted", K.rate(F.col("accepted"), F.col("total")).alias("coverage"), (1 - K.rate(F.col("hits"), F.col("accepted"))).alias("risk"))
+
+
+def quality_block(records: DataFrame, *keys: str, fitted: Calibration | None = None, feature: str = "raw_feature", bins: int = 10, threshold: float = 0.5) -> DataFrame:
+    """One row by ``keys`` with all that is said of a set of records: how many there are, are predicted, are labelled, and
+    why others aren't used; clusters and classes of those that are; and their scores, ``raw`` and ``calibrated``.
+
+    ``records`` may have raw_feature, the score before it was a probability; it stands in where the probability is missing.
+    ``raw`` is null, with raw_reason, if one of them isn't within 0 and 1; ``calibrated`` if a record lacks ``feature``. Each is a
+    struct of brier, log_loss, ece, its bins (n, mean_probability, observed_rate), and coverage and risk at ``threshold``. Records
+    are read once: the bins of all groups come from the same aggregate, by group and bin, then folded.
+    """
+    have = records if "raw_feature" in records.columns else records.withColumn("raw_feature", F.lit(None).cast("double"))
+    score = F.coalesce("probability", "raw_feature")
+    unused = (
+        F.when(score.isNull(), "no_probability").when(F.col("label").isNull(), "no_label")
+        .when(F.coalesce(F.col("labeled_at") < F.col("predicted_at"), F.lit(False)), "label_before_prediction")
+    )
+    use = F.col("unused").isNull()
+    said = have.withColumn("unused", unused).withColumns({"p_raw": F.when(use, score), "p_cal": F.when(use, fitted.apply(F.col(feature))) if fitted else F.lit(None).cast("double")})
+    group = [F.struct(F.lit(0).alias("__g"), *keys).alias("__k")]
+    counted = said.groupBy(*group).agg(
+        F.count("*").alias("n_records"), F.count("probability").alias("n_predictions"), F.count("label").alias("n_labels"),
+        *[F.count_if(F.col("unused") == r).alias(r) for r in ("no_probability", "no_label", "label_before_prediction")], F.count_if(use).alias("n_used"),
+        F.count_distinct(F.when(use, F.col("cluster_id"))).alias("clusters"), F.count_if(use & (F.col("label") == 1)).alias("positive"), F.count_if(use & (F.col("label") == 0)).alias("negative"),
+        F.count_if(use & ~((F.col("p_raw") >= 0) & (F.col("p_raw") <= 1))).alias("__odd"), F.count_if(use & F.col(feature).isNull()).alias("__lacking"),
+    )
+
+    def scores(p: str, to: str) -> DataFrame:
+        x, y = F.col(p), F.col("label")
+        accepted = x >= threshold
+        part = said.where(use & (x >= 0) & (x <= 1)).groupBy(*group, K.bin_of(x, bins).alias("bin")).agg(
+            F.count("*").alias("n"), F.avg(x).alias("mean_probability"), F.avg(y).alias("observed_rate"), F.sum((x - y) * (x - y)).alias("sq"),
+            (K.log_loss(x, y) * F.count("*")).alias("ll"), F.count_if(accepted).alias("acc"), F.coalesce(F.sum(F.when(accepted, y)), F.lit(0)).alias("hits"),
+        )
+        n = F.sum("n")
+        gap = F.abs(F.col("mean_probability") - F.col("observed_rate"))
+        return part.groupBy(F.col("__k").alias("__key")).agg(
+            F.struct(
+                (F.sum("sq") / n).alias("brier"), (F.sum("ll") / n).alias("log_loss"), (F.sum(F.col("n") * gap) / n).alias("ece"),
+                K.rate(F.sum("acc"), n).alias("coverage"), (1 - K.rate(F.sum("hits"), F.sum("acc"))).alias("risk"),
+                F.array_sort(F.collect_list(F.struct("bin", "n", "mean_probability", "observed_rate"))).alias("bins"),
+            ).alias(to)
+        )
+
+    out = counted.join(scores("p_raw", "raw"), F.col("__k").eqNullSafe(F.col("__key")), "left").drop("__key")
+    raw_reason = F.when(F.col("n_used") == 0, "no labelled predictions in this selection").when(F.col("__odd") > 0, "raw scores are not probabilities")
+    if fitted:
+        out = out.join(scores("p_cal", "calibrated"), F.col("__k").eqNullSafe(F.col("__key")), "left").drop("__key")
+        lacking = F.when(F.col("n_used") == 0, "no labelled predictions in this selection").when(F.col("__lacking") > 0, f"some records lack the calibration feature {feature!r}")
+    else:
+        out, lacking = out.withColumn("calibrated", F.lit(None).cast(out.schema["raw"].dataType)), F.lit("no calibration")
+    done = out.withColumns(
+        {
+            "label_coverage": K.rate(F.col("n_labels"), F.col("n_records")), "raw_reason": raw_reason, "raw": F.when(raw_reason.isNull(), F.col("raw")),
+            "calibrated_reason": lacking, "calibrated": F.when(lacking.isNull(), F.col("calibrated")),
+        }
+    )
+    return done.select(*[F.col(f"__k.{k}").alias(k) for k in keys], *[c for c in done.columns if not c.startswith("__")])
+
+
+def shared_clusters(fit: DataFrame, held_out: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """Clusters that lie in both sets."""
+    return fit.select(cluster).distinct().join(held_out.select(cluster).distinct(), cluster, "left_semi")
+
+
+def fit_and_evaluate(records: DataFrame, method: str = "logistic", *, fit_split: str = "calibration", eval_split: str = "test", least_clusters: int = 30) -> tuple[Calibration, DataFrame]:
+    """A calibration fitted on one split, and its scores on another, raw and calibrated. ``Refused`` if the splits are one, the
+    fitting split has no usable record, or the two share a cluster."""
+    if method not in ("logistic", "isotonic"):
+        raise Refused("method must be logistic or isotonic")
+    if fit_split == eval_split:
+        raise Refused("the evaluation split must differ from the fitting split")
+    known = usable(records)
+    fit, held_out = (known.where(F.col("split") == s) for s in (fit_split, eval_split))
+    if not fit.limit(1).count():
+        raise Refused(f"no labelled predictions in the {fit_split!r} split")
+    leaking = [r[0] for r in shared_clusters(fit, held_out).orderBy("cluster_id").limit(5).collect()]
+    if leaking:
+        raise Refused(f"clusters {leaking} appear in both splits; split by cluster first")
+    fitted = (fit_logistic if method == "logistic" else fit_isotonic)(fit, least_clusters=least_clusters)
+    return fitted, evaluate(held_out, fitted)
+
+
 def split_leaks(records: DataFrame, split: str = "split", cluster: str = "cluster_id") -> DataFrame:
     """Clusters that lie in more than one split."""
     return records.groupBy(cluster).agg(F.count_distinct(split).alias("splits")).where("splits > 1")

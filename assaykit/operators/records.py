@@ -118,3 +118,21 @@ def invariance(trials: DataFrame, others: DataFrame, answer: str) -> DataFrame:
     """
     base = others.select(F.col("case_id").alias("base_case"), "candidate", "repeat_index", F.col(answer).alias("__base"))
     return trials.join(base, ["base_case", "candidate", "repeat_index"], "left").withColumn("invariant", F.col(answer) == F.col("__base")).drop("__base")
+
+
+def tail_window(turns: Column, base: Column, budget: Column, *, most: int = 6) -> Column:
+    """The longest run of the last turns, at most ``most`` of them, that fits: tokens of the turns and ``base`` within ``budget``.
+
+    ``turns``: array of structs with ``tokens``, in order. From the end, the first turn too long for what is left ends the
+    window, even if shorter ones lie before it. Null turns give null; unknown tokens count as too long.
+    """
+    last = F.reverse(F.slice(turns, F.greatest(F.lit(1), F.size(turns) - (most - 1)), most))
+    start = F.struct(F.coalesce(base, F.lit(0)).cast("long").alias("used"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
+
+    def add(state: Column, turn: Column) -> Column:
+        used = state["used"] + turn["tokens"]
+        fits = state["open"] & F.coalesce(used <= budget, F.lit(False))
+        return F.struct(F.when(fits, used).otherwise(state["used"]).alias("used"), (state["kept"] + fits.cast("int")).alias("kept"), fits.alias("open"))
+
+    kept = F.aggregate(last, start, add, lambda state: state["kept"])
+    return F.when(turns.isNotNull(), F.reverse(F.slice(last, 1, F.coalesce(kept, F.lit(0)))))

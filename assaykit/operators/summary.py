@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import kernels as K
+from assaykit.functions.udfs import canonical_json
 
 #: Trial statuses that end with an output, and those that count as problems.
 OUTPUT_STATUSES = ("success", "invalid_output")
@@ -96,6 +97,30 @@ def repeatability(trials: DataFrame, category: str = "category") -> DataFrame:
     )
 
 
+#: Ways in which outputs count as the same.
+REPRESENTATIONS = ("raw", "json", "semantic")
+
+
+def output_category(representation: str, text: Column, parsed: Column | None = None, semantic: Column | None = None, has_output: Column | None = None) -> tuple[Column, Column]:
+    """(category, reason): what an output is the same as, by its bytes, its canonical JSON or an assigned class; null, with the
+    reason, where it isn't eligible. ``parsed``: JSON text, else the text is read as JSON."""
+    if representation not in REPRESENTATIONS:
+        raise ValueError(f"unknown representation {representation!r}")
+    there = text.isNotNull() if has_output is None else has_output
+    digest = lambda c, kind: F.concat(F.lit(f"{kind}:"), F.left(F.sha2(c, 256), F.lit(24)))
+    if representation == "raw":
+        found, reason = digest(text, "raw"), "no text output"
+    elif representation == "semantic":
+        said = F.lit(None).cast("string") if semantic is None else F.nullif(semantic, F.lit(""))
+        found, reason = F.concat(F.lit("semantic:"), said), "no semantic class assigned"
+    else:
+        json = text if parsed is None else F.coalesce(parsed, text)
+        whole = canonical_json()(json)
+        found, reason = F.when(whole != "null", digest(whole, "json")), "output is not valid JSON"
+    found = F.when(there, found)
+    return found, F.when(~there, "no output").when(found.isNull(), reason)
+
+
 def repeated_success(cell: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """pass@k and pass^k of each cell, with the zero-failure bound and the posterior mean."""
     p, n = F.col("passes"), F.col("graded")
@@ -105,35 +130,71 @@ def repeated_success(cell: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFr
     return cell.select("case_id", "candidate", "passes", "graded", *[c.alias(k) for k, c in cols.items()])
 
 
-def exact_quantiles(rows: DataFrame, value: Column, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """``keys`` and one column for each of ``quantiles``: exact, linear between ranks; nulls don't count.
+#: Half widths, as shares of a group, of the nested brackets in which a rank is looked for.
+BRACKETS = (3e-4, 24e-4, 192e-4, 1536e-4)
+
+
+def exact_quantiles(rows: DataFrame, value: Column, keys: list[str], quantiles: dict[str, float], *, small: int = 10_000) -> DataFrame:
+    """``keys`` and one column for each of ``quantiles``: exact, linear between ranks; nulls don't count, a group of nulls
+    has no row.
 
-    A sketch of each group brackets its quantiles; then each value within a bracket is counted, and all below it as one, so
-    that some 6 in 10,000 of a group's values remain to be put in order, whatever their number.
+    Groups of at most ``small`` values are settled by one aggregate. Of a larger one a sketch gives nested brackets around each
+    quantile; how many values lie below and up to their ends is counted, and the narrowest bracket is taken that holds the
+    ranks, or none, which always does. Only the distinct values inside are put in order: some 6 in 10,000 of a group.
     """
-    part = 3 / 10_000  # the sketch is within 1 in 10,000 of a rank
     group = F.struct(F.lit(0).alias("__g"), *keys).alias("__k")
     data = rows.select(group, value.cast("double").alias("__v")).where("__v is not null")
-    ends = [p for q in quantiles.values() for p in (max(0.0, q - part), min(1.0, q + part))]
-    sketch = data.groupBy("__k").agg((F.count("*") - 1).alias("__last"), F.percentile_approx("__v", ends, 10_000).alias("__s"))
-    marks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.get("__s", F.lit(2 * i)).alias("lo"), F.get("__s", F.lit(2 * i + 1)).alias("hi")) for i, (name, q) in enumerate(quantiles.items())])
-    few = data.select("__k").distinct().limit(100_001).count() <= 100_000
-    wanted = sketch.select(F.col("__k").alias("__key"), "__last", marks.alias("__m"))
-    near = data.join(F.broadcast(wanted) if few else wanted, F.col("__k").eqNullSafe(F.col("__key")))
-    inside = near.select("__k", "__last", "__v", F.explode("__m").alias("m")).where(F.col("__v") <= F.col("m.hi"))
-    counted = inside.groupBy("__k", "__last", "m.name", "m.q", F.when(F.col("__v") >= F.col("m.lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("__k", "name").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.col("q") * F.col("__last")
-    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("__v")))
-    found = upto.groupBy("__k", "name").agg(at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"), F.first(rank - F.floor(rank)).alias("f"))
-    each = [F.max(F.when(F.col("name") == name, F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))).alias(name) for name in quantiles]
-    return found.groupBy("__k").agg(*each).select(*[F.col(f"__k.{k}").alias(k) for k in keys], *quantiles)
-
-
-def latency(trials: DataFrame, *keys: str) -> DataFrame:
-    """Exact linear-interpolated quantiles over completed trials; problems are counted apart."""
+    names, levels = list(quantiles), range(len(BRACKETS))
+    plain = data.groupBy("__k").agg(*[F.percentile("__v", F.lit(q)).alias(n) for n, q in quantiles.items()])
+    sizes = data.groupBy("__k").agg(F.count("*").alias("n"))
+    big, groups = sizes.agg(F.count_if(F.col("n") > small), F.count("*")).first()
+    shown = [*[F.col(f"__k.{k}").alias(k) for k in keys], *names]
+    if not big:
+        return plain.select(*shown)
+    near = lambda df: F.broadcast(df) if groups <= 100_000 else df  # noqa: E731  a row for each group
+    sized = data.join(near(sizes.select(F.col("__k").alias("__key"), "n")), F.col("__k").eqNullSafe(F.col("__key"))).drop("__key")
+    few = sized.where(F.col("n") <= small).groupBy("__k").agg(*[F.percentile("__v", F.lit(q)).alias(n) for n, q in quantiles.items()])
+    many = sized.where(F.col("n") > small)
+    ends = [(max(0.0, q - w), min(1.0, q + w)) for q in quantiles.values() for w in BRACKETS]
+    sketch = many.groupBy("__k").agg(F.percentile_approx("__v", [x for pair in ends for x in pair], 10_000).alias("s"))
+    marked = many.join(near(sketch.withColumnRenamed("__k", "__key")), F.col("__k").eqNullSafe(F.col("__key")))
+    end = lambda i, upper: F.get("s", F.lit(2 * i + upper))
+    counts = [c for i in range(len(ends)) for c in (F.count_if(F.col("__v") < end(i, 0)).alias(f"b{i}"), F.count_if(F.col("__v") <= end(i, 1)).alias(f"u{i}"))]
+    counted = marked.groupBy("__k").agg(F.first("n").alias("n"), F.first("s").alias("s"), *counts)
+
+    def bracket(at: int, name: str, q: float) -> Column:
+        rank = F.lit(q) * (F.col("n") - 1)
+        of = lambda lo, hi, below: F.struct(F.lit(name).alias("name"), rank.alias("rank"), lo.alias("lo"), hi.alias("hi"), below.alias("below"))
+        out = of(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(0).cast("long"))
+        for level in reversed(levels):
+            i = at * len(BRACKETS) + level
+            holds = (F.col(f"b{i}") <= F.floor(rank)) & (F.col(f"u{i}") > F.ceil(rank))
+            out = F.when(holds, of(end(i, 0), end(i, 1), F.col(f"b{i}"))).otherwise(out)
+        return out
+
+    chosen = counted.select(F.col("__k").alias("__key"), F.explode(F.array(*[bracket(i, n, q) for i, (n, q) in enumerate(quantiles.items())])).alias("m"))
+    inside = many.join(near(chosen), F.col("__k").eqNullSafe(F.col("__key"))).where("(m.lo is null or __v >= m.lo) and (m.hi is null or __v <= m.hi)")
+    tied = inside.groupBy("__k", "m.name", "m.rank", "m.below", "__v").agg(F.count("*").alias("n"))
+    upto = tied.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("__k", "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    at_rank = lambda r: F.min(F.when(F.col("upto") > r, F.col("__v")))
+    found = upto.groupBy("__k", "name").agg(at_rank(F.floor("rank")).alias("a"), at_rank(F.ceil("rank")).alias("b"), F.first(F.col("rank") - F.floor("rank")).alias("f"))
+    each = [F.max(F.when(F.col("name") == n, F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))).alias(n) for n in names]
+    return few.unionByName(found.groupBy("__k").agg(*each)).select(*shown)
+
+
+def latency(trials: DataFrame, *keys: str, small: int = 1_000_000) -> DataFrame:
+    """Exact linear-interpolated quantiles over completed trials; problems are counted apart. Groups of over ``small``
+    completed trials are settled by ``exact_quantiles``; up to there one aggregate holds a group's distinct values."""
     done = F.when(F.col("status").isin(*OUTPUT_STATUSES), F.col("latency_ms"))
-    return trials.groupBy(*keys).agg(F.count(done).alias("n"), F.percentile(done, F.lit(0.5)).alias("p50_ms"), F.percentile(done, F.lit(0.95)).alias("p95_ms"), F.count_if(F.col("status").isin(*PROBLEM_STATUSES)).alias("problems"))
+    counted = [F.count(done).alias("n"), F.count_if(F.col("status").isin(*PROBLEM_STATUSES)).alias("problems")]
+    sizes = trials.groupBy(*keys).agg(*counted)
+    if not sizes.where(F.col("n") > small).limit(1).count():
+        return trials.groupBy(*keys).agg(counted[0], F.percentile(done, F.lit(0.5)).alias("p50_ms"), F.percentile(done, F.lit(0.95)).alias("p95_ms"), counted[1])
+    found = exact_quantiles(trials, done, list(keys), {"p50_ms": 0.5, "p95_ms": 0.95}, small=small)
+    right = found.select(*[F.col(k).alias(f"__{k}") for k in keys], "p50_ms", "p95_ms")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = sizes.join(right, same, "left") if keys else sizes.crossJoin(F.broadcast(right))  # without keys both have one row
+    return joined.select(*keys, "n", "p50_ms", "p95_ms", "problems")
 
 
 def costs(attempts: DataFrame) -> DataFrame:

@@ -67,3 +67,30 @@ def trial_slots(cases: DataFrame, candidates: DataFrame, repeats: int) -> DataFr
     else:
         each = cases.select("case_id").crossJoin(candidates.select("candidate").distinct())
     return each.select("case_id", "candidate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_index"))
+
+
+def episode_errors(steps: Column) -> Column:
+    """What is wrong with an episode, as texts in the order of its steps.
+
+    ``steps``: array of struct<id, action, store, status, target, refs>. A target must be an earlier step of the same store; only an
+    earlier candidate can be approved or rejected, only something remembered or asserted be called wrong or forgotten; what
+    a step refers to must come before it; ids are unique, and the first step of an id is the one that counts.
+    """
+
+    def of(step: Column, at: Column) -> Column:
+        earlier = F.slice(steps, 1, at)
+        prior = F.get(F.filter(earlier, lambda x: x["id"] == step["target"]), F.lit(0))
+        aimed, found = step["target"].isNotNull(), prior["id"].isNotNull()
+        candidate = (prior["action"] == "assert") & F.coalesce(prior["status"] == "candidate", F.lit(False))
+        place = F.concat(F.lit("step "), (at + 1).cast("string"), F.lit(": "))
+        told = [
+            F.when(F.exists(earlier, lambda x: x["id"] == step["id"]), F.concat(place, F.lit("duplicate id "), step["id"])),
+            F.when(aimed & ~found, F.concat(place, F.lit("no earlier step "), step["target"])),
+            F.when(found & step["action"].isin("approve", "reject") & ~candidate, F.concat(place, step["action"], F.lit(" needs an earlier candidate"))),
+            F.when(found & step["action"].isin("wrong", "forget") & ~prior["action"].isin("remember", "assert"), F.concat(place, step["action"], F.lit(" needs something remembered or asserted"))),
+            F.when(found & ~prior["store"].eqNullSafe(step["store"]), F.concat(place, F.lit("target belongs to store "), F.coalesce(prior["store"], F.lit("none")))),
+        ]
+        lost = F.filter(F.coalesce(step["refs"], F.array().cast("array<string>")), lambda r: ~F.exists(earlier, lambda x: x["id"] == r))
+        return F.concat(F.filter(F.array(*told), lambda x: x.isNotNull()), F.transform(lost, lambda r: F.concat(place, F.lit("reference to "), r, F.lit(", which isn't earlier"))))
+
+    return F.flatten(F.transform(steps, of))

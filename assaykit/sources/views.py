@@ -150,3 +150,29 @@ def graded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                        named_struct('name', 'delete', 'arguments_schema', NULL, 'requires_confirmation', true)))"""
     e = read(spark, sf_dir, "events").selectExpr("event_id AS i", "event_type AS t")
     return e.selectExpr("i AS trial_id", "IF(t = 'error', 'provider_error', 'success') AS status", f"{output} AS output", f"{expected} AS expected", f"{scenario} AS scenario")
+
+
+def run_log(events: DataFrame) -> DataFrame:
+    """The event table, or its stream, as a run's log with several rows a trial: a user's run has seven trials, whose status
+    changes with each event; every 37th event is about the run itself."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    status = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "pending", "view", "running", "click", "success", "purchase", "success", "error", "provider_error")]), kind)
+    run = F.concat(F.lit("r"), F.col("user_id").cast("string"))
+    of_run = i % 37 == 0
+    return events.select(
+        run.alias("run_id"), F.when(~of_run, F.concat(run, F.lit("-"), (i % 7).cast("string"))).alias("trial_id"), i.alias("seq"), F.when(~of_run, status).alias("status"),
+        F.coalesce((kind == "purchase") & (F.col("value") > 150), F.lit(False)).alias("grade_error"), F.coalesce(of_run & (kind == "click") & (F.col("value") > 100), F.lit(False)).alias("cancelled"),
+    )
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One episode of memory steps an order, a step a line: its kind, store, status and target follow from the line."""
+    li = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS episode_id", "CAST(l_linenumber AS INT) AS n", "CAST(l_partkey % 7 AS INT) AS k")
+    action = F.element_at(F.array(*[F.lit(x) for x in ("assert", "remember", "approve", "wrong", "recall", "reject", "forget")]), F.col("k") + 1)
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    step = F.struct(
+        F.col("n").alias("n"), name(F.when(F.col("k") == 6, 1).otherwise(F.col("n"))).alias("id"), action.alias("action"), F.when(F.col("n") % 5 == 0, "other").otherwise("main").alias("store"),
+        F.when(F.col("n") % 2 == 1, "candidate").otherwise("accepted").alias("status"), F.when(F.col("k").isin(2, 3, 5, 6), name(F.col("n") - 1)).alias("target"),
+        F.when(F.col("k") == 4, F.array(name(F.col("n") - 2))).alias("refs"),
+    )
+    return li.groupBy("episode_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
