@@ -52,8 +52,11 @@ class Engine:
         units = compare.cluster_units(self.pairs(baseline, candidate).where("pairing = 'paired'"))
         return compare.bootstrap_interval(units, resamples=resamples)
 
-    def gate(self, policy: Policy | None = None, *, baseline: str = "baseline", candidate: str = "candidate", problems: list[str] = ()) -> DataFrame:
-        """The release decision on the case pass rate, as one row; trials may list broken invariants (invariant_failures)."""
+    def gate(self, policy: Policy | None = None, *, baseline: str = "baseline", candidate: str = "candidate", problems: list[str] = (), runs: DataFrame | None = None) -> DataFrame:
+        """The release decision on the case pass rate, as one row; trials may list broken invariants (invariant_failures).
+
+        ``runs``: what ``compare.compatibility`` asks of the two runs, with ``baseline`` and ``candidate`` as run_id. Runs that may not
+        be compared have no interval, and unfinished ones are a problem."""
         policy = policy or Policy()
         name, pairs = F.lit(candidate).alias("comparison"), self.pairs(baseline, candidate)
         coverage = pairs.agg(name, (F.count_if(F.col("pairing") == "paired") / F.count("*")).alias("coverage"))
@@ -65,7 +68,12 @@ class Engine:
             named = self.trials.where(F.col("candidate") == candidate).select(F.explode("invariant_failures").alias("name"))
             broken = named.groupBy("name").agg(F.count("*").alias("n")).select(name, "name", "n")
         said = coverage.select("comparison", F.explode(F.array(*[F.lit(p) for p in problems]).cast("array<string>")).alias("problem"))
-        checks = compare.gate_checks(coverage, found, policy, invariant_failures=broken, problems=said)
+        findings = None
+        if runs is not None:
+            pair = self.trials.sparkSession.range(1).select(name, F.lit(baseline).alias("base_run"), F.lit(candidate).alias("cand_run"))
+            findings = compare.compatibility(pair, runs)
+            said = said.unionByName(compare.run_problems(pair, runs))
+        checks = compare.gate_checks(coverage, found, policy, invariant_failures=broken, problems=said, findings=findings)
         return compare.gate_decision(coverage, checks, policy)
 
     def quality(self, *keys: str) -> DataFrame:

@@ -176,13 +176,19 @@ class Policy:
     seed: int = 42
 
 
-def gate_checks(coverage: DataFrame, intervals: DataFrame, policy: Policy, *, invariant_failures: DataFrame | None = None, problems: DataFrame | None = None) -> DataFrame:
+def gate_checks(coverage: DataFrame, intervals: DataFrame, policy: Policy, *, invariant_failures: DataFrame | None = None, problems: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """comparison, check, status (clear, blocked, inconclusive, advisory), reason: each rule of the policy on each comparison.
 
     ``coverage``: comparison, coverage (one row a comparison); ``intervals``: comparison, metric, lower, upper, clusters;
     ``invariant_failures``: comparison, name, n; ``problems``: comparison, problem. Only the policy's invariants block; too
-    few clusters, low coverage and problems leave a comparison open; a metric that is not required only advises.
+    few clusters, low coverage and problems leave a comparison open; a metric that is not required only advises. With
+    ``findings`` (``compatibility``), runs that can't be compared have no interval, whatever was computed, and that as a problem.
     """
+    if findings is not None:
+        unlike = findings.where("blocks_inference").select("comparison").distinct()
+        intervals = intervals.join(unlike, "comparison", "left_anti")
+        told = unlike.withColumn("problem", F.lit("experiments are incompatible"))
+        problems = told if problems is None else problems.select("comparison", "problem").unionByName(told).distinct()
     row = lambda check, status, reason: [check.alias("check"), status.alias("status"), reason.alias("reason")]
     short = f"paired coverage is below {policy.least_coverage}"
     out = coverage.where(F.col("coverage") < policy.least_coverage).select("comparison", *row(F.lit("paired_coverage"), F.lit("inconclusive"), F.lit(short)))

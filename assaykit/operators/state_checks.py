@@ -16,19 +16,6 @@ def active(facts: Column) -> Column:
     return F.filter(facts, lambda f: f["status"] == "active")
 
 
-def _holds(facts: Column, want: Column) -> Column:
-    same = lambda a, b: F.lower(F.btrim(a)) == F.lower(F.btrim(b))
-    return F.exists(active(facts), lambda f: same(f["subject"], want["subject"]) & same(f["relation"], want["relation"]) & same(f["object"], want["object"]))
-
-
-def required_facts(facts: Column, expected: Column) -> Column:
-    return F.forall(expected, lambda w: _holds(facts, w))
-
-
-def forbidden_facts(facts: Column, forbidden: Column) -> Column:
-    return ~F.exists(forbidden, lambda w: _holds(facts, w))
-
-
 def answer_must_not_contain(text: Column, phrases: Column) -> Column:
     return ~contains_any(text, phrases)
 
@@ -151,13 +138,21 @@ INVARIANT_CHECKS = {
 }
 
 
-def invariants(checks: DataFrame, *keys: str, check: str = "check", passed: str = "passed") -> DataFrame:
-    """State of each invariant by ``keys``, pass, fail or unavailable, and ``holds``: one failure of any of its checks
-    sticks; else one that could not be judged leaves it open (null)."""
+def invariants(checks: DataFrame, *keys: str, check: str = "check", passed: str = "passed", declared: DataFrame | None = None) -> DataFrame:
+    """State of each invariant by ``keys``, pass, fail or unavailable, and ``holds``: one failure of any of its checks sticks; else
+    one that could not be judged leaves it open (null). Checks that don't apply, or only measure (columns applicable and
+    binary, if there are such), say nothing. ``declared`` (keys, invariant): an invariant without evidence is unavailable, and no
+    other is reported.
+    """
+    for flag in ("applicable", "binary"):
+        if flag in checks.columns:
+            checks = checks.where(F.col(flag))
     pairs = [(c, i) for i, checks_ in INVARIANT_CHECKS.items() for c in checks_]
     named = F.filter(F.array(*[F.struct(F.lit(c).alias("check"), F.lit(i).alias("invariant")) for c, i in pairs]), lambda p: p["check"] == F.col(check))
     g = checks.select(*keys, F.col(passed).alias("p"), F.explode(named).alias("n")).groupBy(*keys, F.col("n.invariant").alias("invariant"))
     counted = g.agg(F.count_if(~F.col("p")).alias("failed"), F.count_if(F.col("p").isNull()).alias("open"))
+    if declared is not None:
+        counted = declared.select(*keys, "invariant").distinct().join(counted, [*keys, "invariant"], "left").fillna(0, ["failed"]).fillna(1, ["open"])
     state = F.when(F.col("failed") > 0, "fail").when(F.col("open") > 0, "unavailable").otherwise("pass")
     return counted.select(*keys, "invariant", state.alias("state"), F.when(F.col("failed") > 0, False).when(F.col("open") == 0, True).alias("holds"))
 

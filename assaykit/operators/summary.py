@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import kernels as K
 from assaykit.functions.udfs import canonical_json
+from assaykit.registry import metric_value
 
 #: Trial statuses that end with an output, and those that count as problems.
 OUTPUT_STATUSES = ("success", "invalid_output")
@@ -60,6 +61,30 @@ def case_pass_rate(cell: DataFrame) -> DataFrame:
     return cell.groupBy("candidate").agg(F.avg("pass_rate").alias("case_pass_rate"), F.count("pass_rate").alias("cases"), F.count_if(F.col("pass_rate").isNull()).alias("missing"))
 
 
+def metric_values(trials: DataFrame) -> DataFrame:
+    """The run summary as metric values: candidate, name and ``metric``, a value with its numerator, denominator, counts, unit,
+    direction and definition, or null with a reason. One row a candidate and metric."""
+    slots, cells_ = counts(trials, "candidate"), counts(trials, "case_id", "candidate")
+    by_case = cells_.withColumn("rate", K.rate(F.col("passes"), F.col("graded"))).groupBy("candidate").agg(F.avg("rate").alias("case_rate"), F.count("rate").alias("cases"), F.count_if(F.col("rate").isNull()).alias("ungraded"))
+    rows = slots.join(by_case, "candidate").join(latency(trials, "candidate").drop("problems"), "candidate")
+    low, high = K.wilson(F.col("passes"), F.col("graded"))
+
+    def rate(name: str, over: str, under: str, reason: str, interval=None) -> Column:
+        a, b = F.col(over), F.col(under)
+        return metric_value(name, K.rate(a, b), F.lit(reason), numerator=a, denominator=b, eligible=b, missing=F.greatest(F.lit(0), F.col("slots") - b), interval=interval)
+
+    done = {
+        "target_completion": rate("target_completion", "completed", "slots", "no scheduled slots"),
+        "grade_coverage": rate("grade_coverage", "graded", "completed", "no eligible slots"),
+        "conditional_pass": rate("conditional_pass", "passes", "graded", "no graded trials", ("wilson", 0.95, low, high)),
+        "observed_success_yield": rate("observed_success_yield", "passes", "slots", "no scheduled slots"),
+        "case_pass_rate": metric_value("case_pass_rate", F.col("case_rate"), F.lit("no case with graded trials"), eligible=F.col("cases"), missing=F.col("ungraded")),
+        "latency_p50": metric_value("latency_p50", F.col("p50_ms"), F.lit("no completed calls"), eligible=F.col("n"), missing=F.col("slots") - F.col("n")),
+        "latency_p95": metric_value("latency_p95", F.col("p95_ms"), F.lit("no completed calls"), eligible=F.col("n"), missing=F.col("slots") - F.col("n")),
+    }
+    return rows.select("candidate", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), m.alias("metric")) for n, m in done.items()])))
+
+
 def slices(trials: DataFrame, tags: dict[str, Column]) -> DataFrame:
     """Counts and pass rate by slice key, value and candidate. Slices overlap; every candidate shows in each.
 

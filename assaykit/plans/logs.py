@@ -8,7 +8,7 @@ from assaykit.operators import probability as P
 from assaykit.operators import records as R
 from assaykit.operators import summary as S
 from assaykit.operators import validation
-from assaykit.plans.views_sql import RECORDS, sql
+from assaykit.plans.views_sql import CELLS, RECORDS, sql
 from assaykit.sources import exchange
 from assaykit.sources import views as V
 from assaykit.streaming import events
@@ -186,3 +186,14 @@ SELECT e AS episode_id, array_to_string(flatten(list(told ORDER BY pos)), '; ')
 def episode_rules(spark, sf):
     """What is wrong with each episode: targets, candidates, stores, references, ids."""
     return V.episodes(spark, sf).select("episode_id", F.array_join(validation.episode_errors(F.col("steps")), "; ").alias("errors"))
+
+
+@query(sql(CELLS, """, s AS (SELECT candidate, sum(slots) AS slots, sum(passes) AS p, sum(graded) AS g, sum(completed) AS c, avg(passes / nullif(graded, 0)) AS rate, count_if(graded > 0) AS cases FROM cells GROUP BY candidate),
+l AS (SELECT candidate, quantile_cont(latency_ms, 0.5) AS a, quantile_cont(latency_ms, 0.95) AS b, count(latency_ms) AS n FROM trials WHERE status = 'success' GROUP BY candidate),
+m AS (SELECT candidate, 'target_completion' AS name, c / slots AS value, slots AS eligible FROM s UNION ALL SELECT candidate, 'grade_coverage', g / c, c FROM s UNION ALL SELECT candidate, 'conditional_pass', p / g, g FROM s
+  UNION ALL SELECT candidate, 'observed_success_yield', p / slots, slots FROM s UNION ALL SELECT candidate, 'case_pass_rate', rate, cases FROM s
+  UNION ALL SELECT candidate, 'latency_p50', a, n FROM l UNION ALL SELECT candidate, 'latency_p95', b, n FROM l)
+SELECT candidate, name, name || '@1' AS definition, round(value, 6) AS value, CAST(eligible AS BIGINT) AS eligible FROM m"""))
+def metric_values(spark, sf):
+    """The run summary as values of registered metrics."""
+    return S.metric_values(V.cell_trials(spark, sf)).select("candidate", "name", "metric.definition", F.round("metric.value", 6).alias("value"), "metric.eligible")

@@ -27,28 +27,49 @@ class Metric:
         return f"{self.name}@{self.version}"
 
 
-def _family(unit: str, direction: str, score_type: str, names: str) -> list[Metric]:
+def _family(score_type: str, direction: str, unit: str, names: str) -> list[Metric]:
     return [Metric(n, unit, direction, score_type) for n in names.split()]
 
 
-#: Metric names, with unit, better direction and the kind of score they are about.
+#: The names of metrics, with the kind of score, the better direction and the unit.
 METRICS: dict[str, Metric] = {
     m.name: m
     for m in [
-        *_family("fraction", "higher", "outcome", "pass_rate case_pass_rate target_completion grade_coverage conditional_pass end_to_end_yield pass_at_k pass_all_k at_least_one all_succeed posterior_mean weighted_mean"),
-        *_family("fraction", "lower", "outcome", "zero_failure_bound error_rate invariant_failure_rate"),
-        *_family("fraction", "higher", "representation", "modal_agreement pairwise_agreement"),
-        *_family("nats", "lower", "representation", "output_entropy"),
-        *_family("score", "lower", "probability", "brier log_loss exact_log_loss expected_calibration_error selective_risk"),
-        *_family("fraction", "higher", "probability", "coverage"),
-        *_family("fraction", "higher", "ranking", "precision_at_k recall_at_k reciprocal_rank ndcg"),
-        *_family("fraction", "higher", "facts", "fact_precision fact_recall fact_f1"),
-        *_family("fraction", "higher", "class", "accuracy micro_f1 macro_f1"),
-        *_family("fraction", "higher", "preference", "win_rate position_consistency"),
-        *_family("ms", "lower", "operational", "latency_p50 latency_p95"),
-        *_family("currency", "lower", "operational", "known_cost cost_per_success"),
-        *_family("score", "higher", "logprob", "mean_token_logprob sequence_probability"),
-        *_family("score", "higher", "judge", "expected_score"),
+        *_family("observed_rate", "higher", "fraction of graded repeats", "observed_pass_rate"),
+        *_family("observed_rate", "none", "fraction", "wilson_interval"),
+        *_family("posterior_success_probability", "higher", "probability", "beta_posterior"),
+        *_family("observed_rate", "lower", "failure probability", "zero_failure_upper_bound"),
+        *_family("agreement", "none", "fraction of repeats", "modal_agreement"),
+        *_family("agreement", "none", "probability two repeats match", "pairwise_agreement"),
+        *_family("entropy", "none", "nats", "output_entropy"),
+        *_family("observed_rate", "higher", "probability", "pass_at_k pass_all_k"),
+        *_family("distance", "lower", "squared error", "brier"),
+        *_family("distance", "lower", "nats", "log_loss_clipped"),
+        *_family("distance", "lower", "probability", "ece"),
+        *_family("observed_rate", "lower", "error fraction of accepted", "selective_risk"),
+        *_family("observed_rate", "higher", "fraction accepted", "coverage"),
+        *_family("observed_rate", "higher", "fraction of retrieved", "precision_at_k"),
+        *_family("observed_rate", "higher", "fraction of k", "precision_fixed_slots_at_k"),
+        *_family("observed_rate", "higher", "fraction of relevant", "recall_at_k"),
+        *_family("observed_rate", "higher", "1/rank", "reciprocal_rank"),
+        *_family("observed_rate", "higher", "fraction of ideal", "ndcg_at_k"),
+        *_family("observed_rate", "higher", "fraction of predicted facts", "fact_precision"),
+        *_family("observed_rate", "higher", "fraction of reference facts", "fact_recall"),
+        *_family("observed_rate", "higher", "F1", "fact_f1 macro_f1 micro_f1"),
+        *_family("observed_rate", "higher", "fraction of claims", "supported_claim_fraction"),
+        *_family("observed_rate", "higher", "fraction", "accuracy"),
+        *_family("observed_rate", "higher", "fraction of eligible judgements", "win_rate"),
+        *_family("observed_rate", "higher", "fraction of scheduled", "target_completion observed_success_yield"),
+        *_family("observed_rate", "higher", "fraction of eligible", "grade_coverage"),
+        *_family("observed_rate", "higher", "fraction of graded", "conditional_pass"),
+        *_family("observed_rate", "higher", "mean per-case pass fraction", "case_pass_rate"),
+        *_family("duration", "lower", "ms", "latency_p50 latency_p95"),
+        *_family("currency", "lower", "currency", "cost_total"),
+        *_family("currency", "lower", "currency / pass", "cost_per_confirmed_success"),
+        *_family("observed_rate", "higher", "difference", "paired_delta"),
+        *_family("observed_rate", "none", "difference", "accuracy_gap"),
+        *_family("token_log_probability", "none", "nats per token", "mean_token_log_probability"),
+        *_family("rubric_score", "higher", "rubric points", "geval_expected_score"),
     ]
 }
 

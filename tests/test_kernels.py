@@ -61,10 +61,10 @@ def test_metric_values_are_null_only_with_a_reason(spark):
     for value in (F.lit(None), F.lit(float("nan")), F.lit(float("inf"))):
         v = one(spark, registry.metric_value("brier", value)).c0
         assert v.value is None and v.unavailable_reason == "not available"
-    v = one(spark, registry.metric_value("pass_rate", F.lit(0.9), F.lit("unused"), interval=("wilson", 0.95, F.lit(0.7), F.lit(0.97)))).c0
-    assert v.unavailable_reason is None and v.definition == "pass_rate@1" and v.uncertainty.lower == 0.7
+    v = one(spark, registry.metric_value("observed_pass_rate", F.lit(0.9), F.lit("unused"), interval=("wilson", 0.95, F.lit(0.7), F.lit(0.97)))).c0
+    assert v.unavailable_reason is None and v.definition == "observed_pass_rate@1" and v.uncertainty.lower == 0.7
     with pytest.raises(ValueError):
-        registry.check_score_types("brier", "pass_rate")
+        registry.check_score_types("brier", "observed_pass_rate")
     assert registry.as_table(spark).count() == len(registry.METRICS)
 
 
