@@ -24,16 +24,20 @@ def bm25(queries: DataFrame, corpus: DataFrame, *, k: int = 5, k1: float = 1.2,
     """Top ``k`` documents per query: query_id, doc_id, score (6 decimals), rank; ties to the smaller doc_id.
 
     ``queries``: query_id, text; ``corpus``: doc_id, text and perhaps title, which is searched too. Terms repeated in a query count repeatedly; scores of 0 or
-    less drop. The corpus is exploded once into (term, doc) counts, pruned to query terms before anything is shuffled.
+    less drop. The corpus is read and tokenised once, into (term, doc) counts of query terms and a row a document that stands for its
+    length; document frequencies, lengths and scores all read that one shuffle. They leave no term out before they
+    aggregate, as a filter would be pushed below the shuffle and make another one of it.
     """
+    every = "\0"  # no token: what stands for a document as a whole
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     searched = F.concat_ws(" ", "title", "text") if "title" in corpus.columns else F.col("text")
-    docs = corpus.select("doc_id", tokens(searched).alias("ts")).withColumn("len", F.size("ts"))
-    size = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    terms = q.select("term").distinct()
-    tf = docs.select("doc_id", "len", F.explode("ts").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(F.broadcast(size))  # one row
+    docs = corpus.select("doc_id", F.coalesce(tokens(searched), F.array().cast("array<string>")).alias("ts")).withColumn("len", F.size("ts"))
+    terms = q.select("term").unionByName(corpus.sparkSession.range(1).select(F.lit(every).alias("term"))).distinct()
+    tf = docs.select("doc_id", "len", F.explode(F.concat("ts", F.array(F.lit(every)))).alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    stats = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("all_tf"), F.sum(F.col("len") * F.col("tf")).alias("all_len"))
+    of_all = lambda c: F.max(F.when(F.col("term") == every, F.col(c)))
+    size = stats.agg(of_all("all_tf").alias("n"), (of_all("all_len") / of_all("all_tf")).alias("avg_len"))
+    scored = tf.join(stats.select("term", "df"), "term").join(F.broadcast(size))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     hits = scored.select("term", "doc_id", weight.alias("w")).join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score")).where("score > 0")

@@ -77,7 +77,7 @@ def test_calibration_guards_and_fit(spark):
 
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Straße  ＡＢ",), (None,)], "s string")
-    assert [r[0] for r in df.select(udfs.fold()("s")).collect()] == ["strasse ab", None]
+    assert [r[0] for r in df.select(G.fold(F.col("s"))).collect()] == ["strasse ab", None]
     j = spark.createDataFrame([('{"b": 1.0, "a": [1, "é"]}',), ('{"a": 1, "a": 2}',), ("NaN",), ("1",)], "s string")
     assert [r[0] for r in j.select(udfs.canonical_json()("s")).collect()] == ['{"a":[1,"é"],"b":1.0}', None, None, "1"]
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 2}}, "additionalProperties": False}
