@@ -101,7 +101,9 @@ class Splitter:
 
 
 class Merges:
-    """A rank file: tokens by bytes, and which tokens can stand side by side."""
+    """A rank file: tokens by bytes, and which tokens can stand side by side; answers for ``MOST_PAIRS`` pairs are remembered."""
+
+    MOST_PAIRS = 400_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.tokens = ranks, {i: token for token, i in ranks.items()}
@@ -152,6 +154,8 @@ class Merges:
         """Whether the bytes of both together are merged into just these two tokens."""
         found = self.beside.get(left << 32 | right)
         if found is None:
+            if len(self.beside) >= self.MOST_PAIRS:
+                self.beside.clear()
             found = self.beside[left << 32 | right] = self._compatible(self.edges(left)[1], self.edges(right)[0])
         return found
 
