@@ -44,12 +44,12 @@ FIELDS = {
         tools array<struct<name: string, arguments_schema: string, requires_confirmation: boolean>>""",
 }
 
-o, e, s = (lambda name, at=at: F.col(f"{at}.{name}") for at in FIELDS)
+o, e, s = (lambda name, at=at: F.col(f"__{at}.{name}") for at in FIELDS)
 seen = lambda name: F.col(f"__seen.{name}")  # noqa: E731  what is folded or computed once
 
 
-def _completed(rows: DataFrame, at: str) -> Column:
-    """The struct ``at`` with all of its fields, null where ``rows`` has none."""
+def _completed(rows: DataFrame, at: str, only: tuple[str, ...] | None = None) -> Column:
+    """The struct ``at`` with all of its fields, or ``only`` some, null where ``rows`` has none."""
     want = StructType.fromDDL(FIELDS[at])
     have = rows.schema[at].dataType if at in rows.columns else StructType()
     if not isinstance(have, StructType):
@@ -57,13 +57,15 @@ def _completed(rows: DataFrame, at: str) -> Column:
     unknown = set(have.names) - set(want.names)
     if unknown:
         raise ValueError(f"{at} has fields that no check reads: {sorted(unknown)}")
-    return F.struct(*[_as(F.col(f"{at}.{f.name}") if f.name in have.names else F.lit(None), have, f.name, f.dataType).alias(f.name) for f in want.fields])
+    return F.struct(*[_as(F.col(f"{at}.{f.name}") if f.name in have.names else F.lit(None), have, f.name, f.dataType).alias(f.name) for f in want.fields if only is None or f.name in only])
 
 
 def _as(value: Column, have: StructType, name: str, want: DataType) -> Column:
     """Lists of specifications may leave out fields; they are filled by name, not by place."""
     got = have[name].dataType if name in have.names else None
     element = getattr(want, "elementType", None)
+    if got is not None and got.simpleString() == want.simpleString():
+        return value
     if got is not None and isinstance(element, StructType) and isinstance(getattr(got, "elementType", None), StructType):
         known = got.elementType.names
         return F.transform(value, lambda x: F.struct(*[(x[f.name] if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in element.fields]))
@@ -95,10 +97,15 @@ def _triples(facts: Column) -> Column:
 
 def _label(text: Column, parsed: Column, parse_error: Column) -> Column:
     """A JSON object's label, of the parsed output or else of the text, or the bare text as the allowed label that it equals."""
-    in_json = lambda c: F.when(F.schema_of_variant(F.try_variant_get(c, "$.label", "variant")) == "STRING", F.try_variant_get(c, "$.label", "string"))
+
+    def in_json(c: Column) -> Column:  # read once, and only what begins an object: a text that can't be read costs an exception
+        whole = F.when(F.startswith(F.ltrim(c, F.lit(" \t\n\r")), F.lit("{")), F.try_parse_json(c))
+        found = F.transform(F.array(whole), lambda v: F.when(F.schema_of_variant(F.try_variant_get(v, "$.label", "variant")) == "STRING", F.try_variant_get(v, "$.label", "string")))
+        return F.get(found, F.lit(0))
+
     bare = F.lower(F.btrim(F.btrim(text, F.lit(" \t\n\r\f\v")), F.lit('"')))
     allowed = F.get(F.filter(_list(s("allowed_labels")), lambda a: F.lower(a) == bare), F.lit(0))
-    return F.coalesce(in_json(F.try_parse_json(parsed)), F.when(parse_error.isNull(), in_json(F.try_parse_json(text))), allowed)
+    return F.coalesce(in_json(parsed), F.when(parse_error.isNull(), in_json(text)), allowed)
 
 
 def _words(specs: Column, which: str) -> Column:
@@ -108,24 +115,35 @@ def _words(specs: Column, which: str) -> Column:
     return F.transform(specs, lambda x: F.when(x["all"].isNull() & x["any"].isNull(), F.filter(F.array(x["object"]), lambda w: w.isNotNull())).otherwise(x["all"]))
 
 
-def _looked_at(rows: DataFrame) -> DataFrame:
-    """``rows`` with complete structs and ``__seen``: texts folded and schemas applied, once for all checks."""
-    full = rows.withColumns({at: _completed(rows, at) for at in FIELDS})
+#: What the problems of tools are told from.
+TOOL_FIELDS = {
+    "output": ("tool_calls", "effects"), "scenario": ("tools",),
+    "expected": ("forbidden_tools", "forbidden_effects", "required_tools", "required_effects", "must_precede"),
+}
+
+
+def _looked_at(rows: DataFrame, *, tools_only: bool = False) -> DataFrame:
+    """``rows`` with complete structs (``__output``, ``__expected``, ``__scenario``) and ``__seen``: texts folded and schemas
+    applied, once for all checks. ``tools_only`` leaves out what the problems of tools don't need."""
+    full = rows.withColumns({f"__{at}": _completed(rows, at, TOOL_FIELDS[at] if tools_only else None) for at in FIELDS})
     calls = F.coalesce(o("tool_calls"), F.array().cast(StructType.fromDDL(FIELDS["output"])["tool_calls"].dataType))
     contract = lambda c: F.try_element_at(F.filter(s("tools"), lambda t: t["name"] == c["tool"]), F.lit(-1))
-    full = full.withColumns(
-        {  # the first can vary only for the optimizer, which may else move the Python function into a lambda
-            "__call_errors": udfs.tool_errors().asNondeterministic()(o("tool_calls"), s("tools")), "__schema_errors": udfs.matches_schema()(o("parsed"), s("output_schema")),
-            "__unequal": udfs.unequal_fields()(o("parsed"), e("fields")),
-        }
-    )
+    # it can vary only for the optimizer, which may else move the Python function into a lambda
+    full = full.withColumn("__call_errors", udfs.tool_errors().asNondeterministic()(o("tool_calls"), s("tools")))
+    tools = {
+        "calls": calls, "called": F.transform(calls, lambda c: c["tool"]), "contracts": F.transform(calls, contract), "call_errors": F.col("__call_errors"),
+        "effects": F.array_distinct(F.concat(_list(o("effects")), F.flatten(F.transform(calls, lambda c: _list(c["effects"]))))),
+    }
+    if tools_only:
+        return full.withColumn("__seen", F.struct(*[c.alias(k) for k, c in tools.items()]))
+    full = full.withColumns({"__schema_errors": udfs.matches_schema()(o("parsed"), s("output_schema")), "__unequal": udfs.unequal_fields()(o("parsed"), e("fields"))})
     required = _by_pack(e("must_include"), e("required_outputs"), e("answer_contains"))
     refused = _by_pack(e("must_not_include"), _none(), e("answer_must_not_contain"))
     any_of = _by_pack(_none(), _none(), e("answer_contains_any"))
     boundary = F.when((s("pack") == "memory_lifecycle") & ~_some(e("forbidden_outputs")), e("answer_must_not_contain")).otherwise(e("forbidden_outputs"))
     raw_facts = F.get_json_object(o("parsed"), "$.facts")
     predicted = F.filter(F.from_json(raw_facts, _TRIPLES), lambda f: f.isNotNull())
-    parts = {
+    parts = tools | {
         "text": F.coalesce(G.fold(o("text")), F.lit("")), "reference": G.fold(F.coalesce(e("reference"), e("label"))), "base": F.coalesce(G.fold(o("base_text")), F.lit("")),
         "required": G.fold_each(required), "any_of": G.fold_each(any_of), "refused": G.fold_each(refused), "markers": G.fold_each(_list(e("sensitive_markers"))),
         "arguments": G.fold(F.array_join(F.transform(calls, lambda c: c["arguments"]), ", ")), "boundary": G.fold_each(_list(boundary)),
@@ -135,8 +153,6 @@ def _looked_at(rows: DataFrame) -> DataFrame:
         "required_all": G.fold_lists(_words(e("required_facts"), "all")), "required_any": G.fold_lists(_words(e("required_facts"), "any")),
         "forbidden_all": G.fold_lists(_words(e("forbidden_current_facts"), "all")), "forbidden_any": G.fold_lists(_words(e("forbidden_current_facts"), "any")),
         "facts": F.when(F.left(raw_facts, F.lit(1)) == "[", _triples(predicted)), "wanted_facts": _triples(e("facts")), "banned_facts": _triples(e("forbidden_facts")),
-        "calls": calls, "called": F.transform(calls, lambda c: c["tool"]), "contracts": F.transform(calls, contract), "call_errors": F.col("__call_errors"),
-        "effects": F.array_distinct(F.concat(_list(o("effects")), F.flatten(F.transform(calls, lambda c: _list(c["effects"]))))),
         "schema_errors": F.col("__schema_errors"), "unequal": F.col("__unequal"),
         "label": _label(o("text"), o("parsed"), o("parse_error")), "base_label": _label(o("base_text"), o("base_parsed"), F.lit(None).cast("string")),
     }
@@ -363,7 +379,7 @@ def tool_problems() -> dict[str, Column]:
 
 def tool_contracts(rows: DataFrame) -> DataFrame:
     """``rows`` with two lists of the tool problems: ``unauthorised`` and ``other``."""
-    return _looked_at(rows).select(*rows.columns, *[c.alias(k) for k, c in tool_problems().items()])
+    return _looked_at(rows, tools_only=True).select(*rows.columns, *[c.alias(k) for k, c in tool_problems().items()])
 
 
 @check
@@ -451,7 +467,7 @@ def grade(rows: DataFrame, checks: list[str] | None = None, *, status: str = "st
     done = said.withColumn("checks", once(listed))
     having = lambda w: F.filter("checks", lambda c: c["state"] == w)
     some = lambda w: F.size(having(w)) > 0
-    no_output = F.col("output.text").isNull() & F.col("output.parsed").isNull() & F.col("output.tool_calls").isNull() & F.col("output.steps").isNull() & F.col("output.stores").isNull()
+    no_output = o("text").isNull() & o("parsed").isNull() & o("tool_calls").isNull() & o("steps").isNull() & o("stores").isNull()
     silent = no_output | ~F.coalesce(F.col(status).isin(*OUTPUT_STATUSES), F.lit(False))
     binary = some("pass") | some("fail") | some("unavailable")
     verdict = F.when(silent, "unavailable").when(some("error"), "error").when(~binary, "unavailable").when(some("fail"), "fail").when(some("unavailable"), "unavailable").otherwise("pass")

@@ -80,3 +80,21 @@ def test_folding_stays_in_the_jvm(spark):
     done = df.select(G.contains_all(F.col("t"), ["FI", "ü"]).alias("x"), G.normalized_match(F.col("t"), F.lit("")).alias("y"))
     assert [tuple(r) for r in done.collect()] == [(True, False), (False, True)]
     assert "Python" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tool_problems_read_only_what_they_need(spark, sf_dir):
+    from assaykit.sources import views
+
+    found = H.tool_contracts(views.graded_rows(spark, sf_dir)).select("trial_id", "unauthorised", "other")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("#") < 400
+    assert not [w for w in ("reflect", "rlike", "regexp_replace", "get_json_object", "parse_json") if w in plan.lower()]
+
+
+def test_labels_in_json_and_outside(spark):
+    from assaykit.operators.checks import _label
+
+    texts = ['\t\r\n {"label": "a"}', '{"label": 1}', '{"label": "a"', '["a"]', " Click ", '"click"', None, "", '{"LABEL": "a"}', '{"label": "a", "label": "b"}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").selectExpr("i", "t", "named_struct('allowed_labels', array('click')) AS __scenario")
+    got = [r.x for r in df.select("i", _label(F.col("t"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("x")).orderBy("i").collect()]
+    assert got[:9] == ["a", None, None, None, "click", "click", None, None, None]
