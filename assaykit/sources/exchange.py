@@ -59,7 +59,8 @@ def _known(tables: dict[str, DataFrame]) -> list[str]:
 
 
 def _keys(df: DataFrame, as_name: str) -> DataFrame:
-    return df.select(F.col("id").alias(as_name)).where(F.col(as_name).isNotNull()).distinct()
+    """Ids to semi-join with, which needs them neither distinct nor in memory."""
+    return df.select(F.col("id").alias(as_name)).where(F.col(as_name).isNotNull())
 
 
 def closure(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
@@ -108,14 +109,21 @@ def references(tables: dict[str, DataFrame]) -> DataFrame:
 
 def open_references(tables: dict[str, DataFrame]) -> DataFrame:
     """References to rows that aren't there: table, column, target and how many. Values are made distinct before the join, so a
-    row that a third of all rows refer to is looked up once."""
-    names = _known(tables)
-    ids = None
-    for name in names:
-        own = tables[name].select(F.lit(name).alias("target"), F.col("id").alias("value"))
-        ids = own if ids is None else ids.unionByName(own)
-    counted = references(tables).groupBy("table", "column", "target", "value").agg(F.count("*").alias("n"))
-    return counted.join(ids.distinct(), ["target", "value"], "left_anti").groupBy("table", "column", "target").agg(F.sum("n").alias("n"))
+    row that a third of all rows refer to is looked up once. Each column is looked up and summed for itself, as a task of a
+    union holds the memory of all its branches until it ends."""
+    names, out = _known(tables), None
+    found = references(tables)
+    asked = {(n, c, t) for n in names for kind in (REFERENCES, LISTS) for c, t in kind.get(n, {}).items() if c in tables[n].columns}
+    if "artifact_refs" in names:
+        asked |= {("artifact_refs", "entity_id", t) for t in ENTITIES.values()}
+    for name, column, target in sorted(asked):
+        own = found.where((F.col("table") == name) & (F.col("column") == column) & (F.col("target") == target)).select(F.col("value").cast("string").alias("value"))
+        counted = own.groupBy("value").agg(F.count("*").alias("n"))
+        if target in names:
+            counted = counted.join(tables[target].select(F.col("id").cast("string").alias("value")), "value", "left_anti")
+        row = counted.agg(F.sum("n").alias("n")).where("n is not null").select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.lit(target).alias("target"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def faulty_ids(tables: dict[str, DataFrame]) -> DataFrame:

@@ -169,3 +169,17 @@ def test_output_categories(spark):
     assert [tuple(r) for r in df.select(c, why).collect()][3:] == [(None, "no semantic class assigned"), (None, "no output")]
     with pytest.raises(ValueError, match="unknown representation"):
         S.output_category("shape", F.col("t"))
+
+
+def test_each_reference_is_looked_up_for_itself(spark):
+    rows = lambda *xs, schema: spark.createDataFrame(list(xs), schema)
+    tables = {
+        "runs": rows(("r1", None), ("r2", "r9"), ("r3", "r9"), schema="id string, parent_run_id string"), "trials": rows(("t1", "r1", "c1"), ("t2", "", None), schema="id string, run_id string, case_id string"),
+        "artifact_refs": rows(("f1", "trial", "t1"), ("f2", "trial", "t7"), ("f3", "attempt", "a1"), ("f4", "poem", "p"), schema="id string, entity_type string, entity_id string"),
+    }
+    found = exchange.open_references(tables)
+    assert sorted(map(tuple, found.collect())) == [
+        ("artifact_refs", "entity_id", "attempts", 1), ("artifact_refs", "entity_id", "trials", 1), ("runs", "parent_run_id", "runs", 2), ("trials", "case_id", "cases", 1),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Union")[0] and plan.count("Union") == 1  # rows of counts are united, not references
