@@ -43,12 +43,16 @@ def fold(text: Column) -> Column:
     return F.when(text.isNotNull(), F.btrim(F.regexp_replace(plain, SPACES, " ")))
 
 
+def _trimmed(folded: Column, mark: str) -> Column:
+    """No blanks beside ``mark``; there is one at most on each side, as white space is collapsed."""
+    return F.replace(F.replace(folded, F.lit(f" {mark}"), F.lit(mark)), F.lit(f"{mark} "), F.lit(mark))
+
+
 def fold_each(texts: Column | list[str]) -> Column:
     """``fold`` of each text of an array, in place; nulls are empty texts. A list is folded on the driver."""
     if not isinstance(texts, Column):
         return F.array(*[F.lit(udfs.fold_text(x)) for x in texts]).cast("array<string>")
-    whole = F.array_join(F.transform(texts, lambda x: F.coalesce(x, F.lit(""))), "\0")
-    some = F.transform(F.split(fold(whole), "\0"), lambda x: F.btrim(x))
+    some = F.split(_trimmed(fold(F.array_join(texts, "\0", "")), "\0"), "\0")
     return F.when(F.size(texts) == 0, F.array().cast("array<string>")).when(texts.isNotNull(), some)
 
 
